@@ -1,6 +1,6 @@
 """Column builders: seeded hashing and row estimators."""
 
 from strataloom.functions.estimators import ESTIMATORS, estimator, estimators
-from strataloom.functions.hashing import draw_index, hash60, row_hash, uniform
+from strataloom.functions.hashing import hash60, uniform
 
-__all__ = ["ESTIMATORS", "draw_index", "estimator", "estimators", "hash60", "row_hash", "uniform"]
+__all__ = ["ESTIMATORS", "estimator", "estimators", "hash60", "uniform"]

@@ -24,17 +24,6 @@ def hash60(*parts) -> Column:
     return F.conv(F.substring(digest, 1, _HEX_DIGITS), 16, 10).cast("bigint")
 
 
-def row_hash(row_id) -> Column:
-    """Hash that fixes the order in which a table's rows are indexed."""
-    return hash60(F.col(row_id) if isinstance(row_id, str) else row_id)
-
-
-def draw_index(n, *parts) -> Column:
-    """Index in ``[0, n)`` drawn by the key ``parts``."""
-    size = n if isinstance(n, Column) else F.lit(n)
-    return hash60(*parts) % size.cast("bigint")
-
-
 def uniform(*parts) -> Column:
     """Number in ``[0, 1)`` drawn by the key ``parts``."""
     return hash60(*parts).cast("double") / F.lit(float(1 << HASH_BITS))

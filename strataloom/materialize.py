@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,12 @@ def broadcast_if_small(pinned: DataFrame, max_rows: int = BROADCAST_ROWS) -> Dat
         return F.broadcast(pinned)
     log.info("table exceeds %d rows; joining by shuffle", max_rows)
     return pinned
+
+
+def pin_by(df: DataFrame, columns) -> DataFrame:
+    """Like :func:`pin`, as a table partitioned by ``columns`` so that reads can prune."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.repartition(*columns).write.partitionBy(*columns).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -141,25 +141,36 @@ def expand_slots(requests: DataFrame, n_slots: int, size: str = "k", slot: str =
     return chunks.withColumn(slot, F.explode(F.sequence(first, last))).drop("__chunk")
 
 
-def _requests(rows: DataFrame, by, groups, batches: tuple[str, int] | None) -> DataFrame:
+def _requests(rows: DataFrame, by, groups, batches) -> DataFrame:
+    """Request rows; ``batches`` is the batch column with one count, or one count per group."""
     fields = [(c, rows.schema[c].dataType.simpleString()) for c in by] + [("n", "bigint"), ("k", "bigint")]
-    table = small_table(rows.sparkSession, groups, fields)
     if batches is None:
-        return table
-    name, count = batches
-    return table.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        return small_table(rows.sparkSession, groups, fields)
+    name, counts = batches
+    counts = [counts] * len(groups) if isinstance(counts, int) else counts
+    table = small_table(
+        rows.sparkSession, [(*g, c) for g, c in zip(groups, counts)], [*fields, ("__batches", "int")]
+    )
+    return table.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("__batches") - 1))).drop("__batches")
+
+
+def n_draws_of(groups, batches=None) -> int:
+    """Total draws of a request list."""
+    counts = 1 if batches is None else batches[1]
+    counts = [counts] * len(groups) if isinstance(counts, int) else counts
+    return sum(g[-1] * c for g, c in zip(groups, counts))
 
 
 def draw_with_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: str,
-                          batches: tuple[str, int] | None = None, bits: int | None = None) -> DataFrame:
+                          batches=None, bits: int | None = None) -> DataFrame:
     """``k`` independent draws from each group, once or for each of several batches.
 
-    ``groups`` lists ``(*by, n, k)``; ``batches`` is the name and length of the batch
-    column. The result holds ``by``, the batch, ``slot`` and ``row_id``.
+    ``groups`` lists ``(*by, n, k)``; ``batches`` is the name of the batch column and the
+    number of batches (one for all groups, or a list). The result holds ``by``, the batch, ``slot`` and ``row_id``.
     """
     by = list(by)
     key = by + ([batches[0]] if batches else [])
-    n_slots = sum(g[-1] for g in groups) * (batches[1] if batches else 1)
+    n_slots = n_draws_of(groups, batches)
     bits = prefix_bits(max(g[-2] for g in groups)) if bits is None else bits
     drawn = expand_slots(_requests(rows, by, groups, batches), n_slots).withColumn(
         "position", hash60(seed, op, *[F.col(c) for c in key], F.col("slot")) % F.col("n")
@@ -194,7 +205,7 @@ def take_first(df: DataFrame, by, order: str, bucket: Column, size: str, tie=())
 
 
 def draw_without_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: str,
-                             batches: tuple[str, int] | None = None, bits: int | None = None) -> DataFrame:
+                             batches=None, bits: int | None = None) -> DataFrame:
     """``k`` distinct rows (``k <= n``) from each group; ``draw_key`` is the order of drawing.
 
     A request for at most half of a group draws ``2k + 64`` positions and keeps the first

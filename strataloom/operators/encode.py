@@ -92,7 +92,7 @@ class TargetEncoder:
     over the fit rows of the key; unseen and null categories get the prior.
     """
 
-    def __init__(self, columns, min_samples_leaf: float = 1, smoothing: float = 1.0, **_ignored):
+    def __init__(self, columns, min_samples_leaf: float = 20, smoothing: float = 10.0, **_ignored):
         self.columns = list(columns)
         self.min_samples_leaf = min_samples_leaf
         self.smoothing = smoothing

@@ -1,0 +1,84 @@
+"""Weak learners backed by MLlib.
+
+Known deviations from single-machine libraries: trees split on binned values
+(``maxBins``), depth is at most 30, and the support vector classifier is linear.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import classification as ml
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_DEPTH = 30
+
+
+def _depth(params: dict) -> int:
+    depth = params.get("max_depth")
+    return MAX_DEPTH if depth is None else min(MAX_DEPTH, int(depth))
+
+
+def logistic(params: dict, n_rows: int):
+    """L2-penalised logistic regression; ``C`` weighs the sum of the losses."""
+    return ml.LogisticRegression(
+        regParam=1.0 / (float(params.get("C", 1.0)) * max(1, n_rows)), elasticNetParam=0.0,
+        standardization=False, maxIter=int(params.get("max_iter", 100)),
+    )
+
+
+def linear_svm(params: dict, n_rows: int):
+    """Linear support vector classifier; ``C`` weighs the sum of the losses."""
+    return ml.LinearSVC(
+        regParam=1.0 / (float(params.get("C", 1.0)) * max(1, n_rows)), standardization=False,
+        maxIter=int(params.get("max_iter", 100)),
+    )
+
+
+def _subset(value) -> str:
+    return "all" if value is None else str(value)
+
+
+def tree(params: dict, n_rows: int):
+    """One decision tree; with ``max_features`` each split looks at a random subset."""
+    common = dict(
+        maxDepth=_depth(params), minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+        maxBins=int(params.get("max_bins", 64)), seed=int(params.get("random_state", 0)),
+    )
+    if params.get("max_features") is None:
+        return ml.DecisionTreeClassifier(**common)
+    return ml.RandomForestClassifier(
+        numTrees=1, bootstrap=False, featureSubsetStrategy=_subset(params["max_features"]), **common
+    )
+
+
+def forest(params: dict, n_rows: int):
+    """Bagged trees, 100 unless ``n_estimators`` says otherwise."""
+    return ml.RandomForestClassifier(
+        numTrees=int(params.get("n_estimators", 100)), maxDepth=_depth(params),
+        featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
+        minInstancesPerNode=int(params.get("min_samples_leaf", 1)), maxBins=int(params.get("max_bins", 64)),
+        seed=int(params.get("random_state", 0)),
+    )
+
+
+LEARNERS = {"logistic": logistic, "SVM": linear_svm, "tree": tree, "rf": forest}
+
+
+def assemble(df: DataFrame, features, target: str | None = None) -> DataFrame:
+    """Adds the ``__x`` vector (and ``__y`` label) the learners read."""
+    out = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(df)
+    return out if target is None else out.withColumn("__y", F.col(target).cast("double"))
+
+
+def fit(kind: str, params: dict, assembled: DataFrame, n_rows: int):
+    """Fit on the vector ``__x`` and the label ``__y``."""
+    learner = LEARNERS[kind](params, n_rows)
+    learner.setFeaturesCol("__x").setLabelCol("__y").setPredictionCol("__p")
+    return learner.fit(assembled)
+
+
+def vote(model, assembled: DataFrame, out: str) -> DataFrame:
+    """Adds the model's 0/1 prediction."""
+    scored = model.transform(assembled)
+    return scored.select(*assembled.columns, F.col("__p").cast("int").alias(out))

@@ -204,7 +204,7 @@ def stratum_held_out(spark, folder):
     return strata_folds(subjects_of_orders(spark, folder), "subject", "segment", values=["BUILDING"])
 
 
-_BALANCED_SQL = f"""
+BALANCED_SQL = f"""
 with sides as (select f.segment as fold, case when s.segment = f.segment then 'val' else 'fit' end as role,
                       s.subject, cast(s.target as varchar) as class
                from ({SUBJECTS}) s, (select distinct segment from ({SUBJECTS})) f),
@@ -225,7 +225,7 @@ where (fold, role) in (select (fold, role) from c group by fold, role having cou
 """
 
 
-@query("strata_folds_balanced", _BALANCED_SQL)
+@query("strata_folds_balanced", BALANCED_SQL)
 def strata_folds_balanced(spark, folder):
     return strata_folds(subjects_of_orders(spark, folder), "subject", "segment", "target", seed=SEED)
 

@@ -55,7 +55,10 @@ select r.batch, o.row_id from r join o on r.class = o.class and r.position = o.p
 """
 
 
-@query("batches_balanced", _with_replacement(_ORDERED, BATCH_LEN // 2))
+BATCHES_SQL = _with_replacement(_ORDERED, BATCH_LEN // 2)
+
+
+@query("batches_balanced", BATCHES_SQL)
 def batches_balanced(spark, folder):
     return _batches(spark, folder).draws
 

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.catalog.draws import BALANCED_SQL, HOLDOUT_SQL, SEED, STRATA_SQL, TEST_SIZE
+from strataloom.catalog.draws import (
+    BALANCED_SQL,
+    BATCH_LEN,
+    BATCHES_SQL,
+    HOLDOUT_SQL,
+    N_BATCHES,
+    SEED,
+    STRATA_SQL,
+    TEST_SIZE,
+)
 from strataloom.catalog.metrics import pair_auc, rounded
 from strataloom.catalog.registry import FRAMES, FX_FRAMES, FX_ORDERS, SUBJECTS, h, query
 from strataloom.catalog.views import fx_frames, fx_orders
@@ -12,6 +21,7 @@ from strataloom.config import StudySettings
 from strataloom.operators import ensemble, mllib, sampling
 from strataloom.operators.knn import knn_votes, nearest
 from strataloom.operators.ridge import ridge_grams, score_linear, solve_ridge
+from strataloom.operators.trees import TREE_TYPE, fit_trees
 from strataloom.plans.experiment import HoldoutExperiment, LeaveStratumOutExperiment, StratifiedExperiment
 
 # Ridge of the target on one feature, for each segment and several penalties.
@@ -60,7 +70,9 @@ from ({_SIGNED}) s join ({_RIDGE}) n on s.fold = n.fold group by s.fold, s.row_i
 
 def _linear_ensemble(spark, folder):
     rows, nodes = _ridge_nodes(spark, folder)
-    numbered = nodes.withColumn("kind", F.lit("Ridge")).withColumn("node", F.col("attempt"))
+    numbered = nodes.select(
+        "*", F.lit("Ridge").alias("kind"), F.col("attempt").alias("node"), F.lit(None).cast(TREE_TYPE).alias("tree")
+    )
     return rows, ensemble.FittedEnsemble(numbered, 5, ["x"], "target", "row_id", {}, rows, 0, [])
 
 
@@ -127,6 +139,37 @@ _learner("tree", "tree_votes", {"max_depth": 6, "max_features": 4, "min_samples_
 _learner("rf", "forest_votes", {"n_estimators": 20, "max_depth": 6})
 
 
+@query("tree_stumps", f"""
+with s as (select d.batch, s.amount as x, s.target as y from ({BATCHES_SQL}) d join ({FX_ORDERS}) s on d.row_id = s.row_id),
+v as (select batch, x, count(*) as n, sum(y) as p from s group by batch, x),
+c as (select batch, x, lead(x) over w as next_x, sum(n) over w as ln, sum(p) over w as lp,
+             sum(n) over (partition by batch) as n, sum(p) over (partition by batch) as p
+      from v window w as (partition by batch order by x)),
+g as (select *, round((lp - lp::double * lp / ln) + ((p - lp) - (p - lp)::double * (p - lp) / (n - ln)), 9) as cost
+      from c where next_x is not null and ln >= 50 and n - ln >= 50),
+b as (select *, row_number() over (partition by batch order by cost, x) as nth from g)
+select cast(batch as bigint) as batch, round((x + next_x) / 2, 6) as threshold, cast(2 * lp > ln as integer) as left_vote,
+       cast(2 * (p - lp) > n - ln as integer) as right_vote
+from b where nth = 1""")
+def tree_stumps(spark, folder):
+    """One-split trees on the balanced batches: the split of least impurity."""
+    signals = fx_orders(spark, folder)
+    batches = sampling.generate_batches(signals, N_BATCHES, BATCH_LEN, "target", "row_id", ["amount"], seed=SEED)
+    drawn = sampling.fetch_rows(batches.draws, signals, "row_id", batches.n_rows_bound)
+    rows = drawn.select(
+        F.lit(0).alias("fold"), F.col("batch").cast("bigint").alias("attempt"),
+        F.explode(F.array(F.lit("train"), F.lit("test"))).alias("side"), F.col("row_id").alias("slot"),
+        F.col("target").alias("y"), F.lit(1).alias("max_depth"), F.lit(None).cast("string").alias("max_features"),
+        F.lit(50).alias("min_leaf"), F.lit(0).alias("seed"), F.col("amount").alias("x"),
+    )
+    nodes = F.col("tree")
+    root = F.get(nodes, F.lit(0))
+    return fit_trees(rows, ["x"], "int").select(
+        F.col("attempt").alias("batch"), F.round(root["threshold"], 6).alias("threshold"),
+        F.get(nodes, root["left"])["vote"].alias("left_vote"), F.get(nodes, root["right"])["vote"].alias("right_vote"),
+    )
+
+
 def study_settings(kinds=("Ridge",), sizes=(8,), params=({"alpha": {"range": [0.5, 2.0]}},), get_best=5, inputs=("amount",),
                    encoders=False, frames=(), target="target") -> StudySettings:
     """Settings for studies on the order signals."""
@@ -256,8 +299,9 @@ def _full_signals(spark, folder):
 
 @query("mixed_study_scores")
 def mixed_study_scores(spark, folder):
-    """Encode, scale and compress; ridge, kNN and logistic nodes vote together."""
-    settings = study_settings(("Ridge", "knn", "logistic"), (8, 3, 2), ({"alpha": 1.2}, {}, {}), get_best=10,
+    """Encode, scale and compress; ridge, tree, kNN and logistic nodes vote together."""
+    settings = study_settings(("Ridge", "tree", "knn", "logistic"), (8, 4, 2, 2),
+                              ({"alpha": 1.2}, {"max_depth": 6, "min_samples_leaf": 5}, {}, {}), get_best=12,
                               inputs=("priority", "amount"), encoders=True, frames=FRAMES)
     study = HoldoutExperiment(_full_signals(spark, folder), settings, seed=SEED)
     return rounded(study.run(2, TEST_SIZE), "fold")

@@ -108,7 +108,7 @@ with f as ({HOLDOUT_SQL})
 select f.fold, f.role, f.subject, f.n_draws, s.row_id from ({FX_ORDERS}) s join f on s.subject = f.subject""")
 def fold_signals(spark, folder):
     signals = fx_orders(spark, folder).select("subject", "row_id")
-    hot = ops.hot_subjects(signals, "subject")
+    hot = ops.hot_subjects(ops.subject_sizes(signals, "subject"), "subject")
     return ops.join_members(signals, _folds(spark, folder), "subject", "row_id", hot).select(
         "fold", "role", "subject", "n_draws", "row_id"
     )

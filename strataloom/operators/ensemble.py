@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import hash60, uniform
-from strataloom.materialize import pin, pin_by
-from strataloom.operators import mllib
+from strataloom.materialize import broadcast_if_small, pin, pin_by
+from strataloom.operators import mllib, trees
 from strataloom.operators.draws import draw_with_replacement, group_sizes, index_rows, n_draws_of, small_table
 from strataloom.operators.knn import knn_votes, nearest
 from strataloom.operators.metrics import check_threshold, classify
@@ -24,12 +24,14 @@ from strataloom.operators.subjects import N_DRAWS, join_members, require_columns
 
 KINDS = ("Ridge", "knn", *mllib.LEARNERS)
 ATTEMPTS_PER_NODE = 20
-# Coefficients up to this number are shipped to the tasks as one array.
-_SHIPPED_COEFFICIENTS = 20_000_000
+# Model numbers shipped to the tasks in one piece; folds beyond it are predicted in turn.
+_SHIPPED_NUMBERS = 20_000_000
+# Batches up to this length are kept in one task each while their nodes are fitted.
+_COLOCATED_ROWS = 1_000_000
 _MLLIB_THREADS = 8
 _NODE_FIELDS = (
     ("attempt", "bigint"), ("train_batch", "bigint"), ("test_batch", "bigint"), ("params", "map<string,string>"),
-    ("intercept", "double"), ("coef", "array<double>"), ("test_score", "double"), ("train_score", "double"),
+    ("intercept", "double"), ("coef", "array<double>"), ("tree", trees.TREE_TYPE), ("test_score", "double"), ("train_score", "double"),
 )
 
 
@@ -224,15 +226,15 @@ class Ensemble:
         )
         split, n_subjects = inner_split(fit_members, classes, subject, plan.split_fraction, seed)
         draws, batches, n_draws, batch_len = draw_batches(
-            signals, pin(split), n_subjects, plan, subject, target, row_id, seed, hot
+            signals, broadcast_if_small(pin(split)), n_subjects, plan, subject, target, row_id, seed, hot
         )
         drawn = fetch_rows(draws, signals, row_id, n_draws)
-        rows = pin(
-            transform(drawn).select(
-                "fold", "side", "batch", "slot", F.col(target).cast("int").alias("y"),
-                *[F.col(c).cast("double").alias(c) for c in features],
-            )
+        rows = transform(drawn.withColumn("__truth", F.col(target).cast("int"))).select(
+            "fold", "side", "batch", "slot", F.col("__truth").alias("y"),
+            *[F.col(c).cast("double").alias(c) for c in features],
         )
+        # a batch in one partition needs no merging of partial sums
+        rows = pin(rows.repartition("fold", "side", "batch") if batch_len <= _COLOCATED_ROWS else rows)
         kind = dict(rows.dtypes)["fold"]
         folds = small_table(
             signals.sparkSession, [(f, a, b) for f, (a, b) in batches.items()],
@@ -267,7 +269,7 @@ class _Fit:
 
     def fit_kind(self, spec: NodeSpec, kind_no: int) -> DataFrame:
         """Waves of attempts until every fold has its nodes; the accepted set does not depend on waves."""
-        run = {"Ridge": self._ridge, "knn": self._knn}.get(spec.kind, self._mllib)
+        run = {"Ridge": self._ridge, "knn": self._knn, "tree": self._tree}.get(spec.kind, self._mllib)
         scored, first, limit = None, 0, self.per_node * spec.size
         wave = spec.size
         while True:
@@ -291,6 +293,31 @@ class _Fit:
     def side(self, side: str) -> DataFrame:
         return self.rows.filter(F.col("side") == side)
 
+    def _columns(self, nodes: DataFrame) -> DataFrame:
+        """Node columns in their order; those a learner does not have are null."""
+        return nodes.select(
+            "fold", *[F.col(n) if n in nodes.columns else F.lit(None).cast(t).alias(n) for n, t in _NODE_FIELDS]
+        )
+
+    def _tree(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
+        if self.batch_len > trees.GROUP_ROWS:
+            return self._mllib(spec, kind_no, table)
+
+        def setting(name: str) -> Column:
+            return F.try_element_at("params", F.lit(name))
+
+        sides = [F.struct(F.lit(s).alias("side"), F.col(f"{s}_batch").alias("batch")) for s in ("train", "test")]
+        tries = table.select(
+            "fold", "attempt", setting("max_depth").cast("int").alias("max_depth"),
+            setting("max_features").alias("max_features"),
+            F.coalesce(setting("min_samples_leaf").cast("int"), F.lit(1)).alias("min_leaf"),
+            hash60(self.seed, "tree", kind_no, F.col("fold"), F.col("attempt")).alias("seed"),
+            F.inline(F.array(*sides)),
+        )
+        rows = self.rows.join(F.broadcast(tries), ["fold", "side", "batch"])
+        fitted = trees.fit_trees(rows, self.features, self.fold_type)
+        return pin(self._columns(table.join(fitted, ["fold", "attempt"])))
+
     def _ridge(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         alpha = F.coalesce(F.try_element_at("params", F.lit("alpha")).cast("double"), F.lit(1.0))
         tries = table.withColumn("alpha", alpha).withColumnRenamed("train_batch", "batch")
@@ -302,11 +329,11 @@ class _Fit:
         )
         for side in ("test", "train"):
             score = score_linear(
-                nodes.withColumn("__batch", F.col(f"{side}_batch")), self.side(side),
+                broadcast_if_small(nodes.withColumn("__batch", F.col(f"{side}_batch"))), self.side(side),
                 {"fold": "fold", "__batch": "batch"}, self.features, "y", f"{side}_score",
             )
             nodes = nodes.join(score, ["fold", "attempt"])
-        return pin(nodes.select("fold", *[n for n, _ in _NODE_FIELDS]))
+        return pin(self._columns(nodes))
 
     def _knn(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         k = int(spec.params.get("n_neighbors", 5))
@@ -326,10 +353,7 @@ class _Fit:
                 .agg(F.avg((F.col("vote") == F.col("y")).cast("double")).alias(f"{side}_score"))
             )
             nodes = nodes.join(score, ["fold", "attempt"])
-        empty = {"intercept": "double", "coef": "array<double>"}
-        for name, kind in empty.items():
-            nodes = nodes.withColumn(name, F.lit(None).cast(kind))
-        return pin(nodes.select("fold", *[n for n, _ in _NODE_FIELDS]))
+        return pin(self._columns(nodes))
 
     def _mllib(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         assembled = pin_by(
@@ -353,7 +377,7 @@ class _Fit:
             )
             score = {r["side"]: r["score"] for r in hits.collect()}
             self.models[(t["fold"], kind_no, t["attempt"])] = model
-            return (t["fold"], t["attempt"], t["train_batch"], t["test_batch"], t["params"], None, None,
+            return (t["fold"], t["attempt"], t["train_batch"], t["test_batch"], t["params"], None, None, None,
                     score.get("test"), score.get("train"))
 
         with ThreadPoolExecutor(_MLLIB_THREADS) as pool:
@@ -404,16 +428,13 @@ class FittedEnsemble:
         df = rows.withColumn("fold", F.lit(0)) if single else rows
         kept = df.columns
         kinds = {r["kind"] for r in self.nodes.select("kind").distinct().collect()}
+        steps = [("__shipped", bool(kinds & {"Ridge", "tree"}), self._shipped),
+                 ("__mllib", bool(self.models), self._mllib), ("__near", "knn" in kinds, self._knn)]
         votes = []
-        if "Ridge" in kinds:
-            df = self._linear(df).withColumnRenamed("__votes", "__linear")
-            votes.append("__linear")
-        if kinds & set(mllib.LEARNERS):
-            df = self._mllib(df).withColumnRenamed("__votes", "__mllib")
-            votes.append("__mllib")
-        if "knn" in kinds:
-            df = self._knn(df).withColumnRenamed("__votes", "__near")
-            votes.append("__near")
+        for name, used, step in steps:
+            if used:
+                df = step(df).withColumnRenamed("__votes", name)
+                votes.append(name)
         total = F.lit(0.0)
         for v in votes:
             total = total + F.coalesce(F.col(v), F.lit(0.0))
@@ -425,30 +446,41 @@ class FittedEnsemble:
         check_threshold(threshold)
         return classify(self.predict_proba(rows), threshold)
 
-    def _linear(self, df: DataFrame) -> DataFrame:
-        nodes = self.nodes.filter(F.col("kind") == "Ridge").select("fold", "node", "intercept", "coef")
-        if nodes.count() * (len(self.features) + 1) > _SHIPPED_COEFFICIENTS:
-            return joined_linear_votes(df, nodes, self.features, self.row_id)
-        models: dict = {}
-        for r in nodes.collect():
-            models.setdefault(r["fold"], []).append([r["intercept"], *r["coef"]])
-        shipped = {f: np.array(m).T for f, m in models.items()}
-
-        @F.pandas_udf("double")
-        def count_votes(fold: pd.Series, *x: pd.Series) -> pd.Series:
-            values = np.column_stack([np.ones(len(fold)), *[c.to_numpy(dtype=float) for c in x]])
-            out = np.zeros(len(fold))
-            for f, at in fold.groupby(fold, sort=False).indices.items():
-                if f in shipped:
-                    out[at] = (values[at] @ shipped[f] > 0).sum(axis=1)
-            return pd.Series(out)
-
-        return df.withColumn("__votes", count_votes("fold", *[F.col(c).cast("double") for c in self.features]))
+    def _shipped(self, df: DataFrame) -> DataFrame:
+        """Votes of linear nodes and trees, by one vectorised function over all folds.
+
+        Models are sent to the tasks fold by fold in pieces of bounded size; usually one.
+        """
+        found = self.nodes.filter(F.col("coef").isNotNull() | F.col("tree").isNotNull()).select(
+            "fold", "intercept", "coef", "tree"
+        )
+        linear, grown, size = {}, {}, {}
+        for r in found.toLocalIterator():
+            if r["coef"] is not None:
+                linear.setdefault(r["fold"], []).append([r["intercept"], *r["coef"]])
+                size[r["fold"]] = size.get(r["fold"], 0) + len(r["coef"]) + 1
+            else:
+                grown.setdefault(r["fold"], []).append(trees.tree_arrays(r["tree"]))
+                size[r["fold"]] = size.get(r["fold"], 0) + 5 * len(r["tree"])
+        pieces, room = [[]], _SHIPPED_NUMBERS
+        for fold, n in size.items():
+            if n > room and pieces[-1]:
+                pieces.append([])
+                room = _SHIPPED_NUMBERS
+            pieces[-1].append(fold)
+            room -= n
+        columns = [F.col(c).cast("double") for c in self.features]
+        total = F.lit(0.0)
+        for folds in pieces:
+            count = vote_counter({f: np.array(linear[f]).T for f in folds if f in linear},
+                                 {f: grown[f] for f in folds if f in grown})
+            total = total + count("fold", *columns)
+        return df.withColumn("__votes", total)
 
     def _mllib(self, df: DataFrame) -> DataFrame:
-        nodes = self.nodes.filter(F.col("kind").isin(*mllib.LEARNERS)).select("fold", "kind_no", "attempt").collect()
+        nodes = self.nodes.filter(F.col("kind").isin(*mllib.LEARNERS) & F.col("tree").isNull())
         by_fold: dict = {}
-        for r in nodes:
+        for r in nodes.select("fold", "kind_no", "attempt").collect():
             by_fold.setdefault(r["fold"], []).append(self.models[(r["fold"], r["kind_no"], r["attempt"])])
         assembled = mllib.assemble(df, self.features)
         parts = [assembled.filter(~F.col("fold").isin(list(by_fold))).withColumn("__votes", F.lit(0.0))]
@@ -488,6 +520,24 @@ class FittedEnsemble:
         return df.join(total, ["fold", self.row_id], "left")
 
 
+def vote_counter(linear: dict, grown: dict):
+    """Function of ``(fold, features…)`` that counts the fold's nodes voting 1."""
+
+    @F.pandas_udf("double")
+    def count_votes(fold: pd.Series, *x: pd.Series) -> pd.Series:
+        values = np.column_stack([np.ones(len(fold)), *[c.to_numpy(dtype=float) for c in x]])
+        out = np.zeros(len(fold))
+        for f, at in fold.groupby(fold, sort=False).indices.items():
+            rows = values[at]
+            if f in linear:
+                out[at] += (rows @ linear[f] > 0).sum(axis=1)
+            for tree in grown.get(f, ()):
+                out[at] += trees.tree_vote(rows[:, 1:], tree)
+        return pd.Series(out)
+
+    return count_votes
+
+
 def joined_linear_votes(df: DataFrame, nodes: DataFrame, features, row_id: str) -> DataFrame:
     """Number of linear nodes voting 1 for each row, by a join of rows to their fold's nodes."""
     votes = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 N_DRAWS = "n_draws"
+VARIES = "__varies_"
 # At most 1 / HOT_SHARE subjects can each hold more than HOT_SHARE of all rows.
 HOT_SHARE = 0.01
 HOT_SALTS = 64
@@ -25,19 +26,22 @@ def _maximum(df: DataFrame, column: str) -> Column:
     return F.max(column)
 
 
-def roll_up_subjects(signals: DataFrame, subject: str, info=None) -> DataFrame:
+def roll_up_subjects(signals: DataFrame, subject: str, info=None, watched=(), rows: str | None = None) -> DataFrame:
     """One row per subject holding the maximum of each info column.
 
     Null subjects are dropped. ``max`` combines on the map side, so a subject with a
-    large share of the rows costs no more than any other.
+    large share of the rows costs no more than any other. For ``watched`` columns a flag
+    ``__varies_…`` tells whether they vary within the subject; ``rows`` names a row count.
     """
     require_columns(signals, [subject])
     columns = list(dict.fromkeys(c for c in (signals.columns if info is None else info) if c != subject))
-    require_columns(signals, columns)
+    require_columns(signals, [*columns, *watched])
+    extra = [(F.min(c) != F.max(c)).alias(f"{VARIES}{c}") for c in watched]
+    if rows is not None:
+        extra.append(F.count("*").alias(rows))
     known = signals.filter(F.col(subject).isNotNull())
-    if not columns:
-        return known.select(subject).distinct()
-    return known.groupBy(subject).agg(*[_maximum(signals, c).alias(c) for c in columns])
+    values = [_maximum(signals, c).alias(c) for c in columns] + extra
+    return known.groupBy(subject).agg(*values) if values else known.select(subject).distinct()
 
 
 def varying_within_subject(signals: DataFrame, subject: str, columns) -> DataFrame:
@@ -79,11 +83,15 @@ def split_by_value(df: DataFrame, column: str, value, flag: str = "matches") ->
     return df.withColumn(flag, F.col(column).eqNullSafe(F.lit(value)))
 
 
-def hot_subjects(signals: DataFrame, subject: str, share: float = HOT_SHARE) -> list:
+def subject_sizes(signals: DataFrame, subject: str, rows: str = "n_rows") -> DataFrame:
+    """Rows per subject."""
+    return signals.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*").alias(rows))
+
+
+def hot_subjects(sizes: DataFrame, subject: str, rows: str = "n_rows", share: float = HOT_SHARE) -> list:
     """Subjects holding more than ``share`` of all rows; at most ``1 / share`` of them."""
-    sizes = signals.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    return [r[0] for r in sizes.filter(F.col("n") > total * share).select(subject).collect()]
+    total = sizes.agg(F.sum(rows)).first()[0] or 0
+    return [r[0] for r in sizes.filter(F.col(rows) > total * share).select(subject).collect()]
 
 
 def _salt(df: DataFrame, subject: str, hot: list, row_key: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.config import StudySettings
-from strataloom.materialize import pin
+from strataloom.materialize import BROADCAST_ROWS, pin
 from strataloom.operators import metrics
 from strataloom.operators.compress import SignalCompressor
 from strataloom.operators.ensemble import Ensemble
@@ -16,16 +16,18 @@ from strataloom.operators.folds import holdout_folds, strata_folds
 from strataloom.operators.sampling import resolve_variables
 from strataloom.operators.subjects import (
     N_DRAWS,
+    VARIES,
     hot_subjects,
     join_members,
     require_columns,
     roll_up_subjects,
-    varying_within_subject,
 )
 from strataloom.operators.transform import encoder_chain, fit_stages, normalizer_chain
 
 log = logging.getLogger(__name__)
 
+ROWS = "n_rows"
+
 
 class Experiment:
     """Runs encode → normalise → compress → fit → vote → score on every fold at once."""
@@ -42,13 +44,19 @@ class Experiment:
         self.ensemble = self.stats = self.predictions = None
 
     def subject_table(self, *extra: str) -> DataFrame:
-        """Subjects with their info columns, always including the target and ``extra``."""
-        info = list(dict.fromkeys([*self.settings.subject.info, self.target, *[e for e in extra if e]]))
+        """Subjects with their info columns, always including the target and ``extra``.
+
+        The same pass counts the rows of each subject and sees which columns vary within one.
+        """
         watched = [c for c in dict.fromkeys([self.target, *extra]) if c]
-        for r in varying_within_subject(self.signals, self.subject, watched).collect():
-            if r["n_subjects"]:
-                log.warning("column %s varies within %d subjects; the maximum is used", r["column"], r["n_subjects"])
-        return pin(roll_up_subjects(self.signals, self.subject, info))
+        info = list(dict.fromkeys([*self.settings.subject.info, *watched]))
+        subjects = pin(roll_up_subjects(self.signals, self.subject, info, watched, ROWS))
+        flags = [f"{VARIES}{c}" for c in watched]
+        varying = subjects.agg(*[F.count_if(F.col(f)).alias(f) for f in flags]).first()
+        for column, flag in zip(watched, flags):
+            if varying[flag]:
+                log.warning("column %s varies within %d subjects; the maximum is used", column, varying[flag])
+        return subjects.drop(*flags)
 
     def _chains(self):
         t = self.settings.transformer
@@ -61,9 +69,14 @@ class Experiment:
         """Fit and predict; leaves ``predictions`` with one row per fold and validation signal."""
         e = self.settings.ensemble
         self.folds = folds = pin(folds)
-        hot = hot_subjects(self.signals, self.subject)
         fit_members = folds.filter("role = 'fit'").select("fold", self.subject, N_DRAWS)
         val_members = folds.filter("role = 'val'").select("fold", self.subject, N_DRAWS)
+        # a small fold table is broadcast and signals stay in place; otherwise hot subjects are spread
+        hot = []
+        if folds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            fit_members, val_members = F.broadcast(fit_members), F.broadcast(val_members)
+        else:
+            hot = hot_subjects(subjects, self.subject, ROWS)
         fit_rows = join_members(self.signals, fit_members, self.subject, self.row_id, hot)
         self.chain = fit_stages(fit_rows, ["fold"], N_DRAWS, *self._chains())
         features = self.chain.features(self.inputs)
@@ -126,9 +139,9 @@ class StratifiedExperiment(Experiment):
         subjects = self.subject_table(strata_variable, balanced_by)
         folds = strata_folds(subjects, self.subject, strata_variable, balanced_by, seed=self.seed)
         scored = self._run(subjects, folds)
-        # rows per subject are counted once; the folds weigh them
-        sizes = self.signals.groupBy(self.subject).agg(F.count("*").alias("__rows"))
-        members = self.folds.join(sizes, self.subject).withColumn("__w", F.col("__rows") * F.col(N_DRAWS))
+        members = self.folds.join(subjects.select(self.subject, ROWS), self.subject).withColumn(
+            "__w", F.col(ROWS) * F.col(N_DRAWS)
+        )
         self.stats = pin(
             metrics.fold_rates(scored, "y", N_DRAWS)
             .join(metrics.strata_auc(scored, "y", N_DRAWS), "fold")

@@ -14,6 +14,8 @@ For larger ones no task ever sorts a group:
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,10 @@ _SPARE_SLOTS = 64
 
 def small_table(spark: SparkSession, rows, fields) -> DataFrame:
     """A table of literal rows, for lists of a known small size; ``fields`` are (name, type)."""
-    literals = [
-        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows
-    ]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*literals)))
+    names = [name for name, _ in fields]
+    text = json.dumps([dict(zip(names, row)) for row in rows], default=str)
+    kind = "array<struct<" + ",".join(f"`{name}`:{kind}" for name, kind in fields) + ">>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), kind)))
 
 
 def prefix_bits(largest: int) -> int:

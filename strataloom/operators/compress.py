@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.estimators import estimator
+from strataloom.operators.cells import CELL, WEIGHT, FitCells
 from strataloom.operators.gram import grouped_gram, matrix_of
 from strataloom.operators.keyed import Keyed, parameters
 from strataloom.operators.subjects import require_columns
 
 _MAX_ROUNDS = 300
+# Above this many cells their Gram matrices cost more than a pass over the rows of every fold.
+MAX_GRAM_CELLS = 1_000
 
 
 def cluster_columns(gram: np.ndarray, k: int) -> np.ndarray:
@@ -80,22 +83,28 @@ def by_first_column(labels: np.ndarray) -> np.ndarray:
     return np.array([order[label] for label in labels.tolist()])
 
 
-def fit_groups(df: DataFrame, keys, columns, k: int, weight: str | None = None, contiguous: bool = False) -> DataFrame:
+def fit_groups(df: DataFrame, keys, columns, k: int, weight: str | None = None, contiguous: bool = False,
+               cells: FitCells | None = None) -> DataFrame:
     """Column positions of each cluster, ``(keys, groups array<array<int>>)``, one row per key."""
     p = len(columns)
     if not 1 <= k <= p:
         raise ValueError(f"number of clusters must lie in 1…{p}, got {k}")
     keys = list(keys)
 
-    def solve(cells: pd.DataFrame) -> pd.DataFrame:
-        labels = (segment_columns if contiguous else cluster_columns)(matrix_of(cells, p), k)
-        out = cells[keys].head(1).copy()
+    def solve(found: pd.DataFrame) -> pd.DataFrame:
+        labels = (segment_columns if contiguous else cluster_columns)(matrix_of(found, p), k)
+        out = found[keys].head(1).copy()
         out["groups"] = [[np.flatnonzero(labels == c).tolist() for c in range(k)]]
         return out
 
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys]
-    cells = grouped_gram(df, keys, columns, weight, center_rows=True)
-    return cells.groupBy(*keys).applyInPandas(solve, ", ".join([*fields, "groups array<array<int>>"]))
+    if cells is None:
+        gram = grouped_gram(df, keys, columns, weight, center_rows=True)
+    else:
+        gram = cells.merge(grouped_gram(cells.rows, [CELL], columns, center_rows=True)).groupBy(*keys, "i", "j").agg(
+            F.sum(F.col(WEIGHT) * F.col("v")).alias("v")
+        )
+    fields = [f"`{c}` {gram.schema[c].dataType.simpleString()}" for c in keys]
+    return gram.groupBy(*keys).applyInPandas(solve, ", ".join([*fields, "groups array<array<int>>"]))
 
 
 class SignalCompressor:
@@ -113,13 +122,14 @@ class SignalCompressor:
         self.estimators = [estimator(e) for e in estimators]
         self.contiguous = contiguous
 
-    def fit(self, df: DataFrame, keys=(), weight: str | None = None) -> CompressorModel:
+    def fit(self, df: DataFrame, keys=(), weight: str | None = None, cells: FitCells | None = None) -> CompressorModel:
         keyed = Keyed(keys)
         rows = keyed.add(df)
         groups = []
         for k, columns in zip(self.n_clusters, self.input_columns):
             require_columns(df, columns)
-            groups.append(parameters(fit_groups(rows, keyed.keys, columns, k, weight, self.contiguous)))
+            own = cells if cells is not None and cells.n_cells <= MAX_GRAM_CELLS else None
+            groups.append(parameters(fit_groups(rows, keyed.keys, columns, k, weight, self.contiguous, own)))
         return CompressorModel(self, groups, keyed)
 
 

@@ -26,8 +26,11 @@ WINDOW_ROWS = 200_000
 # Rows a hash prefix should hold, and the longest prefix, for larger groups.
 PREFIX_ROWS = 1_000
 MAX_PREFIX_BITS = 24
+ORDER = "__order"
 _COARSE_SHIFT = 12
 _SLOT_CHUNK = 4096
+# Draws up to this number are broadcast; their number follows from the settings.
+DRAWS_BROADCAST = 2_000_000
 # Requests up to this many slots are expanded where they are.
 _LOCAL_SLOTS = 500_000
 _FIRST_BITS = 10
@@ -51,9 +54,13 @@ def prefix_bits(largest: int) -> int:
 
 
 def index_rows(pool: DataFrame, by, row_id: str, weight: str | None = None) -> DataFrame:
-    """Narrow view of the pool: group, id, order hash and multiplicity."""
+    """Narrow view of the pool: group, id, order hash and multiplicity.
+
+    A pool that repeats its rows may bring the hash along as ``ORDER``.
+    """
     times = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    return pool.select(*by, F.col(row_id), times.alias("__times"), hash60(F.col(row_id)).alias("__order"))
+    order = F.col(ORDER) if ORDER in pool.columns else hash60(F.col(row_id))
+    return pool.select(*by, F.col(row_id), times.alias("__times"), order.alias(ORDER))
 
 
 def _prefix(bits: int) -> Column:
@@ -109,8 +116,12 @@ def _ranked(rows: DataFrame, by, row_id: str, rank: str) -> DataFrame:
     )
 
 
-def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits: int) -> DataFrame:
-    """Replace ``position`` (of ``n``) in ``draws`` by the id of the row standing there."""
+def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits: int, n_draws: int) -> DataFrame:
+    """Replace ``position`` (of ``n``) in ``draws`` by the id of the row standing there.
+
+    With at most ``DRAWS_BROADCAST`` draws the prefixes hit are broadcast, and only rows in
+    them are shuffled.
+    """
     by = list(by)
     if bits == 0:
         ranked = _ranked(rows, by, row_id, "position")
@@ -126,6 +137,7 @@ def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits:
     )
     in_prefix = [*by, "__prefix"]
     hit = placed.select(*in_prefix).distinct()
+    hit = F.broadcast(hit) if n_draws <= DRAWS_BROADCAST else hit
     near = rows.withColumn("__prefix", _prefix(bits)).join(hit, in_prefix, "left_semi")
     ranked = _ranked(near, in_prefix, row_id, "__rank")
     return placed.join(ranked, [*in_prefix, "__rank"]).drop("__prefix", "__rank")
@@ -177,7 +189,7 @@ def draw_with_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: st
     drawn = expand_slots(_requests(rows, by, groups, batches), n_slots).withColumn(
         "position", hash60(seed, op, *[F.col(c) for c in key], F.col("slot")) % F.col("n")
     ).drop("k")
-    return rows_at_positions(drawn, rows, by, row_id, bits)
+    return rows_at_positions(drawn, rows, by, row_id, bits, n_slots)
 
 
 def take_first(df: DataFrame, by, order: str, bucket: Column, size: str, tie=()) -> DataFrame:
@@ -238,7 +250,7 @@ def _first_distinct(rows, by, groups, row_id, seed, op, batches, bits) -> DataFr
     )
     step = F.expr(f"draw_key * {1 << _FIRST_BITS} div (k * 2 + {_SPARE_SLOTS})")
     kept = take_first(first_seen, key, "draw_key", step, "k").drop("k")
-    return rows_at_positions(kept, rows, by, row_id, bits).select(*key, "draw_key", row_id)
+    return rows_at_positions(kept, rows, by, row_id, bits, n_draws_of(groups, batches)).select(*key, "draw_key", row_id)
 
 
 def _hash_ordered(rows, by, groups, row_id, seed, op, batches) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.operators.cells import WEIGHT, FitCells
 from strataloom.operators.keyed import Keyed, parameters
 from strataloom.operators.subjects import require_columns
 
@@ -33,16 +34,17 @@ class OneHotEncoder:
         self.columns = list(columns)
         self.drop_invariant = drop_invariant
 
-    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None) -> OneHotModel:
-        require_columns(df, self.columns)
+    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None,
+            cells: FitCells | None = None) -> OneHotModel:
         keyed = Keyed(keys)
-        counted = (
-            keyed.add(df)
-            .select(*keyed.keys, _categories(df, self.columns).alias("__c"))
-            .groupBy(*keyed.keys, "__c.column", "__c.value")
-            .agg(F.count("*").alias("n"))
-            .collect()
-        )
+        df, by = keyed.source(df, cells)
+        require_columns(df, self.columns)
+        counted = df.select(*by, _categories(df, self.columns).alias("__c")).groupBy(
+            *by, "__c.column", "__c.value"
+        ).agg(F.count("*").alias("n"))
+        if cells is not None:
+            counted = cells.merge(counted).groupBy(*keyed.keys, "column", "value").agg(F.sum("n").alias("n"))
+        counted = counted.collect()
         counts: dict[tuple, dict[tuple, int]] = {}
         for r in counted:
             counts.setdefault(tuple(r[k] for k in keyed.keys), {})[(r["column"], r["value"])] = r["n"]
@@ -97,18 +99,22 @@ class TargetEncoder:
         self.min_samples_leaf = min_samples_leaf
         self.smoothing = smoothing
 
-    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None) -> TargetModel:
+    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None,
+            cells: FitCells | None = None) -> TargetModel:
         if target is None:
             raise ValueError("target encoding needs a target column")
-        require_columns(df, [*self.columns, target])
         keyed = Keyed(keys)
-        w, y = _weight(weight), F.col(target).cast("double")
-        rows = keyed.add(df).select(*keyed.keys, w.alias("__w"), (w * y).alias("__wy"),
-                                    _categories(df, self.columns).alias("__c"))
+        df, by = keyed.source(df, cells)
+        require_columns(df, [*self.columns, target])
+        w, y = _weight(None if cells else weight), F.col(target).cast("double")
+        rows = df.select(*by, w.alias("__w"), (w * y).alias("__wy"), _categories(df, self.columns).alias("__c"))
         # one pass: the first column's categories (null included) add up to the prior
-        stats = rows.groupBy(*keyed.keys, "__c.column", "__c.value").agg(
-            F.sum("__w").alias("n"), F.sum("__wy").alias("s")
-        )
+        stats = rows.groupBy(*by, "__c.column", "__c.value").agg(F.sum("__w").alias("n"), F.sum("__wy").alias("s"))
+        if cells is not None:
+            times = F.col(WEIGHT)
+            stats = cells.merge(stats).groupBy(*keyed.keys, "column", "value").agg(
+                F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("s")).alias("s")
+            )
         stats = parameters(stats)
         prior = stats.filter(F.col("column") == self.columns[0]).groupBy(*keyed.keys).agg(
             (F.sum("s") / F.sum("n")).alias("__prior")

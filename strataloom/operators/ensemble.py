@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 from strataloom.functions.hashing import hash60, uniform
 from strataloom.materialize import broadcast_if_small, pin, pin_by
 from strataloom.operators import mllib, trees
-from strataloom.operators.draws import draw_with_replacement, group_sizes, index_rows, n_draws_of, small_table
+from strataloom.operators.draws import (
+    DRAWS_BROADCAST,
+    ORDER,
+    draw_with_replacement,
+    group_sizes,
+    index_rows,
+    n_draws_of,
+    small_table,
+)
 from strataloom.operators.knn import knn_votes, nearest
 from strataloom.operators.metrics import check_threshold, classify
 from strataloom.operators.ridge import linear_vote, ridge_grams, score_linear, solve_ridge
@@ -142,6 +150,8 @@ def inner_split(fit_members: DataFrame, classes: DataFrame, subject: str, fracti
         .groupBy("fold", subject)
         .agg(F.count("*").alias("__drawn"))
     )
+    if n_draws_of(groups) <= DRAWS_BROADCAST:
+        drawn = F.broadcast(drawn)
     split = fit_members.join(drawn, ["fold", subject], "left").select(
         "fold", subject,
         F.when(F.col("__drawn").isNull(), "train").otherwise("test").alias("side"),
@@ -159,15 +169,20 @@ def draw_batches(signals: DataFrame, split: DataFrame, n_subjects: dict, plan: B
     Returns draws ``(fold, side, batch, slot, row_id)``, ``fold -> (n_train, n_test)``, the
     number of draws and the largest batch.
     """
-    narrow = signals.select(row_id, subject, target).filter(F.col(target).isin(0, 1))
-    pool = join_members(narrow, split, subject, row_id, hot).withColumn("class", F.col(target).cast("int"))
+    known = signals.filter(F.col(target).isin(0, 1))
+    narrow = known.select(row_id, subject, F.col(target).cast("int").alias("class"), hash60(F.col(row_id)).alias(ORDER))
     by = ["fold", "side", "class"]
-    rows = index_rows(pool, by, row_id, N_DRAWS)
-    sizes = group_sizes(rows, by)
+    rows = index_rows(join_members(narrow, split, subject, row_id, hot), by, row_id, N_DRAWS)
+    # group sizes come from one count per subject, not from a pass per fold
+    counted = known.groupBy(subject, F.col(target).cast("int").alias("class")).agg(F.count("*").alias("__rows"))
+    totals = counted.join(split, subject).groupBy(*by).agg(
+        F.sum(F.col("__rows") * F.col(N_DRAWS)).alias("n"), F.sum(F.col("__rows") * F.col("__outer")).alias("outer")
+    ).collect()
+    sizes = {(r["fold"], r["side"], r["class"]): r["n"] for r in totals}
+    # default batch sizes follow the fold's fit rows, before the inner draws
     n_rows: dict = {}
-    if plan.train_size is None or plan.test_size is None:
-        # defaults follow the fold's fit rows, before the inner draws
-        n_rows = {r["fold"]: r["n"] for r in pool.groupBy("fold").agg(F.sum("__outer").alias("n")).collect()}
+    for r in totals:
+        n_rows[r["fold"]] = n_rows.get(r["fold"], 0) + r["outer"]
     groups, counts, batches = [], [], {}
     for fold, n in n_subjects.items():
         n_train = plan.n_train or n

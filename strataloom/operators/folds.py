@@ -8,7 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators.draws import draw_with_replacement, group_sizes, index_rows, small_table
+from strataloom.operators.draws import (
+    DRAWS_BROADCAST,
+    draw_with_replacement,
+    group_sizes,
+    index_rows,
+    n_draws_of,
+    small_table,
+)
 from strataloom.operators.subjects import N_DRAWS, require_binary, require_columns
 
 
@@ -35,6 +42,8 @@ def holdout_folds(subjects: DataFrame, subject: str, target: str, n_folds: int,
         .groupBy("fold", subject)
         .agg(F.count("*").alias("__drawn"))
     )
+    if n_draws_of(groups, ("fold", n_folds)) <= DRAWS_BROADCAST:
+        drawn = F.broadcast(drawn)
     everyone = subjects.select(subject).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     return everyone.join(drawn, ["fold", subject], "left").select(
         "fold",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.materialize import broadcast_if_small, pin
+from strataloom.operators.cells import CELL, FitCells
 
 _ALL = "__all"
 
@@ -20,6 +21,10 @@ class Keyed:
     def add(self, df: DataFrame) -> DataFrame:
         return df if self.given else df.withColumn(_ALL, F.lit(0))
 
+    def source(self, df: DataFrame, cells: FitCells | None) -> tuple[DataFrame, list[str]]:
+        """Rows to take statistics from and their grouping: keyed fit rows, or cells of raw rows."""
+        return (self.add(df), self.keys) if cells is None else (cells.rows, [CELL])
+
     def remove(self, df: DataFrame) -> DataFrame:
         return df if self.given else df.drop(_ALL)
 

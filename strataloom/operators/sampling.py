@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import hash60
-from strataloom.materialize import BROADCAST_ROWS
 from strataloom.operators.draws import (
+    DRAWS_BROADCAST,
     draw_with_replacement,
     draw_without_replacement,
     group_sizes,
@@ -82,7 +82,7 @@ def check_samplings(train: Sampling, test: Sampling) -> None:
         raise ValueError("train and test have different input variables")
 
 
-def fetch_rows(draws: DataFrame, signals: DataFrame, on, n_draws: int, limit: int = 10 * BROADCAST_ROWS) -> DataFrame:
+def fetch_rows(draws: DataFrame, signals: DataFrame, on, n_draws: int, limit: int = DRAWS_BROADCAST) -> DataFrame:
     """Join drawn ids to their rows.
 
     The number of draws follows from the settings, so the draws are broadcast when that

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.cells import WEIGHT, FitCells
 from strataloom.operators.keyed import Keyed, parameters
 from strataloom.operators.subjects import expand_draws, require_columns
 
@@ -21,12 +22,25 @@ class MinMaxScaler:
             raise ValueError("feature_range must be increasing")
         self.columns, self.low, self.high = list(columns), low, high
 
-    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None) -> ScalerModel:
-        require_columns(df, self.columns)
+    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None,
+            cells: FitCells | None = None) -> ScalerModel:
         keyed = Keyed(keys)
-        limits = keyed.add(df).groupBy(*keyed.keys).agg(
-            *[F.min(c).cast("double").alias(f"__shift_{i}") for i, c in enumerate(self.columns)],
-            *[(F.max(c) - F.min(c)).cast("double").alias(f"__scale_{i}") for i, c in enumerate(self.columns)],
+        df, by = keyed.source(df, cells)
+        require_columns(df, self.columns)
+        at = range(len(self.columns))
+        limits = df.groupBy(*by).agg(
+            *[F.min(c).cast("double").alias(f"__low_{i}") for i, c in enumerate(self.columns)],
+            *[F.max(c).cast("double").alias(f"__high_{i}") for i, c in enumerate(self.columns)],
+        )
+        if cells is not None:
+            limits = cells.merge(limits).groupBy(*keyed.keys).agg(
+                *[F.min(f"__low_{i}").alias(f"__low_{i}") for i in at],
+                *[F.max(f"__high_{i}").alias(f"__high_{i}") for i in at],
+            )
+        limits = limits.select(
+            *keyed.keys,
+            *[F.col(f"__low_{i}").alias(f"__shift_{i}") for i in at],
+            *[(F.col(f"__high_{i}") - F.col(f"__low_{i}")).alias(f"__scale_{i}") for i in at],
         )
         return ScalerModel(self.columns, parameters(limits), keyed, self.high - self.low, self.low)
 
@@ -37,21 +51,42 @@ class StandardScaler:
     def __init__(self, columns, with_mean: bool = True, with_std: bool = True, **_ignored):
         self.columns, self.with_mean, self.with_std = list(columns), with_mean, with_std
 
-    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None) -> ScalerModel:
-        require_columns(df, self.columns)
+    def fit(self, df: DataFrame, keys=(), weight: str | None = None, target: str | None = None,
+            cells: FitCells | None = None) -> ScalerModel:
         keyed = Keyed(keys)
-        df = keyed.add(df).select(*keyed.keys, *self.columns, *([weight] if weight else []))
-        moments = (expand_draws(df, weight) if weight else df).groupBy(*keyed.keys).agg(
-            *[
-                (F.avg(c) if self.with_mean else F.lit(0.0)).alias(f"__shift_{i}")
-                for i, c in enumerate(self.columns)
-            ],
+        df, by = keyed.source(df, cells)
+        require_columns(df, self.columns)
+        df = df.select(*by, *self.columns, *([weight] if weight and cells is None else []))
+        at = range(len(self.columns))
+        moments = (expand_draws(df, weight) if weight and cells is None else df).groupBy(*by).agg(
+            *[F.count(c).alias(f"__n_{i}") for i, c in enumerate(self.columns)],
+            *[F.avg(c).alias(f"__mean_{i}") for i, c in enumerate(self.columns)],
+            *[F.var_pop(c).alias(f"__var_{i}") for i, c in enumerate(self.columns)],
+        )
+        if cells is not None:
+            moments = self._merged(cells.merge(moments), keyed.keys)
+        moments = moments.select(
+            *keyed.keys,
+            *[(F.col(f"__mean_{i}") if self.with_mean else F.lit(0.0)).alias(f"__shift_{i}") for i in at],
+            *[(F.sqrt(f"__var_{i}") if self.with_std else F.lit(1.0)).alias(f"__scale_{i}") for i in at],
+        )
+        return ScalerModel(self.columns, parameters(moments), keyed, 1.0, 0.0)
+
+    def _merged(self, parts: DataFrame, keys) -> DataFrame:
+        """Moments of unions of cells: spread within the cells plus spread of their means."""
+        at = range(len(self.columns))
+        times = [F.col(WEIGHT) * F.col(f"__n_{i}") for i in at]
+        centers = parts.groupBy(*keys).agg(
+            *[(F.sum(times[i] * F.col(f"__mean_{i}")) / F.sum(times[i])).alias(f"__center_{i}") for i in at]
+        )
+        apart = [F.col(f"__mean_{i}") - F.col(f"__center_{i}") for i in at]
+        return parts.join(centers, keys).groupBy(*keys).agg(
+            *[F.first(f"__center_{i}").alias(f"__mean_{i}") for i in at],
             *[
-                (F.stddev_pop(c) if self.with_std else F.lit(1.0)).alias(f"__scale_{i}")
-                for i, c in enumerate(self.columns)
+                (F.sum(times[i] * (F.col(f"__var_{i}") + apart[i] * apart[i])) / F.sum(times[i])).alias(f"__var_{i}")
+                for i in at
             ],
         )
-        return ScalerModel(self.columns, parameters(moments), keyed, 1.0, 0.0)
 
 
 class ScalerModel:

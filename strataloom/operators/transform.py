@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from strataloom.operators.cells import FitCells
 from strataloom.operators.compress import SignalCompressor
 from strataloom.operators.encode import OneHotEncoder, TargetEncoder
 from strataloom.operators.scale import MinMaxScaler, StandardScaler
@@ -53,16 +53,22 @@ class TransformerChain:
     steps: list
     targets: list | None = None
 
-    def fit(self, df: DataFrame, keys=(), weight: str | None = None) -> FittedChain:
+    def fit(self, df: DataFrame, keys=(), weight: str | None = None, cells: FitCells | None = None) -> FittedChain:
+        return FittedChain(self._fit(df, keys, weight, cells, set())[0])
+
+    def _fit(self, df, keys, weight, cells, changed: set) -> tuple[list, DataFrame]:
+        """Steps that read only columns no step has changed so far may use ``cells``."""
         fitted = []
         for n, step in enumerate(self.steps):
             if not hasattr(step, "fit"):
                 raise TypeError(f"{type(step).__name__} has no fit method")
             target = self.targets[n] if self.targets else None
-            model = step.fit(df, keys=keys, weight=weight, target=target)
+            raw = not changed & {*step.columns, target}
+            model = step.fit(df, keys=keys, weight=weight, target=target, cells=cells if raw else None)
             fitted.append(model)
+            changed |= {*step.columns, *model.added}
             df = model.transform(df)
-        return FittedChain(fitted)
+        return fitted, df
 
     def fit_transform(self, df: DataFrame, keys=(), weight: str | None = None) -> DataFrame:
         return self.fit(df, keys, weight).transform(df)
@@ -84,18 +90,19 @@ def normalizer_chain(names, kwargs, columns) -> TransformerChain:
 
 
 def fit_stages(fit_rows: DataFrame, keys, weight, encoders: TransformerChain | None,
-               normalizers: TransformerChain | None, compressor: SignalCompressor | None) -> FittedChain:
-    """Encode, normalise, compress; every stage sees the fit rows as the stages before left them."""
+               normalizers: TransformerChain | None, compressor: SignalCompressor | None,
+               cells: FitCells | None = None) -> FittedChain:
+    """Encode, normalise, compress; every stage sees the fit rows as the stages before left them.
+
+    With ``cells`` the steps on raw columns read the signals once for all folds.
+    """
     steps: list = []
+    changed: set = set()
     for stage in (encoders, normalizers):
         if stage is not None and stage.steps:
-            model = stage.fit(fit_rows, keys, weight)
-            fit_rows = model.transform(fit_rows)
-            steps += model.steps
+            fitted, fit_rows = stage._fit(fit_rows, keys, weight, cells, changed)
+            steps += fitted
     if compressor is not None and compressor.n_clusters:
-        steps.append(compressor.fit(fit_rows, keys, weight))
+        raw = not changed & {c for columns in compressor.input_columns for c in columns}
+        steps.append(compressor.fit(fit_rows, keys, weight, cells if raw else None))
     return FittedChain(steps)
-
-
-def fit_rows(members: DataFrame) -> DataFrame:
-    return members.filter(F.col("role") == "fit")

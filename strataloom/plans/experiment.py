@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.config import StudySettings
 from strataloom.materialize import BROADCAST_ROWS, pin
 from strataloom.operators import metrics
+from strataloom.operators.cells import fit_cells
 from strataloom.operators.compress import SignalCompressor
 from strataloom.operators.ensemble import Ensemble
 from strataloom.operators.folds import holdout_folds, strata_folds
@@ -78,7 +79,11 @@ class Experiment:
         else:
             hot = hot_subjects(subjects, self.subject, ROWS)
         fit_rows = join_members(self.signals, fit_members, self.subject, self.row_id, hot)
-        self.chain = fit_stages(fit_rows, ["fold"], N_DRAWS, *self._chains())
+        encoders, scalers, compressor = self._chains()
+        cells = None
+        if encoders.steps or scalers.steps or compressor:
+            cells = fit_cells(self.signals, folds, subjects, self.subject, self.row_id, ROWS)
+        self.chain = fit_stages(fit_rows, ["fold"], N_DRAWS, encoders, scalers, compressor, cells)
         features = self.chain.features(self.inputs)
         self.ensemble = Ensemble(e.kinds, e.sizes, e.params).fit_folds(
             self.signals, fit_members, subjects.select(self.subject, self.target), self.subject, self.target,

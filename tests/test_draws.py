@@ -78,7 +78,7 @@ def test_multiplicity_widens_a_row(spark):
     assert group_sizes(index, ["g"]) == {("g",): 4}
     positions = small_table(spark, [("g", 4, p) for p in range(4)], [("g", "string"), ("n", "bigint"), ("position", "bigint")])
     for bits in (0, 3):
-        found = rows_at_positions(positions, index, ["g"], "row_id", bits)
+        found = rows_at_positions(positions, index, ["g"], "row_id", bits, 4)
         assert Counter(r["row_id"] for r in found.collect()) == {0: 1, 1: 3}
 
 

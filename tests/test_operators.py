@@ -238,3 +238,32 @@ def test_compressor_checks(spark):
         SignalCompressor([3], [["a", "b"]], ["mean"]).fit(df)
     with pytest.raises(ValueError):
         SignalCompressor([1, 2], [["a"]], ["mean"])
+
+
+def test_cells_give_the_same_fits_as_a_pass_per_fold(spark):
+    from strataloom.operators.cells import fit_cells
+    from strataloom.operators.folds import holdout_folds, strata_folds
+    from strataloom.operators.subjects import subject_sizes
+    from strataloom.operators.transform import fit_stages
+
+    rng = np.random.default_rng(8)
+    data = [(i, int(s), f"p{s % 3}", int(s) % 2, "abc"[i % 3] if i % 7 else None, *map(float, rng.normal(5, 2, 6)))
+            for i, s in enumerate(rng.integers(0, 40, 800))]
+    names = [f"f{i}" for i in range(5)]
+    signals = spark.createDataFrame(data, "row_id long, subject long, site string, y int, c string, x double, "
+                                    + ", ".join(f"{n} double" for n in names))
+    people = roll_up_subjects(signals, "subject", ["site", "y"])
+    for folds in (holdout_folds(people, "subject", "y", 3, 4, seed=1), strata_folds(people, "subject", "site", "y", seed=1)):
+        rows_of_folds = signals.join(folds, "subject")
+        cells = fit_cells(signals, folds, subject_sizes(signals, "subject"), "subject", "row_id", "n_rows")
+        stages = (encoder_chain(["target_encoder", "one_hot"], [{}, {}], [["c"], ["site"]], ["y", None]),
+                  normalizer_chain(["mean_var_normalization", "min_max_normalization"], [{}, {}], [["x", "c"], ["x"]]),
+                  SignalCompressor([2], [names], ["median"]))
+        out = [
+            fit_stages(rows_of_folds.filter("role = 'fit'"), ["fold"], "n_draws", *stages, c).transform(rows_of_folds)
+            .select("fold", "row_id", "c", "x", "compressed_1_frame_1", "compressed_1_frame_2", "site_1", "site_2")
+            .orderBy("fold", "row_id", "n_draws").toPandas()
+            for c in (None, cells)
+        ]
+        assert out[0].iloc[:, :2].equals(out[1].iloc[:, :2])
+        assert np.allclose(out[0].iloc[:, 2:].to_numpy(float), out[1].iloc[:, 2:].to_numpy(float))

@@ -237,10 +237,30 @@ def frame_clusters(spark, folder):
     return cmp.fit_groups(fx_frames(spark, folder), ["segment"], FRAMES, 4)
 
 
-@query("frame_segments")
+@query("frame_segments", f"""
+with u as (unpivot (select segment, row_id, {", ".join(FRAMES)} from ({FX_FRAMES})) on {", ".join(FRAMES)}
+           into name frame value v),
+m as (select row_id, avg(v) as m from u group by row_id),
+n as (select u.segment, u.row_id, cast(replace(frame, 'signal_frame', '') as integer) - 1 as i, u.v - m.m as v
+      from u join m on u.row_id = m.row_id),
+g as (select a.segment, a.i, b.i as j, sum(a.v * b.v) as v from n a join n b on a.row_id = b.row_id
+      group by a.segment, a.i, b.i),
+cuts as (select x.c as a, y.c as b, z.c as c from range(1, 12) x(c), range(1, 12) y(c), range(1, 12) z(c)
+         where x.c < y.c and y.c < z.c),
+part as (select g.segment, a, b, c, (i >= a)::int + (i >= b)::int + (i >= c)::int as part,
+                sum(case when i = j then v else 0 end) - sum(v) / count(distinct i) as cost
+         from g, cuts where (i >= a)::int + (i >= b)::int + (i >= c)::int = (j >= a)::int + (j >= b)::int + (j >= c)::int
+         group by g.segment, a, b, c, part),
+best as (select segment, a, b, c, row_number() over (partition by segment order by sum(cost)) as place
+         from part group by segment, a, b, c)
+select segment, cast(i as integer) as frame, cast((i >= a)::int + (i >= b)::int + (i >= c)::int as integer) as part
+from best, range(12) f(i) where place = 1""")
 def frame_segments(spark, folder):
     """Best contiguous split of the monthly frames, per segment."""
-    return cmp.fit_groups(fx_frames(spark, folder), ["segment"], FRAMES, 4, contiguous=True)
+    groups = cmp.fit_groups(fx_frames(spark, folder), ["segment"], FRAMES, 4, contiguous=True)
+    return groups.select("segment", F.posexplode("groups").alias("part", "frames")).select(
+        "segment", F.explode("frames").alias("frame"), "part"
+    )
 
 
 @query("compressed_signals")

@@ -13,6 +13,9 @@ log = logging.getLogger(__name__)
 
 # A hash relation of this many narrow parameter rows stays well below executor memory.
 BROADCAST_ROWS = 200_000
+# Tables up to this size may pass through the driver.
+LOCAL_ROWS = 20_000
+LOCAL_BYTES = 32 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -46,6 +49,18 @@ def broadcast_if_small(pinned: DataFrame, max_rows: int = BROADCAST_ROWS) -> Dat
     return pinned
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small table once: fitted parameters, node scores, fold weights.
+
+    Up to ``LOCAL_ROWS`` rows and ``LOCAL_BYTES`` become a literal relation with a broadcast
+    hint. Anything larger is pinned, and joined as its size allows.
+    """
+    rows = df.limit(LOCAL_ROWS + 1).toArrow()
+    if rows.num_rows > LOCAL_ROWS or rows.nbytes > LOCAL_BYTES:
+        return broadcast_if_small(pin(df))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def pin_by(df: DataFrame, columns) -> DataFrame:
     """Like :func:`pin`, as a table partitioned by ``columns`` so that reads can prune."""
     spark = df.sparkSession

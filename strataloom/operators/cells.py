@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.materialize import BROADCAST_ROWS, broadcast_if_small, pin
+from strataloom.materialize import BROADCAST_ROWS, pin, settle
 from strataloom.operators.subjects import N_DRAWS, hot_subjects, join_members
 
 CELL = "__cell"
@@ -40,7 +40,7 @@ def fit_cells(signals: DataFrame, folds: DataFrame, sizes: DataFrame, subject: s
         folds.filter("role = 'fit'").groupBy(subject).agg(pattern.alias("__pattern"))
         .withColumn(CELL, F.md5(F.to_json("__pattern"))).select(subject, CELL, "__pattern")
     )
-    weights = pin(
+    weights = settle(
         subjects.groupBy(CELL).agg(F.first("__pattern").alias("__pattern"))
         .select(CELL, F.inline("__pattern")).withColumnRenamed(N_DRAWS, WEIGHT)
     )
@@ -50,4 +50,4 @@ def fit_cells(signals: DataFrame, folds: DataFrame, sizes: DataFrame, subject: s
     else:
         hot = hot_subjects(sizes, subject, rows)
     joined = join_members(signals, members, subject, row_key, hot)
-    return FitCells(joined, broadcast_if_small(weights), weights.select(CELL).distinct().count())
+    return FitCells(joined, weights, weights.select(CELL).distinct().count())

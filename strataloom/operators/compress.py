@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.estimators import estimator
+from strataloom.materialize import settle
 from strataloom.operators.cells import CELL, WEIGHT, FitCells
 from strataloom.operators.gram import grouped_gram, matrix_of
-from strataloom.operators.keyed import Keyed, parameters
+from strataloom.operators.keyed import Keyed
 from strataloom.operators.subjects import require_columns
 
 _MAX_ROUNDS = 300
@@ -129,7 +130,7 @@ class SignalCompressor:
         for k, columns in zip(self.n_clusters, self.input_columns):
             require_columns(df, columns)
             own = cells if cells is not None and cells.n_cells <= MAX_GRAM_CELLS else None
-            groups.append(parameters(fit_groups(rows, keyed.keys, columns, k, weight, self.contiguous, own)))
+            groups.append(settle(fit_groups(rows, keyed.keys, columns, k, weight, self.contiguous, own)))
         return CompressorModel(self, groups, keyed)
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.materialize import settle
 from strataloom.operators.cells import WEIGHT, FitCells
-from strataloom.operators.keyed import Keyed, parameters
+from strataloom.operators.keyed import Keyed
 from strataloom.operators.subjects import require_columns
 
 
@@ -115,11 +116,11 @@ class TargetEncoder:
             stats = cells.merge(stats).groupBy(*keyed.keys, "column", "value").agg(
                 F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("s")).alias("s")
             )
-        stats = parameters(stats)
+        stats = settle(stats)
         prior = stats.filter(F.col("column") == self.columns[0]).groupBy(*keyed.keys).agg(
             (F.sum("s") / F.sum("n")).alias("__prior")
         )
-        prior = parameters(prior)
+        prior = settle(prior)
         share = 1 / (1 + F.exp(-(F.col("n") - self.min_samples_leaf) / F.lit(float(self.smoothing))))
         codes = (
             stats.filter(F.col("value").isNotNull())
@@ -127,7 +128,7 @@ class TargetEncoder:
             .select(*keyed.keys, "column", "value",
                     (F.col("__prior") * (1 - share) + F.col("s") / F.col("n") * share).alias("__code"))
         )
-        return TargetModel(self.columns, parameters(codes), prior, keyed)
+        return TargetModel(self.columns, settle(codes), prior, keyed)
 
 
 class TargetModel:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import hash60, uniform
-from strataloom.materialize import broadcast_if_small, pin, pin_by
+from strataloom.materialize import broadcast_if_small, pin, pin_by, settle
 from strataloom.operators import mllib, trees
 from strataloom.operators.draws import (
     DRAWS_BROADCAST,
@@ -265,7 +265,7 @@ class Ensemble:
         n_nodes = sum(s.size for s in self.specs)
         if get_best is not None:
             nodes, n_nodes = keep_best(nodes, get_best), min(get_best, n_nodes)
-        return FittedEnsemble(pin(nodes), n_nodes, list(features), target, row_id, context.models, rows,
+        return FittedEnsemble(settle(nodes), n_nodes, list(features), target, row_id, context.models, rows,
                               batch_len, self.specs)
 
 
@@ -331,28 +331,28 @@ class _Fit:
         )
         rows = self.rows.join(F.broadcast(tries), ["fold", "side", "batch"])
         fitted = trees.fit_trees(rows, self.features, self.fold_type)
-        return pin(self._columns(table.join(fitted, ["fold", "attempt"])))
+        return settle(self._columns(table.join(fitted, ["fold", "attempt"])))
 
     def _ridge(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         alpha = F.coalesce(F.try_element_at("params", F.lit("alpha")).cast("double"), F.lit(1.0))
         tries = table.withColumn("alpha", alpha).withColumnRenamed("train_batch", "batch")
         needed = self.side("train").join(F.broadcast(tries.select("fold", "batch").distinct()), ["fold", "batch"], "left_semi")
         grams = ridge_grams(needed, ["fold", "batch"], self.features, "y")
-        nodes = pin(
+        nodes = settle(
             solve_ridge(grams, tries, ["fold", "batch"], len(self.features))
             .withColumnRenamed("batch", "train_batch").drop("alpha")
         )
         for side in ("test", "train"):
             score = score_linear(
-                broadcast_if_small(nodes.withColumn("__batch", F.col(f"{side}_batch"))), self.side(side),
+                nodes.withColumn("__batch", F.col(f"{side}_batch")), self.side(side),
                 {"fold": "fold", "__batch": "batch"}, self.features, "y", f"{side}_score",
             )
             nodes = nodes.join(score, ["fold", "attempt"])
-        return pin(self._columns(nodes))
+        return settle(self._columns(nodes))
 
     def _knn(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         k = int(spec.params.get("n_neighbors", 5))
-        nodes = pin(table)
+        nodes = settle(table)
         train = self.side("train").join(
             F.broadcast(nodes.select("fold", "attempt", F.col("train_batch").alias("batch"))), ["fold", "batch"]
         )
@@ -368,7 +368,7 @@ class _Fit:
                 .agg(F.avg((F.col("vote") == F.col("y")).cast("double")).alias(f"{side}_score"))
             )
             nodes = nodes.join(score, ["fold", "attempt"])
-        return pin(self._columns(nodes))
+        return settle(self._columns(nodes))
 
     def _mllib(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         assembled = pin_by(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.materialize import broadcast_if_small, pin
 from strataloom.operators.cells import CELL, FitCells
 
 _ALL = "__all"
@@ -27,8 +26,3 @@ class Keyed:
 
     def remove(self, df: DataFrame) -> DataFrame:
         return df if self.given else df.drop(_ALL)
-
-
-def parameters(df: DataFrame) -> DataFrame:
-    """Fitted parameters: written once, broadcast when small."""
-    return broadcast_if_small(pin(df))

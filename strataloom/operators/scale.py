@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.materialize import settle
 from strataloom.operators.cells import WEIGHT, FitCells
-from strataloom.operators.keyed import Keyed, parameters
+from strataloom.operators.keyed import Keyed
 from strataloom.operators.subjects import expand_draws, require_columns
 
 
@@ -42,7 +43,7 @@ class MinMaxScaler:
             *[F.col(f"__low_{i}").alias(f"__shift_{i}") for i in at],
             *[(F.col(f"__high_{i}") - F.col(f"__low_{i}")).alias(f"__scale_{i}") for i in at],
         )
-        return ScalerModel(self.columns, parameters(limits), keyed, self.high - self.low, self.low)
+        return ScalerModel(self.columns, settle(limits), keyed, self.high - self.low, self.low)
 
 
 class StandardScaler:
@@ -70,7 +71,7 @@ class StandardScaler:
             *[(F.col(f"__mean_{i}") if self.with_mean else F.lit(0.0)).alias(f"__shift_{i}") for i in at],
             *[(F.sqrt(f"__var_{i}") if self.with_std else F.lit(1.0)).alias(f"__scale_{i}") for i in at],
         )
-        return ScalerModel(self.columns, parameters(moments), keyed, 1.0, 0.0)
+        return ScalerModel(self.columns, settle(moments), keyed, 1.0, 0.0)
 
     def _merged(self, parts: DataFrame, keys) -> DataFrame:
         """Moments of unions of cells: spread within the cells plus spread of their means."""

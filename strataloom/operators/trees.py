@@ -110,6 +110,8 @@ def fit_trees(rows: DataFrame, features, fold_type: str) -> DataFrame:
             "test_score": [hit[~train].mean()], "train_score": [hit[train].mean()],
         })
 
-    return rows.groupBy("fold", "attempt").applyInPandas(
+    # little data, much work: keep every task slot busy instead of merging small partitions
+    slots = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(slots, "fold", "attempt").groupBy("fold", "attempt").applyInPandas(
         fit, f"fold {fold_type}, attempt bigint, tree {TREE_TYPE}, test_score double, train_score double"
     )

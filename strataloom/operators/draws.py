@@ -10,6 +10,8 @@ For larger ones no task ever sorts a group:
 2. running offsets of the prefixes, in two levels so that no window is large;
 3. each position finds its prefix by an equi-join on position blocks;
 4. only rows whose prefix was hit are ranked, within their prefix.
+
+That reads the rows twice: once to count, once to rank.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import HASH_BITS, hash60
+from strataloom.materialize import pin
 
 # Largest group that one window may rank.
 WINDOW_ROWS = 200_000
@@ -75,7 +78,8 @@ def group_sizes(rows: DataFrame, by) -> dict[tuple, int]:
 
 def _prefix_offsets(rows: DataFrame, by, bits: int) -> DataFrame:
     """Position range ``[__start, __start + __count)`` of every prefix, per position block."""
-    fine = (
+    # both levels read these counts, so the rows are scanned once for them
+    fine = pin(
         rows.groupBy(*by, _prefix(bits).alias("__prefix"))
         .agg(F.sum("__times").alias("__count"))
         .withColumn("__coarse", F.shiftright("__prefix", _COARSE_SHIFT))
@@ -119,14 +123,14 @@ def _ranked(rows: DataFrame, by, row_id: str, rank: str) -> DataFrame:
 def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits: int, n_draws: int) -> DataFrame:
     """Replace ``position`` (of ``n``) in ``draws`` by the id of the row standing there.
 
-    With at most ``DRAWS_BROADCAST`` draws the prefixes hit are broadcast, and only rows in
-    them are shuffled.
+    With at most ``DRAWS_BROADCAST`` draws, draws and prefixes hit are broadcast: only rows
+    in those prefixes are shuffled, and many draws of one row meet no single task.
     """
     by = list(by)
     if bits == 0:
         ranked = _ranked(rows, by, row_id, "position")
-        return draws.drop("n").join(ranked, [*by, "position"]).drop("position")
-    placed = (
+        return ranked.join(_known_size(draws.drop("n"), n_draws), [*by, "position"]).drop("position")
+    placed = pin(
         draws.withColumn("__width", _block_width(F.col("n"), bits))
         .withColumn("__block", F.expr("position div __width"))
         .drop("__width", "n")
@@ -136,11 +140,15 @@ def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits:
         .drop("__block", "__start", "__count", "position")
     )
     in_prefix = [*by, "__prefix"]
-    hit = placed.select(*in_prefix).distinct()
-    hit = F.broadcast(hit) if n_draws <= DRAWS_BROADCAST else hit
+    hit = _known_size(placed.select(*in_prefix).distinct(), n_draws)
     near = rows.withColumn("__prefix", _prefix(bits)).join(hit, in_prefix, "left_semi")
     ranked = _ranked(near, in_prefix, row_id, "__rank")
-    return placed.join(ranked, [*in_prefix, "__rank"]).drop("__prefix", "__rank")
+    return ranked.join(_known_size(placed, n_draws), [*in_prefix, "__rank"]).drop("__prefix", "__rank")
+
+
+def _known_size(df: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast hint for a table whose size follows from the settings."""
+    return F.broadcast(df) if n_rows <= DRAWS_BROADCAST else df
 
 
 def expand_slots(requests: DataFrame, n_slots: int, size: str = "k", slot: str = "slot") -> DataFrame:

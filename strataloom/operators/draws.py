@@ -11,7 +11,7 @@ For larger ones no task ever sorts a group:
 3. each position finds its prefix by an equi-join on position blocks;
 4. only rows whose prefix was hit are ranked, within their prefix.
 
-That reads the rows twice: once to count, once to rank.
+That reads the rows twice, once to count and once to rank, besides the count of group sizes.
 """
 
 from __future__ import annotations

@@ -165,7 +165,7 @@ def _phone(m: Column, key: str) -> Column:
             _pad(F.floor(o["l"] / 800) + 200, F.lit(3)), _pad(o["l"] % 800 + 200, F.lit(3)), _pad(o["r"], F.lit(4))))
         new = F.when((c == "1") & (F.length(rest) == 10), F.when((area >= 200) & (exchange >= 200), shown)).when(
             (c != "1") & F.length(rest).between(7, 12), _permute_digits("phone", key, rest))
-        return _fill(m, F.concat(F.when(m.startswith("+"), c).otherwise(F.lit("")), new), "[0-9]")
+        return _let(new, lambda x: F.when(x.isNotNull(), _fill(m, F.concat(F.when(m.startswith("+"), c).otherwise(F.lit("")), x), "[0-9]")))
 
     return _let(code, make)
 

@@ -1,0 +1,43 @@
+"""The operator queries against their SQL on the smallest tables, and against brute force where there is none."""
+
+import duckdb
+import pytest
+
+from strataloom.llm.queries import QUERIES, SQL
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(name, spark, folder):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = QUERIES[name](spark, folder)
+    columns = sorted(df.columns)
+    cursor = con.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    want = sorted((tuple(dict(zip(names, r))[c] for c in columns) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_nearest_vectors_recall(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    import numpy as np
+
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in QUERIES["op1_nearest_vectors"](spark, folder).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[q]
+        s[q] = -np.inf
+        best = ids[np.lexsort((ids, -s))[:20]]
+        hits, total = hits + len(found[ids[q]] & set(best)), total + len(best)
+    assert hits >= 0.9 * total

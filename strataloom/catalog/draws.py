@@ -19,6 +19,8 @@ SEED = 7
 TEST_SIZE = 40
 N_BATCHES = 20
 BATCH_LEN = 400
+# Batches are drawn by way of hash prefixes, as from groups too large for one window.
+PREFIX_BITS = 6
 
 # Rows of fx_orders in drawing order, per class and over all.
 _ORDERED = f"""
@@ -43,15 +45,28 @@ select d.batch, o.row_id from d join o on d.class = o.class and d.position = o.p
 """
 
 
-def _first_distinct(ordered: str, k: int) -> str:
+def _distinct(ordered: str, k: str, n_batches: int = N_BATCHES) -> str:
+    """Slot 0 … k-1 under a keyed permutation of positions: four rounds, repeated while n or more."""
+
+    def rounds(i: int, half: str) -> str:
+        return h(f"'{SEED}'", "'batch'", "class", "batch", f"'{i}'", half)
+
     return f"""
-with o as ({ordered}), c as (select distinct class, n from o),
-d as (select class, cast(batch as integer) as batch, slot,
-             {h(f"'{SEED}'", "'batch'", 'class', 'batch', 'slot')} % n as position
-      from c, range({N_BATCHES}) b(batch), range({2 * k + 64}) s(slot)),
-f as (select class, batch, position, min(slot) as seen from d group by class, batch, position),
-r as (select *, row_number() over (partition by class, batch order by seen) as nth from f)
-select r.batch, o.row_id from r join o on r.class = o.class and r.position = o.position where nth <= {k}
+with recursive o as ({ordered}),
+c as (select class, n, a, (n + a - 1) // a as b
+      from (select distinct class, n, cast(floor(sqrt(n)) as bigint) + 1 as a from o)),
+w(class, batch, n, a, b, v, walked) as (
+  select class, cast(batch as integer), n, a, b, cast(slot as bigint), 0
+  from c, range({n_batches}) x(batch), lateral (select unnest(range({k})) as slot) s
+  union all
+  select class, batch, n, a, b, l2 * b + (r1 + {rounds(3, 'l2')}) % b, walked + 1 from (
+  select *, (l1 + {rounds(2, 'r1')}) % a as l2 from (
+  select *, (r0 + {rounds(1, 'l1')}) % b as r1 from (
+  select *, (v // b + {rounds(0, 'r0')}) % a as l1 from (
+  select *, v % b as r0 from w where walked = 0 or v >= n))))
+)
+select w.batch, o.row_id from w join o on w.class = o.class and w.v = o.position
+where w.walked > 0 and w.v < w.n
 """
 
 
@@ -66,27 +81,20 @@ def batches_balanced(spark, folder):
 def _batches(spark, folder, **kw):
     return sampling.generate_batches(
         fx_orders(spark, folder), kw.pop("n_batches", N_BATCHES), kw.pop("batch_len", BATCH_LEN), "target", "row_id",
-        kw.pop("inputs", ["priority", "amount"]), seed=kw.pop("seed", SEED), **kw
+        kw.pop("inputs", ["priority", "amount"]), seed=kw.pop("seed", SEED), bits=PREFIX_BITS, **kw
     )
 
 
-@query("batches_balanced_distinct", _first_distinct(_ORDERED, BATCH_LEN // 2))
+@query("batches_balanced_distinct", _distinct(_ORDERED, BATCH_LEN // 2))
 def batches_balanced_distinct(spark, folder):
     return _batches(spark, folder, resample=False).draws
 
 
-@query("batches_balanced_distinct_whole_class", f"""
-with s as (select target as class, row_id from ({FX_ORDERS})),
-k as (select min(n) as k from (select count(*) as n from s group by class)),
-d as (select class, cast(batch as integer) as batch, row_id, row_number() over (
-        partition by class, batch
-        order by {h(f"'{SEED}'", "'batch'", 'class', 'batch', 'row_id')}, row_id) as nth
-      from s, range(5) b(batch))
-select batch, row_id from d, k where nth <= k.k""")
+@query("batches_balanced_distinct_whole_class", _distinct(_ORDERED, "(select min(n) from c)", 5))
 def batches_balanced_distinct_whole_class(spark, folder):
     signals = fx_orders(spark, folder)
     return sampling.generate_batches(
-        signals, 5, 1_000_000_000, "target", "row_id", ["amount"], resample=False, seed=SEED
+        signals, 5, 1_000_000_000, "target", "row_id", ["amount"], resample=False, seed=SEED, bits=PREFIX_BITS
     ).draws
 
 
@@ -95,7 +103,7 @@ def batches_unbalanced(spark, folder):
     return _batches(spark, folder, balanced=False).draws
 
 
-@query("batches_unbalanced_distinct", _first_distinct(_ORDERED_ALL, BATCH_LEN))
+@query("batches_unbalanced_distinct", _distinct(_ORDERED_ALL, BATCH_LEN))
 def batches_unbalanced_distinct(spark, folder):
     return _batches(spark, folder, balanced=False, resample=False).draws
 

@@ -36,9 +36,8 @@ _SLOT_CHUNK = 4096
 DRAWS_BROADCAST = 2_000_000
 # Requests up to this many slots are expanded where they are.
 _LOCAL_SLOTS = 500_000
-_FIRST_BITS = 10
-# Spare attempts when drawing distinct positions; see draw_without_replacement.
-_SPARE_SLOTS = 64
+# Longest walk of a permuted draw; see permuted.
+_WALK_STEPS = 64
 
 
 def small_table(spark: SparkSession, rows, fields) -> DataFrame:
@@ -200,74 +199,44 @@ def draw_with_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: st
     return rows_at_positions(drawn, rows, by, row_id, bits, n_slots)
 
 
-def take_first(df: DataFrame, by, order: str, bucket: Column, size: str, tie=()) -> DataFrame:
-    """The first ``size`` rows of each group by ``order``, without sorting a whole group.
+def permuted(slot: Column, n: Column, *key) -> Column:
+    """Image of ``slot`` under a permutation of ``0 … n-1`` that ``key`` selects.
 
-    A group with fewer rows than asked for raises. ``bucket`` must grow with ``order``. Buckets wholly beyond the cut are dropped on the
-    map side's counts; rows are ranked only within a bucket.
+    Four Feistel rounds over the pairs ``(l, r)`` with ``l < a``, ``r < b``, ``a * b >= n``; images from ``n``
+    on are permuted again until one falls below. At most ``a - 1 < sqrt(n) + 1`` numbers lie beyond, so the
+    walk ends within a step or two; one that has not after ``_WALK_STEPS`` raises.
     """
-    marked = df.withColumn("__bucket", bucket)
-    counts = marked.groupBy(*by, size, "__bucket").agg(F.count("*").alias("__count"))
-    before = Window.partitionBy(*by, size).orderBy("__bucket")
-    available = F.sum("__count").over(Window.partitionBy(*by, size))
-    short = F.raise_error(F.lit("fewer distinct draws than requested; change the seed")).cast("bigint")
-    need = counts.withColumn(
-        "__need",
-        F.when(available < F.col(size), short).otherwise(
-            F.col(size) - (F.sum("__count").over(before) - F.col("__count"))
-        ),
-    ).filter(F.col("__need") > 0)
-    in_bucket = Window.partitionBy(*by, "__bucket").orderBy(order, *tie)
-    return (
-        marked.join(need.drop(size, "__count"), [*by, "__bucket"])
-        .withColumn("__rank", F.row_number().over(in_bucket))
-        .filter(F.col("__rank") <= F.col("__need"))
-        .drop("__rank", "__need", "__bucket")
-    )
+    a = F.floor(F.sqrt(n.cast("double"))).cast("bigint") + 1
+    b = F.floor((n + a - 1) / a).cast("bigint")
+
+    def round_(s: Column, i: Column) -> Column:
+        even = F.struct(((s["l"] + hash60(*key, i, s["r"])) % a).alias("l"), s["r"].alias("r"))
+        odd = F.struct(s["l"].alias("l"), ((s["r"] + hash60(*key, i, s["l"])) % b).alias("r"))
+        return F.when(i % 2 == 0, even).otherwise(odd)
+
+    def step(v: Column, i: Column) -> Column:
+        start = F.struct(F.floor(v / b).cast("bigint").alias("l"), (v % b).alias("r"))
+        image = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, round_, lambda s: s["l"] * b + s["r"])
+        return F.when((i == 0) | (v >= n), image).otherwise(v)
+
+    walked = F.aggregate(F.sequence(F.lit(0), F.lit(_WALK_STEPS - 1)), slot.cast("bigint"), step)
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a draw did not end; change the seed")).cast("bigint"))
 
 
 def draw_without_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: str,
                              batches=None, bits: int | None = None) -> DataFrame:
     """``k`` distinct rows (``k <= n``) from each group; ``draw_key`` is the order of drawing.
 
-    A request for at most half of a group draws ``2k + 64`` positions and keeps the first
-    ``k`` distinct ones, so the cost follows the draws and not the table. A shortfall has a
-    probability below 1e-15 and raises. Larger requests order the whole group by hash.
+    Slot ``0 … k-1`` takes the position that a keyed permutation of the group's positions gives it:
+    distinct by construction, at the cost of ``k`` draws whatever the size of the group.
     """
     by = list(by)
-    sparse = [g for g in groups if 0 < g[-1] and g[-1] * 2 <= g[-2]]
-    dense = [g for g in groups if g[-1] * 2 > g[-2]]
-    parts = []
-    if sparse:
-        parts.append(_first_distinct(rows, by, sparse, row_id, seed, op, batches, bits))
-    if dense:
-        parts.append(_hash_ordered(rows, by, dense, row_id, seed, op, batches))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _first_distinct(rows, by, groups, row_id, seed, op, batches, bits) -> DataFrame:
+    if any(g[-1] > g[-2] for g in groups):
+        raise ValueError("more distinct rows asked for than the group has")
     key = by + ([batches[0]] if batches else [])
-    n_tries = sum(2 * g[-1] + _SPARE_SLOTS for g in groups) * (batches[1] if batches else 1)
+    n_slots = n_draws_of(groups, batches)
     bits = prefix_bits(max(g[-2] for g in groups)) if bits is None else bits
-    requests = _requests(rows, by, groups, batches).withColumn("__tries", F.col("k") * 2 + _SPARE_SLOTS)
-    first_seen = (
-        expand_slots(requests, n_tries, size="__tries")
-        .withColumn("position", hash60(seed, op, *[F.col(c) for c in key], F.col("slot")) % F.col("n"))
-        .groupBy(*key, "k", "n", "position")
-        .agg(F.min("slot").alias("draw_key"))
-    )
-    step = F.expr(f"draw_key * {1 << _FIRST_BITS} div (k * 2 + {_SPARE_SLOTS})")
-    kept = take_first(first_seen, key, "draw_key", step, "k").drop("k")
-    return rows_at_positions(kept, rows, by, row_id, bits, n_draws_of(groups, batches)).select(*key, "draw_key", row_id)
-
-
-def _hash_ordered(rows, by, groups, row_id, seed, op, batches) -> DataFrame:
-    key = by + ([batches[0]] if batches else [])
-    requests = _requests(rows, by, groups, batches).drop("n")
-    ordered = (
-        rows.select(*by, row_id)
-        .join(F.broadcast(requests), by)
-        .withColumn("draw_key", hash60(seed, op, *[F.col(c) for c in key], F.col(row_id)))
-    )
-    leading = F.shiftright("draw_key", HASH_BITS - _FIRST_BITS)
-    return take_first(ordered, key, "draw_key", leading, "k", tie=[row_id]).select(*key, "draw_key", row_id)
+    drawn = expand_slots(_requests(rows, by, groups, batches), n_slots, slot="draw_key").withColumn(
+        "position", permuted(F.col("draw_key"), F.col("n"), seed, op, *[F.col(c) for c in key])
+    ).drop("k")
+    return rows_at_positions(drawn, rows, by, row_id, bits, n_slots).select(*key, "draw_key", row_id)

@@ -32,13 +32,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     share = rows.count() / HOT_SHARE
     counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     hot = counts.where(F.col("n") > F.lit(max(share, 64.0))).collect()  # at most HOT_SHARE rows
-    salt = F.lit(0)
+    salt, key = F.lit(0), ["p", "h", "s"] if hot else ["p", "h"]  # a constant would cost another shuffle
     for row in hot:
         salts = int(row["n"] / max(share, 64.0)) + 1
         salt = F.when(F.col("h") == row["h"], F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int") + 1).otherwise(salt)
-    run = Window.partitionBy("p", "h", "s", "t")
+    run = Window.partitionBy(*key, "t")
     runs = (
-        rows.withColumn("s", salt).repartitionByRange("p", "h", "s")
+        rows.withColumn("s", salt).repartitionByRange(*key)
         .withColumn("rank", F.row_number().over(run.orderBy(F.col("doc_id").asc_nulls_last())))
         .withColumn("keep_id", F.min("doc_id").over(run))
         .withColumn("n", F.count(F.lit(1)).over(run))

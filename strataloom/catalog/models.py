@@ -301,7 +301,7 @@ def _full_signals(spark, folder):
 def mixed_study_scores(spark, folder):
     """Encode, scale and compress; ridge, tree, kNN and logistic nodes vote together."""
     settings = study_settings(("Ridge", "tree", "knn", "logistic"), (8, 4, 2, 2),
-                              ({"alpha": 1.2}, {"max_depth": 6, "min_samples_leaf": 5}, {}, {}), get_best=12,
+                              ({"alpha": 1.2}, {"max_depth": 6, "min_samples_leaf": 5}, {"n_neighbors": (3, 8)}, {}), get_best=12,
                               inputs=("priority", "amount"), encoders=True, frames=FRAMES)
     study = HoldoutExperiment(_full_signals(spark, folder), settings, seed=SEED)
     return rounded(study.run(2, TEST_SIZE), "fold")

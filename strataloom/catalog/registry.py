@@ -50,7 +50,7 @@ select vec_id as row_id, vec_id % 50 as subject, (vec_id % 50) % 5 as site,
 
 FX_DOCS = """
 select d.doc_id as row_id, d.source as subject, d.lang as lang, l.quality as target, d.n_chars as n_chars
-from documents d join labels l on d.doc_id = l.doc_id
+from documents d left join labels l on d.doc_id = l.doc_id
 """
 
 FX_EVENTS = """

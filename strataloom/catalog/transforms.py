@@ -43,12 +43,12 @@ def _fitted(rows, transformer, weight=None, target=None):
 def _one_hot_sql(column: str, values) -> str:
     """0/1 per value, and 0 where the fold's fit rows do not have the value."""
     flags = ", ".join(
-        f"cast(case when {column} is not distinct from {v} and exists "
-        f"(select 1 from r f where f.fold = r.fold and f.role = 'fit' and f.{column} is not distinct from {v}) "
-        f"then 1 else 0 end as integer) as {column}_{i}"
-        for i, v in enumerate(values, start=1)
+        f"cast(s.fold is not null and r.v is not distinct from {v} as integer) as {column}_{i}" for i, v in enumerate(values, start=1)
     )
-    return f"with r as ({_ROWS}) select fold, row_id, {flags} from r"
+    return f"""
+with r as (select fold, role, row_id, {column} as v, coalesce({column}, '-') as k from ({_ROWS})),
+s as (select distinct fold, k from r where role = 'fit')
+select r.fold, r.row_id, {flags} from r left join s on r.fold = s.fold and r.k = s.k"""
 
 
 @query("one_hot", _one_hot_sql("urgency", ["'1-URGENT'", "'2-HIGH'", "'3-MEDIUM'", "'4-NOT SPECIFIED'", "null"]))
@@ -114,11 +114,9 @@ def min_max_scaling(spark, folder):
     return out.select("fold", "row_id", (F.round("amount", 6) + 0.0).alias("amount"))
 
 
-@query("min_max_scaling_constant", f"select row_id, 0.0::double as level, 0.0::double as target_value from ({FX_EVENTS}) where target = 1")
+@query("min_max_scaling_constant", f"select row_id, 0.0::double as level, 0.0::double as target_value from ({FX_EVENTS})")
 def min_max_scaling_constant(spark, folder):
-    rows = fx_events(spark, folder).filter("target = 1").select(
-        "row_id", F.lit(4.0).alias("level"), F.col("target").alias("target_value")
-    )
+    rows = fx_events(spark, folder).select("row_id", F.lit(4.0).alias("level"), F.lit(1).alias("target_value"))
     return MinMaxScaler(["level", "target_value"]).fit(rows).transform(rows)
 
 

@@ -45,7 +45,7 @@ def fx_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fx_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("subject"), "lang",
         F.col("quality").alias("target"), "n_chars",
     )

@@ -9,8 +9,12 @@ from pyspark.sql import types as T
 from strataloom.materialize import settle
 from strataloom.operators.cells import WEIGHT, FitCells
 from strataloom.operators.keyed import Keyed
+from strataloom.operators.settings import only_default
 from strataloom.operators.subjects import require_columns
 
+# Every category becomes a column; their counts per fold are held on the driver.
+MAX_CATEGORIES = 100_000
+
 
 def _weight(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -31,7 +35,8 @@ class OneHotEncoder:
     drops outputs that are constant on the fit rows of every key.
     """
 
-    def __init__(self, columns, drop_invariant: bool = False, **_ignored):
+    def __init__(self, columns, drop_invariant: bool = False, **other):
+        only_default("one_hot", other, {"handle_unknown": "value", "handle_missing": "value", "use_cat_names": False, "return_df": True})
         self.columns = list(columns)
         self.drop_invariant = drop_invariant
 
@@ -45,7 +50,9 @@ class OneHotEncoder:
         ).agg(F.count("*").alias("n"))
         if cells is not None:
             counted = cells.merge(counted).groupBy(*keyed.keys, "column", "value").agg(F.sum("n").alias("n"))
-        counted = counted.collect()
+        counted = counted.limit(MAX_CATEGORIES + 1).collect()
+        if len(counted) > MAX_CATEGORIES:
+            raise ValueError(f"one_hot: over {MAX_CATEGORIES} categories of all folds; encode by target instead")
         counts: dict[tuple, dict[tuple, int]] = {}
         for r in counted:
             counts.setdefault(tuple(r[k] for k in keyed.keys), {})[(r["column"], r["value"])] = r["n"]
@@ -95,7 +102,8 @@ class TargetEncoder:
     over the fit rows of the key; unseen and null categories get the prior.
     """
 
-    def __init__(self, columns, min_samples_leaf: float = 20, smoothing: float = 10.0, **_ignored):
+    def __init__(self, columns, min_samples_leaf: float = 20, smoothing: float = 10.0, **other):
+        only_default("target_encoder", other, {"handle_unknown": "value", "handle_missing": "value", "drop_invariant": False, "return_df": True})
         self.columns = list(columns)
         self.min_samples_leaf = min_samples_leaf
         self.smoothing = smoothing

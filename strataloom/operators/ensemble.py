@@ -27,10 +27,25 @@ from strataloom.operators.draws import (
 from strataloom.operators.knn import knn_votes, nearest
 from strataloom.operators.metrics import check_threshold, classify
 from strataloom.operators.ridge import linear_vote, ridge_grams, score_linear, solve_ridge
-from strataloom.operators.sampling import fetch_rows, resolve_variables
-from strataloom.operators.subjects import N_DRAWS, join_members, require_columns
+from strataloom.operators.sampling import binary_class, fetch_rows, resolve_variables
+from strataloom.operators.settings import only_default, reject_unknown
+from strataloom.operators.subjects import N_DRAWS, join_members, require_binary, require_columns
 
 KINDS = ("Ridge", "knn", *mllib.LEARNERS)
+# Settings each learner understands; solver settings that do not change an exact solution are accepted.
+SETTINGS = {
+    "Ridge": ("alpha", "fit_intercept", "copy_X", "solver", "tol", "max_iter", "random_state"),
+    "knn": ("n_neighbors",),
+    "logistic": ("C", "fit_intercept", "max_iter"),
+    "SVM": ("C", "fit_intercept", "max_iter"),
+    "tree": ("max_depth", "max_features", "min_samples_leaf", "min_samples_split", "max_bins", "random_state"),
+    "rf": ("n_estimators", "max_depth", "max_features", "min_samples_leaf", "max_bins", "random_state"),
+}
+# Settings whose only supported value is the usual default.
+DEFAULTS = {
+    "knn": {"weights": "uniform", "p": 2, "metric": "minkowski"}, "tree": {"criterion": "gini", "splitter": "best"}, "rf": {"criterion": "gini"},
+    "SVM": {"kernel": "linear"}, "logistic": {"penalty": "l2"},
+}
 ATTEMPTS_PER_NODE = 20
 # Model numbers shipped to the tasks in one piece; folds beyond it are predicted in turn.
 _SHIPPED_NUMBERS = 20_000_000
@@ -56,6 +71,10 @@ class NodeSpec:
             raise ValueError(f"unknown learner {self.kind!r}; valid: {sorted(KINDS)}")
         if self.size < 1:
             raise ValueError("node sizes must be positive")
+        known = SETTINGS[self.kind]
+        fixed = DEFAULTS.get(self.kind, {})
+        reject_unknown(self.kind, self.params, [*known, *fixed])
+        only_default(self.kind, {n: v for n, v in self.params.items() if n in fixed}, fixed)
 
 
 def parameter_range(value):
@@ -126,6 +145,12 @@ class BatchPlan:
     test_size: int | None = None
 
 
+def present(column: str) -> Column:
+    """The column as a number; null and NaN stop a fit."""
+    missing = F.raise_error(F.lit(f"feature {column!r} has missing values; fill or drop them before the fit")).cast("double")
+    return F.coalesce(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")), missing)
+
+
 def inner_split(fit_members: DataFrame, classes: DataFrame, subject: str, fraction: float, seed,
                 bits: int | None = None) -> tuple[DataFrame, dict]:
     """Split each fold's fit subjects into train and test subjects.
@@ -169,12 +194,12 @@ def draw_batches(signals: DataFrame, split: DataFrame, n_subjects: dict, plan: B
     Returns draws ``(fold, side, batch, slot, row_id)``, ``fold -> (n_train, n_test)``, the
     number of draws and the largest batch.
     """
-    known = signals.filter(F.col(target).isin(0, 1))
-    narrow = known.select(row_id, subject, F.col(target).cast("int").alias("class"), hash60(F.col(row_id)).alias(ORDER))
+    known = signals.filter(F.col(target).isNotNull())
+    narrow = known.select(row_id, subject, binary_class(target).alias("class"), hash60(F.col(row_id)).alias(ORDER))
     by = ["fold", "side", "class"]
     rows = index_rows(join_members(narrow, split, subject, row_id, hot), by, row_id, N_DRAWS)
     # group sizes come from one count per subject, not from a pass per fold
-    counted = known.groupBy(subject, F.col(target).cast("int").alias("class")).agg(F.count("*").alias("__rows"))
+    counted = known.groupBy(subject, binary_class(target).alias("class")).agg(F.count("*").alias("__rows"))
     totals = counted.join(split, subject).groupBy(*by).agg(
         F.sum(F.col("__rows") * F.col(N_DRAWS)).alias("n"), F.sum(F.col("__rows") * F.col("__outer")).alias("outer")
     ).collect()
@@ -234,8 +259,7 @@ class Ensemble:
         Only drawn rows are transformed: ``transform`` receives raw rows with their ``fold``.
         """
         require_columns(signals, [row_id, subject, target])
-        values = sorted({r[0] for r in subject_classes.select(target).distinct().limit(3).collect()},
-                        key=lambda v: (v is None, v))
+        values = require_binary(subject_classes, target)
         classes = subject_classes.select(
             subject, F.when(F.col(target).eqNullSafe(F.lit(values[0])), 0).otherwise(1).alias("class")
         )
@@ -246,7 +270,7 @@ class Ensemble:
         drawn = fetch_rows(draws, signals, row_id, n_draws)
         rows = transform(drawn.withColumn("__truth", F.col(target).cast("int"))).select(
             "fold", "side", "batch", "slot", F.col("__truth").alias("y"),
-            *[F.col(c).cast("double").alias(c) for c in features],
+            *[present(c).alias(c) for c in features],
         )
         # a batch in one partition needs no merging of partial sums
         rows = pin(rows.repartition("fold", "side", "batch") if batch_len <= _COLOCATED_ROWS else rows)
@@ -325,7 +349,8 @@ class _Fit:
         tries = table.select(
             "fold", "attempt", setting("max_depth").cast("int").alias("max_depth"),
             setting("max_features").alias("max_features"),
-            F.coalesce(setting("min_samples_leaf").cast("int"), F.lit(1)).alias("min_leaf"),
+            F.coalesce(setting("min_samples_leaf"), F.lit("1")).alias("min_leaf"),
+            F.coalesce(setting("min_samples_split"), F.lit("2")).alias("min_split"),
             hash60(self.seed, "tree", kind_no, F.col("fold"), F.col("attempt")).alias("seed"),
             F.inline(F.array(*sides)),
         )
@@ -335,12 +360,13 @@ class _Fit:
 
     def _ridge(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         alpha = F.coalesce(F.try_element_at("params", F.lit("alpha")).cast("double"), F.lit(1.0))
-        tries = table.withColumn("alpha", alpha).withColumnRenamed("train_batch", "batch")
+        free = F.coalesce(F.try_element_at("params", F.lit("fit_intercept")).cast("boolean"), F.lit(True))
+        tries = table.withColumn("alpha", alpha).withColumn("fit_intercept", free).withColumnRenamed("train_batch", "batch")
         needed = self.side("train").join(F.broadcast(tries.select("fold", "batch").distinct()), ["fold", "batch"], "left_semi")
         grams = ridge_grams(needed, ["fold", "batch"], self.features, "y")
         nodes = settle(
             solve_ridge(grams, tries, ["fold", "batch"], len(self.features))
-            .withColumnRenamed("batch", "train_batch").drop("alpha")
+            .withColumnRenamed("batch", "train_batch").drop("alpha", "fit_intercept")
         )
         for side in ("test", "train"):
             score = score_linear(
@@ -351,8 +377,9 @@ class _Fit:
         return settle(self._columns(nodes))
 
     def _knn(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
-        k = int(spec.params.get("n_neighbors", 5))
-        nodes = settle(table)
+        k = most_neighbours(spec)
+        nodes = settle(table.withColumn("k", neighbours()))
+        ks = F.broadcast(nodes.select("fold", "attempt", "k"))
         train = self.side("train").join(
             F.broadcast(nodes.select("fold", "attempt", F.col("train_batch").alias("batch"))), ["fold", "batch"]
         )
@@ -360,7 +387,7 @@ class _Fit:
             queries = self.side(side).join(
                 F.broadcast(nodes.select("fold", "attempt", F.col(f"{side}_batch").alias("batch"))), ["fold", "batch"]
             )
-            found = _knn_on_slots(queries, train, self.features, k, self.batch_len)
+            found = _knn_on_slots(queries, train, self.features, k, self.batch_len, ks)
             truth = queries.select("fold", "attempt", F.col("slot").alias("query_slot"), "y")
             score = (
                 found.join(truth, ["fold", "attempt", "query_slot"])
@@ -368,7 +395,7 @@ class _Fit:
                 .agg(F.avg((F.col("vote") == F.col("y")).cast("double")).alias(f"{side}_score"))
             )
             nodes = nodes.join(score, ["fold", "attempt"])
-        return settle(self._columns(nodes))
+        return settle(self._columns(nodes.drop("k")))
 
     def _mllib(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         assembled = pin_by(
@@ -411,12 +438,31 @@ def _number(text: str):
     return text
 
 
-def _knn_on_slots(queries: DataFrame, train: DataFrame, features, k: int, n_rows: int) -> DataFrame:
+def neighbours() -> Column:
+    """Number of neighbours of an attempt."""
+    return F.coalesce(F.try_element_at("params", F.lit("n_neighbors")).cast("int"), F.lit(5))
+
+
+def most_neighbours(spec: NodeSpec) -> int:
+    """The largest number of neighbours that an attempt can draw."""
+    value = spec.params.get("n_neighbors", 5)
+    span = parameter_range(value)
+    return max(int(span[0]), int(span[1]) - 1) if span else int(value)
+
+
+def nearest_of_each(found: DataFrame, ks: DataFrame, query_id: str, train_id: str) -> DataFrame:
+    """Of the nearest rows of each query, as many as the attempt drew (``ks``: ``fold, attempt, k``)."""
+    order = Window.partitionBy("fold", "attempt", query_id).orderBy("distance2", train_id)
+    ranked = found.withColumn("__rank", F.row_number().over(order)).join(ks, ["fold", "attempt"])
+    return ranked.filter(F.col("__rank") <= F.col("k")).drop("__rank", "k")
+
+
+def _knn_on_slots(queries: DataFrame, train: DataFrame, features, k: int, n_rows: int, ks: DataFrame) -> DataFrame:
     found = nearest(
         queries.withColumnRenamed("slot", "query_slot"), train, ["fold", "attempt"], features, "y",
         "query_slot", "slot", k, n_rows, n_rows,
     )
-    return knn_votes(found, ["fold", "attempt"], "query_slot")
+    return knn_votes(nearest_of_each(found, ks, "query_slot", "slot"), ["fold", "attempt"], "query_slot")
 
 
 @dataclass
@@ -434,7 +480,7 @@ class FittedEnsemble:
     specs: list
 
     def predict_proba(self, rows: DataFrame) -> DataFrame:
-        """Adds ``proba``, the share of the fold's nodes that vote 1.
+        """Adds ``proba``, the share of the fold's nodes that vote 1; null if a feature is null or NaN.
 
         A frame without a ``fold`` column is predicted by the only fold, 0.
         """
@@ -453,7 +499,11 @@ class FittedEnsemble:
         total = F.lit(0.0)
         for v in votes:
             total = total + F.coalesce(F.col(v), F.lit(0.0))
-        out = df.select(*kept, (total / float(self.n_nodes)).alias("proba"))
+        whole = F.lit(True)
+        for c in self.features:
+            value = F.col(c).cast("double")
+            whole = whole & value.isNotNull() & ~F.isnan(value)
+        out = df.select(*kept, F.when(whole, total / float(self.n_nodes)).alias("proba"))
         return out.drop("fold") if single else out
 
     def predict(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -497,7 +547,7 @@ class FittedEnsemble:
         by_fold: dict = {}
         for r in nodes.select("fold", "kind_no", "attempt").collect():
             by_fold.setdefault(r["fold"], []).append(self.models[(r["fold"], r["kind_no"], r["attempt"])])
-        assembled = mllib.assemble(df, self.features)
+        assembled = mllib.assemble(df, self.features, invalid="keep")
         parts = [assembled.filter(~F.col("fold").isin(list(by_fold))).withColumn("__votes", F.lit(0.0))]
         for fold, models in by_fold.items():
             part = assembled.filter(F.col("fold") == F.lit(fold))
@@ -514,7 +564,7 @@ class FittedEnsemble:
         return out.drop("__x")
 
     def _knn(self, df: DataFrame) -> DataFrame:
-        nodes = self.nodes.filter(F.col("kind") == "knn").select("fold", "kind_no", "attempt", "train_batch")
+        nodes = self.nodes.filter(F.col("kind") == "knn").select("fold", "kind_no", "attempt", "train_batch", neighbours().alias("k"))
         total = None
         for kind_no in sorted(r[0] for r in nodes.select("kind_no").distinct().collect()):
             own = nodes.filter(F.col("kind_no") == kind_no)
@@ -524,9 +574,10 @@ class FittedEnsemble:
             queries = df.select("fold", self.row_id, *self.features).join(
                 F.broadcast(own.select("fold", "attempt")), "fold"
             )
-            k = int(self.specs[kind_no].params.get("n_neighbors", 5))
+            k = most_neighbours(self.specs[kind_no])
             found = nearest(queries, train, ["fold", "attempt"], self.features, "y", self.row_id, "slot", k,
                             df.count(), self.batch_len)
+            found = nearest_of_each(found, F.broadcast(own.select("fold", "attempt", "k")), self.row_id, "slot")
             part = knn_votes(found, ["fold", "attempt"], self.row_id).groupBy("fold", self.row_id).agg(
                 F.sum("vote").cast("double").alias("__votes")
             )

@@ -6,6 +6,8 @@ Known deviations from single-machine libraries: trees split on binned values
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import classification as ml
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -14,16 +16,29 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 30
 
 
+def flag(value) -> bool:
+    """Settings travel as text."""
+    return str(value).lower() not in ("false", "0")
+
+
 def _depth(params: dict) -> int:
     depth = params.get("max_depth")
-    return MAX_DEPTH if depth is None else min(MAX_DEPTH, int(depth))
+    if depth is not None and int(depth) > MAX_DEPTH:
+        raise ValueError(f"max_depth {depth}: MLlib forests reach {MAX_DEPTH} at most")
+    return MAX_DEPTH if depth is None else int(depth)
+
+
+def _leaf_rows(params: dict, n_rows: int) -> int:
+    """Rows, or a fraction of all rows."""
+    value = float(params.get("min_samples_leaf", 1))
+    return max(1, math.ceil(value * n_rows)) if value < 1 else int(value)
 
 
 def logistic(params: dict, n_rows: int):
     """L2-penalised logistic regression; ``C`` weighs the sum of the losses."""
     return ml.LogisticRegression(
         regParam=1.0 / (float(params.get("C", 1.0)) * max(1, n_rows)), elasticNetParam=0.0,
-        standardization=False, maxIter=int(params.get("max_iter", 100)),
+        standardization=False, maxIter=int(params.get("max_iter", 100)), fitIntercept=flag(params.get("fit_intercept", True)),
     )
 
 
@@ -31,7 +46,7 @@ def linear_svm(params: dict, n_rows: int):
     """Linear support vector classifier; ``C`` weighs the sum of the losses."""
     return ml.LinearSVC(
         regParam=1.0 / (float(params.get("C", 1.0)) * max(1, n_rows)), standardization=False,
-        maxIter=int(params.get("max_iter", 100)),
+        maxIter=int(params.get("max_iter", 100)), fitIntercept=flag(params.get("fit_intercept", True)),
     )
 
 
@@ -42,7 +57,7 @@ def _subset(value) -> str:
 def tree(params: dict, n_rows: int):
     """One decision tree; with ``max_features`` each split looks at a random subset."""
     common = dict(
-        maxDepth=_depth(params), minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+        maxDepth=_depth(params), minInstancesPerNode=_leaf_rows(params, n_rows),
         maxBins=int(params.get("max_bins", 64)), seed=int(params.get("random_state", 0)),
     )
     if params.get("max_features") is None:
@@ -57,7 +72,7 @@ def forest(params: dict, n_rows: int):
     return ml.RandomForestClassifier(
         numTrees=int(params.get("n_estimators", 100)), maxDepth=_depth(params),
         featureSubsetStrategy=_subset(params.get("max_features", "sqrt")),
-        minInstancesPerNode=int(params.get("min_samples_leaf", 1)), maxBins=int(params.get("max_bins", 64)),
+        minInstancesPerNode=_leaf_rows(params, n_rows), maxBins=int(params.get("max_bins", 64)),
         seed=int(params.get("random_state", 0)),
     )
 
@@ -65,9 +80,9 @@ def forest(params: dict, n_rows: int):
 LEARNERS = {"logistic": logistic, "SVM": linear_svm, "tree": tree, "rf": forest}
 
 
-def assemble(df: DataFrame, features, target: str | None = None) -> DataFrame:
+def assemble(df: DataFrame, features, target: str | None = None, invalid: str = "error") -> DataFrame:
     """Adds the ``__x`` vector (and ``__y`` label) the learners read."""
-    out = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="error").transform(df)
+    out = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid=invalid).transform(df)
     return out if target is None else out.withColumn("__y", F.col(target).cast("double"))
 
 

@@ -20,10 +20,10 @@ def ridge_grams(batches: DataFrame, keys, features, target: str, weight: str | N
     return grouped_gram(rows, keys, ["__one", *features, "__y"], weight)
 
 
-def _solve(gram: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
-    """Coefficients of least squares with penalty ``alpha`` and a free intercept."""
+def _solve(gram: np.ndarray, alpha: float, intercept: bool = True) -> tuple[float, np.ndarray]:
+    """Coefficients of least squares with penalty ``alpha``; the intercept is free, or 0."""
     n = gram[0, 0]
-    mean_x, mean_y = gram[0, 1:-1] / n, gram[0, -1] / n
+    mean_x, mean_y = (gram[0, 1:-1] / n, gram[0, -1] / n) if intercept else (np.zeros(len(gram) - 2), 0.0)
     xx = gram[1:-1, 1:-1] - n * np.outer(mean_x, mean_x)
     xy = gram[1:-1, -1] - n * mean_x * mean_y
     penalised = xx + alpha * np.eye(len(xx))
@@ -35,13 +35,16 @@ def _solve(gram: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
 
 
 def solve_ridge(grams: DataFrame, attempts: DataFrame, keys, n_features: int) -> DataFrame:
-    """Adds ``intercept`` and ``coef`` to attempts ``(keys, alpha, …)``; one small solve each."""
+    """Adds ``intercept`` and ``coef`` to attempts ``(keys, alpha[, fit_intercept], …)``; one small solve each."""
     keys = list(keys)
     size = n_features + 2
 
     def solve(cells: pd.DataFrame, tries: pd.DataFrame) -> pd.DataFrame:
         gram = matrix_of(cells, size) if len(cells) else None
-        fitted = [_solve(gram, a) if gram is not None else (np.nan, np.full(n_features, np.nan)) for a in tries["alpha"]]
+        free = tries["fit_intercept"] if "fit_intercept" in tries else [True] * len(tries)
+        fitted = [
+            _solve(gram, a, bool(i)) if gram is not None else (np.nan, np.full(n_features, np.nan)) for a, i in zip(tries["alpha"], free)
+        ]
         return tries.assign(intercept=[f[0] for f in fitted], coef=[f[1].tolist() for f in fitted])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema.fields]

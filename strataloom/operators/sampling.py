@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import hash60
@@ -92,6 +92,12 @@ def fetch_rows(draws: DataFrame, signals: DataFrame, on, n_draws: int, limit: in
     return signals.join(side, on)
 
 
+def binary_class(target: str) -> Column:
+    """0 or 1; any other value that is not null stops the job."""
+    other = F.raise_error(F.concat(F.lit(f"target {target!r} must be 0 or 1, found "), F.col(target).cast("string"))).cast("int")
+    return F.when(F.col(target).isNull() | F.col(target).isin(0, 1), F.col(target).cast("int")).otherwise(other)
+
+
 def generate_batches(df: DataFrame, n_batches: int, batch_len: int, target: str, row_id: str, inputs=None,
                      balanced: bool = True, resample: bool = True, seed=0, bits: int | None = None) -> Sampling:
     """Draw ``n_batches`` batches of signals.
@@ -104,7 +110,7 @@ def generate_batches(df: DataFrame, n_batches: int, batch_len: int, target: str,
     if n_batches < 1 or batch_len < 1:
         raise ValueError("n_batches and batch_len must be positive")
     if balanced:
-        pool = df.filter(F.col(target).isin(0, 1)).withColumn("class", F.col(target).cast("int"))
+        pool = df.filter(F.col(target).isNotNull()).withColumn("class", binary_class(target))
     else:
         pool = df.withColumn("class", F.lit("all"))
     rows = index_rows(pool, ["class"], row_id)

@@ -41,7 +41,13 @@ def _best_split(values: np.ndarray, y: np.ndarray, min_leaf: int):
     return (cost[at], (v[at] + v[at + 1]) / 2) if np.isfinite(cost[at]) else None
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, max_depth: int | None, n_features: int, min_leaf: int, rng) -> list[dict]:
+def n_rows_of(setting, n: int) -> int:
+    """A number of rows, or a fraction of ``n``, rounded up."""
+    value = float(setting)
+    return max(1, int(np.ceil(value * n))) if value < 1 else int(value)
+
+
+def grow_tree(x: np.ndarray, y: np.ndarray, max_depth: int | None, n_features: int, min_leaf: int, rng, min_split: int = 2) -> list[dict]:
     """Nodes of one tree; a split looks at ``n_features`` random features, more if none can split."""
     p = x.shape[1]
     nodes: list[dict] = []
@@ -53,7 +59,7 @@ def grow_tree(x: np.ndarray, y: np.ndarray, max_depth: int | None, n_features: i
             nodes[parent[0]][parent[1]] = here
         hits = own.sum()
         nodes.append({"feature": _LEAF, "threshold": 0.0, "left": _LEAF, "right": _LEAF, "vote": int(2 * hits > len(own))})
-        if hits in (0, len(own)) or len(own) < 2 * min_leaf or (max_depth is not None and depth >= max_depth):
+        if hits in (0, len(own)) or len(own) < max(min_split, 2 * min_leaf) or (max_depth is not None and depth >= max_depth):
             continue
         best = None
         for looked, f in enumerate(rng.permutation(p) if n_features < p else range(p)):
@@ -101,8 +107,8 @@ def fit_trees(rows: DataFrame, features, fold_type: str) -> DataFrame:
         first = pdf.iloc[0]
         depth = None if pd.isna(first["max_depth"]) else int(first["max_depth"])
         nodes = grow_tree(
-            x[train], y[train], depth, n_split_features(first["max_features"], len(features)), int(first["min_leaf"]),
-            np.random.default_rng(int(first["seed"])),
+            x[train], y[train], depth, n_split_features(first["max_features"], len(features)), n_rows_of(first["min_leaf"], train.sum()),
+            np.random.default_rng(int(first["seed"])), n_rows_of(first.get("min_split", 2), train.sum()),
         )
         hit = tree_vote(x, tree_arrays(nodes)) == y
         return pd.DataFrame({

@@ -111,7 +111,7 @@ class Experiment:
 class HoldoutExperiment(Experiment):
     """Repeated random hold-out of subjects: accuracy, FNR, FPR, ROC AUC."""
 
-    experiment_type = "CROSS VALIDATION"
+    experiment_type = "CROSS_VALIDATION"
 
     def run(self, n_folds: int = 10, test_set_size: int = 10) -> DataFrame:
         subjects = self.subject_table()
@@ -126,7 +126,7 @@ class HoldoutExperiment(Experiment):
 class LeaveStratumOutExperiment(Experiment):
     """One fold per stratum: accuracy, FNR, FPR; ``predictions`` holds the vote shares."""
 
-    experiment_type = "LEAVE ONE OUT"
+    experiment_type = "LEAVE_ONE_OUT"
 
     def run(self, loo_variable: str) -> DataFrame:
         subjects = self.subject_table(loo_variable)
@@ -138,7 +138,7 @@ class LeaveStratumOutExperiment(Experiment):
 class StratifiedExperiment(Experiment):
     """One fold per stratum, optionally balanced: also ROC AUC and the stratum's weight."""
 
-    experiment_type = "STRATIFIED CROSS VALIDATION"
+    experiment_type = "STRATIFIED_CROSS_VALIDATION"
 
     def run(self, strata_variable: str, balanced_by: str | None = None) -> DataFrame:
         subjects = self.subject_table(strata_variable, balanced_by)

@@ -11,6 +11,8 @@ from strataloom.sources.tables import read_signals
 
 
 def _start(spark, kind, data, settings_paths, row_id, seed, schema):
+    if schema is None and data.rstrip("/").lower().endswith(".csv"):
+        raise ValueError("a CSV needs its schema: inferring it would read the table twice")
     signals = read_signals(spark, data, schema=schema, row_id=row_id)
     return kind(signals, StudySettings.load(*settings_paths), row_id, seed)
 

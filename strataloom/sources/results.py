@@ -6,9 +6,13 @@ import json
 from datetime import datetime
 
 
+# Fixed value: a saved study is named by its type and the local time in this format.
+STAMP = "%Y-%m-%d_%H-%M-%S"
+
+
 def result_name(experiment_type: str, now: datetime | None = None) -> str:
-    """``{TYPE}_{date}_{time}``."""
-    return f"{'_'.join(experiment_type.split(' '))}_{(now or datetime.now()):%Y-%m-%d_%H-%M-%S}"
+    stamp = (now or datetime.now()).strftime(STAMP)
+    return f"{experiment_type}_{stamp}"
 
 
 def save_experiment(experiment, path: str, name: str | None = None) -> str:

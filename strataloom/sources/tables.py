@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.functions.hashing import hash60
 from strataloom.operators.subjects import require_columns
 
 
@@ -32,6 +31,13 @@ def read_signals(spark: SparkSession, path: str, schema=None, file_format: str |
 
 
 def with_row_id(df: DataFrame, columns, name: str = "row_id") -> DataFrame:
-    """Add a key made from columns that identify a row together."""
+    """Add a key made from columns that identify a row together: 128 bits as text.
+
+    Each part carries its length, so that neither nulls nor separators make different rows equal.
+    """
     require_columns(df, columns)
-    return df.withColumn(name, hash60(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    parts = []
+    for c in columns:
+        text = F.col(c).cast("string")
+        parts.append(F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    return df.withColumn(name, F.md5(F.concat(*parts)))

@@ -9,7 +9,9 @@ from strataloom.config import StudySettings
 from strataloom.materialize import broadcast_if_small, pin
 from strataloom.operators import ensemble, knn, mllib, trees
 from strataloom.operators.ensemble import BatchPlan, Ensemble, NodeSpec, accept, keep_best, parameter_range
+from strataloom.operators.encode import OneHotEncoder
 from strataloom.operators.ridge import ridge_grams, solve_ridge
+from strataloom.operators.scale import MinMaxScaler
 from strataloom.plans.experiment import HoldoutExperiment, LeaveStratumOutExperiment, StratifiedExperiment
 from strataloom.plans.jobs import run_holdout, run_leave_stratum_out
 from strataloom.sources.results import result_name, save_experiment
@@ -235,7 +237,9 @@ def test_jobs_from_files(spark, signals, tmp_path):
     report = run_holdout(spark, data, paths, 2, 6, schema=signals.schema)
     assert set(report.columns) == {"accuracy", "fnr", "fpr", "roc_auc"}
     out = str(tmp_path / "out")
-    run_leave_stratum_out(spark, data, paths, "segment", save_path=out)
+    run_leave_stratum_out(spark, data, paths, "segment", save_path=out, schema=signals.schema)
+    with pytest.raises(ValueError, match="schema"):
+        run_leave_stratum_out(spark, data, paths, "segment")
     import os
 
     assert os.listdir(out)[0].startswith("LEAVE_ONE_OUT_20")
@@ -268,7 +272,7 @@ def test_reading(spark, signals, tmp_path):
 def test_result_name():
     from datetime import datetime
 
-    assert result_name("CROSS VALIDATION", datetime(2024, 1, 2, 3, 4, 5)) == "CROSS_VALIDATION_2024-01-02_03-04-05"
+    assert result_name("CROSS_VALIDATION", datetime(2024, 1, 2, 3, 4, 5)) == "CROSS_VALIDATION_2024-01-02_03-04-05"
 
 
 def test_broadcast_only_when_small(spark):
@@ -294,3 +298,68 @@ def test_stream_scores_equal_batch_scores(spark, signals, subjects, tmp_path):
     query.stop()
     want = fitted.predict(signals).select("row_id", "proba")
     assert sorted(map(tuple, spark.table("scored").collect())) == sorted(map(tuple, want.collect()))
+
+
+def _fit(signals, subjects, kind="Ridge", params=None):
+    return Ensemble([kind], [2], [params or {}]).fit(
+        signals, "target", subjects, "subject", "row_id", FEATURES, PLAN, 0.0, seed=1)
+
+
+def test_unknown_settings_raise(signals, subjects):
+    for kind, params in (("Ridge", {"nonsense": 3}), ("tree", {"class_weight": "balanced"}), ("knn", {"weights": "distance"}), ("SVM", {"kernel": "rbf"})):
+        with pytest.raises(ValueError, match="valid|only"):
+            Ensemble([kind], [1], [params])
+    with pytest.raises(ValueError, match="valid"):
+        MinMaxScaler(["amount"], nonsense=1)
+    with pytest.raises(ValueError, match="only"):
+        OneHotEncoder(["segment"], handle_unknown="error")
+
+
+def test_ridge_without_intercept(signals, subjects):
+    nodes = _fit(signals, subjects, params={"fit_intercept": False}).nodes.collect()
+    assert all(r["intercept"] == 0.0 and any(r["coef"]) for r in nodes)
+
+
+def test_drawn_number_of_neighbours(signals, subjects):
+    fitted = _fit(signals, subjects, "knn", {"n_neighbors": (1, 6)})
+    assert {int(r["params"]["n_neighbors"]) for r in fitted.nodes.collect()} <= {1, 2, 3, 4, 5}
+    assert fitted.predict(signals).count() == 1500
+
+
+def test_leaf_sizes_may_be_fractions(signals, subjects):
+    trees_ = _fit(signals, subjects, "tree", {"min_samples_leaf": 0.5}).nodes.collect()
+    assert all(len(r["tree"]) <= 3 for r in trees_)
+
+
+def test_missing_features(signals, subjects):
+    fitted = _fit(signals, subjects)
+    holed = signals.withColumn("b", F.when(F.col("row_id") % 2 == 0, F.col("b")))
+    shares = {r["row_id"]: r["proba"] for r in fitted.predict_proba(holed).collect()}
+    assert all((v is None) == (k % 2 == 1) for k, v in shares.items())
+    with pytest.raises(Exception, match="missing values"):
+        _fit(holed, subjects)
+
+
+def test_targets_must_be_binary(spark, signals, subjects):
+    third = signals.withColumn("target", F.when(F.col("row_id") == 3, 2).otherwise(F.col("target")))
+    with pytest.raises(Exception, match="must be 0 or 1"):
+        _fit(third, subjects)
+    with pytest.raises(ValueError, match="two values"):
+        _fit(signals, subjects.withColumn("target", F.col("subject") % 3))
+
+
+def test_depth_beyond_the_learner_raises(spark):
+    with pytest.raises(ValueError, match="30"):
+        mllib.forest({"max_depth": 31}, 100)
+
+
+def test_keys_tell_nulls_and_separators_apart(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("x", None)]
+    keyed = with_row_id(spark.createDataFrame(rows, "p string, q string"), ["p", "q"])
+    assert keyed.select("row_id").distinct().count() == 5
+
+
+def test_clipping_and_missing_numbers(spark):
+    fit = spark.createDataFrame([(0.0,), (10.0,), (float("nan"),), (None,)], "v double")
+    model = MinMaxScaler(["v"], clip=True).fit(fit)
+    assert [r["v"] for r in model.transform(spark.createDataFrame([(-5.0,), (5.0,), (20.0,)], "v double")).collect()] == [0.0, 0.5, 1.0]

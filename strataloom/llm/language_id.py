@@ -138,8 +138,12 @@ def fit(
     id_ = F.col(id_col)
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & id_.isNotNull() & ~in_fold(id_))
     usable = usable.select(id_.alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # a share of each language by hash, about four times what is needed, so that no task ranks a whole language
+    sizes = keep(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    share = F.lit(float(4 * per_language << 20)) / F.col("n")
+    drawn = usable.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = usable.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    chosen = drawn.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
     sample = usable.join(keep(chosen), ["id", "lang"]).select("text", "lang", "rank")
     sample = keep(sample)
     grams = sample.select("text").mapInArrow(_gram_rows, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

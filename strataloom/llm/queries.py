@@ -87,7 +87,54 @@ def labelled_urls(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("url", shown.try_cast("bigint").alias("doc_id")).join(labels, "doc_id").select("url", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
 
 
-@query("op5_url_filter")
+def _tagged(tag: str, parts: str) -> str:
+    return f"list_transform(list_filter({parts}, lambda x: x <> '' and not regexp_matches(x, '[0-9]')), lambda x: '{tag}=' || x)"
+
+
+# The same rules by counting every set of up to three tokens.
+_URL_FILTER = rf"""
+with cut as (
+  select page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages
+), tokens as (
+  select *, list_sort(list_distinct(list_concat(list_concat(
+    case when host = '' then [] else ['host=' || host] end,
+    {_tagged('label', "list_filter(string_split(host, '.'), lambda x: x <> 'bad')")}), list_concat(list_concat(
+    {_tagged('part', "flatten(list_transform(string_split(host, '.'), lambda x: string_split(x, '-')))")},
+    {_tagged('path', "string_split(path, '/')")}),
+    {_tagged('query', "regexp_extract_all(coalesce(url, ''), '[?&]([^=&#]+)=', 1)")})))) as t from cut
+), labelled as (
+  select row_number() over () as r, t, l.toxic = 1 or l.quality = 0 as bad
+  from tokens p join labels l on l.doc_id = try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) as bigint)
+), held as (
+  select r, bad, unnest(t) as a from labelled where bad is not null
+), sets as (
+  select r, bad, [a] as s from held
+  union all select x.r, x.bad, [x.a, y.a] from held x join held y on x.r = y.r and x.a < y.a
+  union all select x.r, x.bad, [x.a, y.a, z.a] from held x join held y on x.r = y.r and x.a < y.a
+    join held z on x.r = z.r and y.a < z.a
+), mined as (
+  select s from sets group by s
+  having count(*) filter (where bad) >= greatest(5, (select ceil(0.001::double * count(*)) from labelled where bad is not null))
+     and count(*) filter (where bad)::double / count(*) >= 0.5::double
+), hit as (
+  select distinct page_id from tokens, mined where list_has_all(t, s)
+), ruled as (
+  select *, case
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule from tokens
+)
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+       when page_id in (select page_id from hit) then 'block' else 'allow' end as verdict
+from ruled
+"""
+
+
+@query("op5_url_filter", _URL_FILTER)
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, folder, "pages"), labelled_urls(spark, folder))
 

@@ -10,7 +10,8 @@ Inner product is no metric, so a coordinate that gives all points of a shard the
 (zero for queries): the order by inner product with a query then is the order by angle. Vectors that
 are equal share one point.
 
-Each block of queries visits each shard; a query's shard results are merged by exact score.
+A task takes a block of queries through up to ``SHARDS_A_TASK`` shards, one after the other, and keeps
+the best results of each query so far by exact score; the results of these tasks are merged in a last step.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import keep
 
-SHARD_ROWS = 2_500
+SHARD_ROWS = 5_000
 LINKS = 16  # per point in the upper layers; twice that in the lowest
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 96
-QUERY_BLOCK = 512
+SEARCH_WIDTH = 128
+QUERY_BLOCK = 4_096  # queries that a task takes through its shards
+SHARDS_A_TASK = 64
 _BATCH = 256
+_AT_ONCE = 512  # queries that advance together
 
 
 def _choose(sims: np.ndarray, among: np.ndarray, most: int) -> np.ndarray:
@@ -190,32 +193,64 @@ _FOUND = "query_id long, vec_id long, score double"
 
 
 def _visit(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Searches the block of queries of each row in the shard of that row."""
+    """The ``k`` best of each query over the shards of its task.
+
+    Rows are sorted by task and shard; the queries of a task stand before its shards, as shard -1.
+    """
+    task = best = None
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
+            if row["task"].as_py() != task:
+                if best is not None:
+                    yield _rows(query_ids, best)
+                task, best = row["task"].as_py(), None
             dim = row["dim"].as_py()
-            points = np.frombuffer(row["points"].as_py(), "<f8").reshape(-1, dim)
-            lifted = np.frombuffer(row["lifted"].as_py(), np.float32).reshape(-1, dim + 1)
-            layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(row["layers"].as_py(), row["widths"].as_py())]
-            graph = Graph.of(lifted, row["entry"].as_py(), layers)
-            queries = np.frombuffer(b"".join(row["vectors"].as_py()), "<f8").reshape(-1, dim)
-            query_ids = np.array(row["query_ids"].as_py(), np.int64)
-            found = graph.search(queries.astype(np.float32), k + 1, width)
-            member_point, member_id = np.array(row["member_point"].as_py()), np.array(row["member_id"].as_py())
-            first, count = np.searchsorted(member_point, np.arange(len(points))), np.bincount(member_point, minlength=len(points))
-            q, at = np.nonzero(found >= 0)
-            point = found[q, at]
-            score = np.einsum("kd,kd->k", queries[q], points[point])
-            n = count[point]
-            q, score = np.repeat(q, n), np.repeat(score, n)
-            ids = member_id[np.repeat(first[point], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            other = ids != query_ids[q]
-            q, score, ids = q[other], score[other], ids[other]
-            order = np.lexsort((ids, -score, q))
-            q, score, ids = q[order], score[order], ids[order]
-            best = np.arange(len(q)) - np.searchsorted(q, q) < k
-            yield pa.record_batch([pa.array(query_ids[q[best]]), pa.array(ids[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+            if row["shard"].as_py() == -1:
+                query_ids = row["query_ids"].values.to_numpy()
+                queries = np.frombuffer(row["vectors"].as_py(), "<f8").reshape(-1, dim)
+                best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            elif best is not None:  # else no query was dealt to this block
+                best = _merged(best, _shard_results(row, dim, query_ids, queries, k, width), k)
+    if best is not None:
+        yield _rows(query_ids, best)
+
+
+def _rows(query_ids: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    q, ids, score = best
+    return pa.record_batch([pa.array(query_ids[q]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _merged(one: tuple, other: tuple, k: int) -> tuple:
+    """The ``k`` best of each query, ties to the smaller identifier."""
+    q, ids, score = (np.concatenate(pair) for pair in zip(one, other))
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], ids[best], score[best]
+
+
+def _shard_results(row: dict, dim: int, query_ids: np.ndarray, queries: np.ndarray, k: int, width: int) -> tuple:
+    """Numbers of queries, identifiers and scores of what the graph of one shard finds."""
+    points = np.frombuffer(row["points"].as_py(), "<f8").reshape(-1, dim)
+    lifted = np.frombuffer(row["lifted"].as_py(), np.float32).reshape(-1, dim + 1)
+    layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(row["layers"].as_py(), row["widths"].as_py())]
+    graph = Graph.of(lifted, row["entry"].as_py(), layers)
+    member_point, member_id = row["member_point"].values.to_numpy(), row["member_id"].values.to_numpy()
+    first, count = np.searchsorted(member_point, np.arange(len(points))), np.bincount(member_point, minlength=len(points))
+    out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for at in range(0, len(queries), _AT_ONCE):
+        found = graph.search(queries[at:at + _AT_ONCE].astype(np.float32), k + 1, width)
+        q, rank = np.nonzero(found >= 0)
+        point = found[q, rank]
+        q = q + at
+        score = np.einsum("kd,kd->k", queries[q], points[point])
+        n = count[point]
+        q, score = np.repeat(q, n), np.repeat(score, n)
+        ids = member_id[np.repeat(first[point], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        other = ids != query_ids[q]
+        out = _merged(out, (q[other], ids[other], score[other]), k)
+    return out
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20) -> DataFrame:
@@ -246,21 +281,25 @@ def nearest(
     """
     index = build_index(usable(vectors, id_col, vector_col), shard_rows, k)
     asked = usable(queries, id_col, vector_col)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    n = asked.count()
+    blocks = max(1, -(-n // QUERY_BLOCK), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // _AT_ONCE)))
     block = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
 
     def pack(t: pa.Table) -> pa.Table:
         v = t["v"].combine_chunks().flatten().to_numpy().astype("<f8").tobytes()
-        return pa.table({"block": t["block"][:1], "query_ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([[v]], pa.list_(pa.binary()))})
-
-    packed = keep(block.groupBy("block").applyInArrow(pack, "block int, query_ids array<long>, vectors array<binary>"))
-    # the stated query set against all shards, in blocks: a block is sent to every shard once
-    shards = index.agg(F.max("shard")).first()[0]
-    if shards is None:
-        empty = packed.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
-        return empty.limit(0)
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
-    visits = sent.join(index, "shard").repartition("shard", "block")
+        return pa.table({
+            "block": t["block"][:1], "dim": pa.array([len(t["v"][0])], pa.int32()),
+            "query_ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([v], pa.binary()),
+        })
+
+    packed = keep(block.groupBy("block").applyInArrow(pack, "block int, dim int, query_ids array<long>, vectors binary"))
+    # the stated query set against all shards, in blocks: a task is one block and one group of shards
+    last = index.agg(F.max("shard")).first()[0]
+    groups = 1 if last is None else last // SHARDS_A_TASK + 1
+    asking = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("shard", F.lit(-1))
+    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("group", F.floor(F.col("shard") / SHARDS_A_TASK))
+    visits = asking.unionByName(shards, allowMissingColumns=True).withColumn("task", (F.col("block") * groups + F.col("group")).cast("int")).drop("block", "group")
+    visits = visits.repartitionById(blocks * groups, "task").sortWithinPartitions("task", "shard")
     found = visits.mapInArrow(partial(_visit, k=k, width=width), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

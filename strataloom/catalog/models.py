@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import functions as F
 
 from strataloom.catalog.draws import (
@@ -15,13 +17,15 @@ from strataloom.catalog.draws import (
     TEST_SIZE,
 )
 from strataloom.catalog.metrics import pair_auc, rounded
-from strataloom.catalog.registry import FRAMES, FX_FRAMES, FX_ORDERS, SUBJECTS, h, query
+from strataloom.catalog.registry import FRAMES, FX_FRAMES, FX_ORDERS, SQL, SUBJECTS, h, query
+from strataloom.catalog.subjects import scratch
 from strataloom.catalog.views import fx_frames, fx_orders
 from strataloom.config import StudySettings
 from strataloom.operators import ensemble, mllib, sampling
 from strataloom.operators.knn import knn_votes, nearest
 from strataloom.operators.ridge import ridge_grams, score_linear, solve_ridge
 from strataloom.operators.trees import TREE_TYPE, fit_trees
+from strataloom.plans import jobs
 from strataloom.plans.experiment import HoldoutExperiment, LeaveStratumOutExperiment, StratifiedExperiment
 
 # Ridge of the target on one feature, for each segment and several penalties.
@@ -305,3 +309,29 @@ def mixed_study_scores(spark, folder):
                               inputs=("priority", "amount"), encoders=True, frames=FRAMES)
     study = HoldoutExperiment(_full_signals(spark, folder), settings, seed=SEED)
     return rounded(study.run(2, TEST_SIZE), "fold")
+
+
+_SETTINGS = [str(files("strataloom.catalog") / "settings" / f"{name}.json") for name in ("subject", "sampler", "ensemble", "transformer")]
+
+
+def _job_scores(spark, folder, job, *args):
+    """Scores that a job saved: signals and settings from files, the results read back."""
+    path = scratch(spark, "job")
+    _signals(spark, folder).write.parquet(f"{path}/signals")
+    job(spark, f"{path}/signals", _SETTINGS, *args, save_path=f"{path}/saved", seed=SEED)
+    return rounded(spark.read.parquet(f"{path}/saved/*/stats"), "fold")
+
+
+@query("job_holdout_scores", SQL["holdout_scores"])
+def job_holdout_scores(spark, folder):
+    return _job_scores(spark, folder, jobs.run_holdout, 5, TEST_SIZE)
+
+
+@query("job_leave_stratum_out_scores", SQL["leave_stratum_out_scores"])
+def job_leave_stratum_out_scores(spark, folder):
+    return _job_scores(spark, folder, jobs.run_leave_stratum_out, "segment")
+
+
+@query("job_stratified_scores", SQL["stratified_scores"])
+def job_stratified_scores(spark, folder):
+    return _job_scores(spark, folder, jobs.run_stratified, "segment", "target")

@@ -265,7 +265,7 @@ def test_targets_are_capped_and_shared_again(spark):
     assert got["b"] == 3 and got["c"] == 0 and abs(got["a"] - 74) < 1e-9 and abs(got[None] - 74) < 1e-9
 
 
-def test_ann(spark):
+def test_ann(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(2)
@@ -288,6 +288,9 @@ def test_ann(spark):
         order = sorted((i for i in range(900) if i != q), key=lambda i: (-scores[q, i], i))[:20]
         hits += len(set(order) & {r["vec_id"] for r in rs})
     assert hits >= 0.95 * 20 * len(by)
+    monkeypatch.setattr(ann, "SHARDS_A_TASK", 2)  # a block's results then come from several tasks
+    again = ann.nearest(df, df.where("vec_id % 10 = 0"), k=20, shard_rows=200).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
     few = df.where("vec_id < 5")
     assert ann.nearest(few, few.where("vec_id = 0")).count() == 4
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0

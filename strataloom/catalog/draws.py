@@ -162,9 +162,11 @@ def balanced_sample(spark, folder):
     return sampling.balanced_sample(fx_events(spark, folder), "target", "row_id", seed=SEED)
 
 
-@query("shuffled_rows", f"select row_id, target from ({FX_EVENTS})")
+@query("shuffled_rows", f"""
+select row_id, target, row_number() over (order by {h(f"'{SEED}'", "'shuffle'", 'row_id')}, row_id) - 1 as position
+from ({FX_EVENTS})""")
 def shuffled_rows(spark, folder):
-    return sampling.shuffled(fx_events(spark, folder).select("row_id", "target"), "row_id", SEED)
+    return sampling.with_position(sampling.shuffled(fx_events(spark, folder).select("row_id", "target"), "row_id", SEED))
 
 
 def _holdout_sql(n_folds: int, test_size: int) -> str:

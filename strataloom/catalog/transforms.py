@@ -268,3 +268,30 @@ def compressed_signals(spark, folder):
     rows = fx_frames(spark, folder).join(folds, "subject")
     model = cmp.SignalCompressor([4], [FRAMES], ["median"]).fit(rows.filter("role = 'fit'"), ["fold"])
     return model.transform(rows).select("fold", "role", "row_id", *model.added)
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("encoded_and_compressed", f"""
+with u as (unpivot (select segment, row_id, {", ".join(FRAMES)} from ({FX_FRAMES})) on {", ".join(FRAMES)}
+           into name frame value v),
+m as (select row_id, avg(v) as m from u group by row_id),
+n as (select u.segment, u.row_id, cast(replace(frame, 'signal_frame', '') as integer) - 1 as i, u.v - m.m as v
+      from u join m on u.row_id = m.row_id),
+g as (select a.segment, a.i, b.i as j, sum(a.v * b.v) as v from n a join n b on a.row_id = b.row_id
+      group by a.segment, a.i, b.i),
+part as (select g.segment, a, i >= a as part, sum(case when i = j then v else 0 end) - sum(v) / count(distinct i) as cost
+         from g, range(1, 12) c(a) where (i >= a) = (j >= a) group by g.segment, a, part),
+best as (select segment, a, row_number() over (partition by segment order by sum(cost)) as place from part group by segment, a)
+select o.row_id, {", ".join(f"cast(o.priority = '{v}' as integer) as priority_{i}" for i, v in enumerate(_PRIORITIES, start=1))},
+       round(list_sum([{", ".join(FRAMES)}][1:a]), 6) as compressed_1_frame_1,
+       round(list_sum([{", ".join(FRAMES)}][a + 1:]), 6) as compressed_1_frame_2
+from ({FX_FRAMES}) f join ({FX_ORDERS}) o on f.row_id = o.row_id join best on f.segment = best.segment where place = 1""")
+def encoded_and_compressed(spark, folder):
+    """The columns that a chain of encoder and compressor names, fitted per segment."""
+    rows = fx_frames(spark, folder).join(fx_orders(spark, folder).select("row_id", "priority"), "row_id")
+    compressor = cmp.SignalCompressor([2], [FRAMES], ["sum"], contiguous=True)
+    chain = fit_stages(rows, ["segment"], None, encoder_chain(["one_hot"], [{}], [["priority"]]), None, compressor)
+    names = chain.features(["priority", *FRAMES])
+    return chain.transform(rows).select("row_id", *[F.round(n, 6).alias(n) if n in chain.steps[-1].added else n for n in names])

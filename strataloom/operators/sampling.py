@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import hash60
+from strataloom.materialize import broadcast_if_small, pin
 from strataloom.operators.draws import (
     DRAWS_BROADCAST,
     draw_with_replacement,
@@ -153,3 +154,14 @@ def balanced_sample(df: DataFrame, column: str, row_id: str, max_len: int | None
 def shuffled(df: DataFrame, row_id: str, seed=0) -> DataFrame:
     """Rows in a repeatable random order."""
     return df.orderBy(hash60(seed, "shuffle", F.col(row_id)), row_id)
+
+
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a sorted table from 0: rows per partition first, then the place in the partition."""
+    rows = pin(ordered.withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftright("__place", 33)  # the upper bits number the partition
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    place = F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(broadcast_if_small(pin(starts)), part == F.col("__part")).withColumn(name, place).drop("__place", "__part", "__start")

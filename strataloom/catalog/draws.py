@@ -314,10 +314,11 @@ def attempts(spark, folder):
         spark, [(r["fold"], r["count"], r["count"]) for r in sizes],
         [("fold", "string"), ("n_train", "bigint"), ("n_test", "bigint")],
     )
-    spec = ensemble.NodeSpec("Ridge", 10, {"alpha": {"range": [0.5, 2.0]}, "max_depth": (3, 9)})
-    table = ensemble.attempt_table(folds, spec, 0, 0, 200, SEED)
-    return table.select(
+    ridge = ensemble.NodeSpec("Ridge", 10, {"alpha": {"range": [0.5, 2.0]}})
+    tree = ensemble.NodeSpec("tree", 10, {"max_depth": (3, 9)})
+    real, whole = (ensemble.attempt_table(folds, spec, 0, 0, 200, SEED) for spec in (ridge, tree))
+    whole = whole.select("fold", "attempt", F.col("params")["max_depth"].cast("bigint").alias("max_depth"))
+    return real.join(whole, ["fold", "attempt"]).select(
         "fold", "attempt", "train_batch", "test_batch",
-        F.round(F.col("params")["alpha"].cast("double"), 9).alias("alpha"),
-        F.col("params")["max_depth"].cast("bigint").alias("max_depth"),
+        F.round(F.col("params")["alpha"].cast("double"), 9).alias("alpha"), "max_depth",
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import ann, exact_dedup, language_id, line_dedup, mixing, pii, sentencepiece_bpe, simhash, url_rules, warc
+from strataloom.llm import ann, divergence, exact_dedup, language_id, line_dedup, mixing, pii, sentencepiece_bpe, simhash, url_rules, warc
 from strataloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -185,3 +185,49 @@ def warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.mix(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# Every term of a language in every of its sources, pairs of sources side by side.
+_DIVERGENCE = r"""
+with texts as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents
+), occurrences as (
+  select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from texts
+), kept as (
+  select lang, term, count(*) as n from occurrences group by lang, term having count(distinct r) >= 3
+), langs as (
+  select lang, count(*) as v, sum(n) as total from kept group by lang
+), groups as (
+  select distinct lang, source from texts
+), counts as (
+  select lang, source, term, count(*) as n from occurrences group by lang, source, term
+), cells as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.n as lang_n, l.total as lang_total, l.v,
+         sum(coalesce(c.n, 0)) over (partition by g.lang, g.source) as total
+  from groups g join kept k on g.lang = k.lang join langs l on g.lang = l.lang
+  left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), shares as (
+  select lang, source, term, n, 1 + (1000000000::hugeint * (n + 1)) // (total + v)::hugeint as p,
+         1 + (1000000000::hugeint * (lang_n + 1)) // (lang_total + v)::hugeint as q from cells
+), apart as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), pairs as (
+  select x.lang, x.source, y.source as item, coalesce(z.value, 0) as value
+  from groups x join groups y on x.lang = y.lang and x.source <> y.source
+  left join apart z on z.lang = x.lang and z.source = x.source and z.item = y.source
+), ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select * from (select lang, source, 'term' as part, term as item, ((p - q) * (p - q)) // q as value,
+                        row_number() over (partition by lang, source order by ((p - q) * (p - q)) // q desc, term) as rank
+                 from shares where n > 0 and p > q) where rank <= 200
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked
+"""
+
+
+@query("op13_divergence", _DIVERGENCE)
+def divergence_of_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import ann, divergence, exact_dedup, language_id, line_dedup, mixing, pii, sentencepiece_bpe, simhash, url_rules, warc
+from strataloom.llm import ann, divergence, exact_dedup, language_id, line_dedup, mixing, pii, secrets, sentencepiece_bpe, simhash, url_rules, warc
 from strataloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -187,6 +187,49 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+# Matches of a kind in order; where one stands follows from the texts between them.
+_ASSIGN = """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRET_KINDS = (
+    ("assign", _ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1), ("forge", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 1), ("chat", "xox[abprs]-[0-9A-Za-z-]{10,}", 0, 1),
+)
+_SECRETS = "with " + ", ".join(
+    f"""m{n} as (
+  select r, doc_id, {n} as no, '{kind}' as kind, i, whole, part, text, sum(length(whole)) over (partition by r order by i) as covered,
+         split_text, sum(length(split_text)) over (partition by r order by i) as before
+  from (select r, doc_id, text, unnest(regexp_extract_all(text, '{pattern}', 0)) as whole, unnest(regexp_extract_all(text, '{pattern}', {group})) as part,
+               unnest(regexp_split_to_array(text, '{pattern}')[:-2]) as split_text, unnest(range(len(regexp_extract_all(text, '{pattern}', 0)))) as i
+        from (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents)) x
+), s{n} as (
+  select r, doc_id, no, kind, covered + before - length(whole) as start, covered + before as stop from m{n} where length(part) >= {least}
+)"""
+    for n, (kind, pattern, group, least) in enumerate(_SECRET_KINDS)
+) + """, spans as (""" + " union all ".join(f"select * from s{n}" for n in range(len(_SECRET_KINDS))) + """
+), joined as (
+  select r, count(*) filter (where no = 0) as n_assign, count(*) filter (where no = 1) as n_access, count(*) filter (where no = 2) as n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) filter (where no < 3) as base,
+         string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) as spans from spans group by r
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from (select row_number() over () as r, doc_id from documents) d left join joined j on d.r = j.r
+"""
+
+
+@query("op12_secrets", _SECRETS)
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["no"] < len(secrets.BASE))
+
+    def n(kind: int):
+        return F.size(F.filter("spans", lambda s: s["no"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 # Every term of a language in every of its sources, pairs of sources side by side.
 _DIVERGENCE = r"""
 with texts as (

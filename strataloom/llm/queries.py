@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import ann, divergence, exact_dedup, language_id, line_dedup, mixing, pii, secrets, sentencepiece_bpe, simhash, url_rules, warc
+from strataloom.llm import ann, divergence, exact_dedup, hard_negatives, language_id, line_dedup, mixing, pii, secrets, sentencepiece_bpe, simhash, url_rules, warc
 from strataloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -187,6 +187,36 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+# All products of the anchors with all rows.
+_NEGATIVES = """
+with rows as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scores as (
+  select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id,
+         cast(list_sum(list_transform(range(1, len(r.v) + 1), lambda i: a.v[i] * r.v[i])) as bigint) as score
+  from rows a join rows r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0
+), positives as (
+  select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from scores where same) where n <= 5
+), found as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+  from positives p join scores n on p.anchor_id = n.anchor_id and not n.same
+  where 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from found where rank <= 10
+"""
+
+
+@query("op11_hard_negatives", _NEGATIVES)
+def hard_negatives_of_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.whole_vectors(table(spark, folder, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 # Matches of a kind in order; where one stands follows from the texts between them.
 _ASSIGN = """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _SECRET_KINDS = (

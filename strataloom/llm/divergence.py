@@ -2,9 +2,10 @@
 
 The terms of a language are numbered inside blocks of bounded size, and a group (language, source) holds one
 pair of sorted arrays, term numbers and counts, per block. For every unordered pair of groups and every
-block one task gets both arrays: a galloping search finds the common terms, which are priced with both
+block a task has both arrays: a galloping search finds the common terms, which are priced with both
 counts; terms of one side alone are priced against a count of zero, in both directions. Terms that
 neither side holds all have the same price, so their number is enough; it is added at the end.
+A task serves the pairs of two tiles of groups, so its size is bounded in groups and in terms.
 
 A group's share of a term is ``1 + floor(10^9 * (count + 1) / (N + V))``, in whole numbers throughout: the
 quotient is taken in three steps of base 1,000, so that no product leaves 64 bits for any count below 9 * 10^15.
@@ -13,29 +14,38 @@ quotient is taken in three steps of base 1,000, so that no product leaves 64 bit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import keep
 from strataloom.materialize import broadcast_if_small
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = 32_768  # terms of a block, on average
+# What is no letter of A-Z and below 128 parts terms; A-Z in lower case. All other bytes of UTF-8 are 128 and more.
+_FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+BLOCK = 65_536  # pairs of a group and a term in a block, on average
+TILE = 32  # groups of a tile
+HELD = 32_000_000  # characters of the texts whose terms are counted together
+MOST_TASKS = 10_000
 STEPS, BASE = 3, 1_000  # the scale of the shares is BASE ** STEPS
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text in order, A-Z in lower case."""
-
-    def lowered(t: Column) -> Column:
-        # plain bytes only: lower() changes A-Z and nothing else
-        return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lowered)
+def terms_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts in order, A-Z in lower case, and the number of the text that each stands in."""
+    parts = [t.encode().translate(_FOLD) for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    line = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+    inside = line != 32
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, stops = edges[::2], edges[1::2]
+    places = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(line[inside])])
+    return terms, np.searchsorted(ends, starts, side="right")
 
 
 def share(count: Column, total: Column, n_terms: Column) -> Column:
@@ -84,66 +94,104 @@ def gallop(needles: np.ndarray, hay: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hay[at] == needles, at
 
 
-def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], totals: tuple[int, int], n_terms: int) -> tuple[int, int, int]:
+class Side(NamedTuple):
+    """One group's terms of one block: numbers and shares, and the share of every term that it does not hold."""
+
+    name: str
+    ids: np.ndarray
+    shares: np.ndarray
+    rest: int
+
+
+def merge(a: Side, b: Side) -> tuple[int, int, int]:
     """Prices of one block in both directions, and the number of terms that either side holds."""
-    swapped = len(a[0]) > len(b[0])
-    (ids, counts), (others, other_counts) = (b, a) if swapped else (a, b)
-    if len(others) == 0:
-        return 0, 0, 0
-    common, at = gallop(ids, others) if len(ids) else (np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64))
-    own_total, other_total = totals[::-1] if swapped else totals
-    alone = np.ones(len(others), dtype=bool)
+    if len(a.ids) > len(b.ids):
+        back, forth, held = merge(b, a)
+        return forth, back, held
+    alone = np.ones(len(b.ids), dtype=bool)
+    common, at = gallop(a.ids, b.ids) if len(a.ids) else (np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64))
     alone[at[common]] = False
-    zeros = np.zeros(1, dtype=np.int64)
-    p0, q0 = _shares(zeros, own_total, n_terms), _shares(zeros, other_total, n_terms)
-    p, q = _shares(counts, own_total, n_terms), _shares(other_counts, other_total, n_terms)
     forth = back = 0
-    for x, y in ((p[common], q[at[common]]), (p[~common], q0), (p0, q[alone])):
+    for x, y in ((a.shares[common], b.shares[at[common]]), (a.shares[~common], b.rest), (a.rest, b.shares[alone])):
         square = (x - y) * (x - y)
         forth, back = forth + int((square // y).sum()), back + int((square // x).sum())
-    held = len(ids) + int(alone.sum())
-    return (back, forth, held) if swapped else (forth, back, held)
-
-
-def _pair(left: pa.Table, right: pa.Table) -> pa.Table:
-    row = (left if left.num_rows else right).slice(0, 1).to_pylist()[0]
-
-    def side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        if table.num_rows == 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        return tuple(table[c].combine_chunks().values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ids", "counts"))
-
-    forth, back, held = merge(side(left), side(right), (row["total_a"], row["total_b"]), row["n_terms"])
-    return pa.table({"lang": pa.array([row["lang"]], pa.string()), "a": pa.array([row["a"]], pa.string()), "b": pa.array([row["b"]], pa.string()),
-                     "forth": [forth], "back": [back], "held": [held]})
-
-
-def _counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and the documents that hold the term."""
-    terms = docs.select("lang", "source", terms_of(F.coalesce("text", F.lit(""))).alias("t"))
-    both = F.concat(
-        F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
-        F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs"))),
-    )
-    rows = terms.select("lang", "source", F.inline(both))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
-
-def _pairs(held: DataFrame, groups: DataFrame) -> DataFrame:
-    """Sums of ``forth`` (a to b), ``back`` and ``held`` terms for every unordered pair that holds any term."""
-    entries = F.array_sort(F.collect_list(F.struct("no", "n")))
-    arrays = held.groupBy("lang", "source", "block").agg(entries.alias("e"))
-    arrays = arrays.select("lang", "source", "block", F.col("e.no").alias("ids"), F.col("e.n").alias("counts"))
-    own = groups.select("lang", "source", F.col("total").alias("own_total"), "n_terms")
-    other = groups.select("lang", F.col("source").alias("other"), F.col("total").alias("other_total"))
-    dealt = arrays.join(broadcast_if_small(own), ["lang", "source"]).join(broadcast_if_small(other), "lang")
-    common = ["lang", "block", "ids", "counts", "n_terms"]
-    left = dealt.where("source < other").select(*common, F.col("source").alias("a"), F.col("other").alias("b"), F.col("own_total").alias("total_a"), F.col("other_total").alias("total_b"))
-    right = dealt.where("source > other").select(*common, F.col("other").alias("a"), F.col("source").alias("b"), F.col("other_total").alias("total_a"), F.col("own_total").alias("total_b"))
-    keys = ["lang", "a", "b", "block"]
-    right = right.toDF(*right.columns)  # columns of its own, as both sides come from one table
-    merged = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_pair, "lang string, a string, b string, forth long, back long, held long")
-    return merged.groupBy("lang", "a", "b").agg(F.sum("forth").alias("forth"), F.sum("back").alias("back"), F.sum("held").alias("held"))
+    return forth, back, len(a.ids) + int(alone.sum())
+
+
+def _pair_tasks(table: pa.Table) -> pa.Table:
+    """All unordered pairs of two tiles of groups (or within one tile), for one block of terms, in both directions.
+
+    A group brings one row without a term, which holds its totals, and one for every term of the block that it holds.
+    """
+    one = {c: table[c][0].as_py() for c in ("lang", "ta", "tb")}
+    heads = table.filter(pc.is_null(table["no"])).select(["tile", "source", "total", "n_terms"]).to_pylist()
+    rows = table.filter(pc.is_valid(table["no"]))
+    names = {h["source"]: i for i, h in enumerate(heads)}
+    coded = rows["source"].combine_chunks().dictionary_encode()
+    owner = np.array([names[x] for x in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
+    no, n = rows["no"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.int64)
+    order = np.lexsort((no, owner))
+    owner, no, n = owner[order], no[order], n[order]
+    cuts = np.searchsorted(owner, np.arange(len(heads) + 1))
+    sides: dict[int, list[Side]] = {}
+    for i, h in enumerate(heads):
+        at = slice(cuts[i], cuts[i + 1])
+        shares = _shares(np.append(n[at], 0), h["total"], h["n_terms"])
+        sides.setdefault(h["tile"], []).append(Side(h["source"], no[at], shares[:-1], int(shares[-1])))
+    left, right = sides.get(one["ta"], []), sides.get(one["tb"], [])
+    found = []
+    for a, b in combinations(left, 2) if one["ta"] == one["tb"] else product(left, right):
+        forth, back, held = merge(a, b)
+        found += [(a.name, b.name, forth, held), (b.name, a.name, back, held)]
+    columns = {c: pa.array([f[i] for f in found], pa.string() if i < 2 else pa.int64()) for i, c in enumerate(("source", "item", "value", "held"))}
+    return pa.table({"lang": pa.array([one["lang"]] * len(found), pa.string()), **columns})
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences, and documents with the term, per group and term of a bounded part of the texts."""
+    def counted(groups: list[int], texts: list[str]) -> pa.RecordBatch:
+        terms, doc = terms_of(texts)
+        coded = terms.dictionary_encode()
+        n_terms = max(1, len(coded.dictionary))
+        cells, times = np.unique(doc * n_terms + coded.indices.to_numpy(), return_counts=True)  # of a document and a term
+        names, group = np.unique(np.array(groups, dtype=np.int64), return_inverse=True)
+        keys, at = np.unique(group[cells // n_terms] * n_terms + cells % n_terms, return_inverse=True)
+        return pa.record_batch({
+            "gid": pa.array(names[keys // n_terms]), "term": coded.dictionary.take(pa.array(keys % n_terms)),
+            "n": pa.array(np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64)), "docs": pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64)),
+        })
+
+    groups, texts, size = [], [], 0
+    for batch in batches:
+        for gid, text in zip(batch.column("gid").to_pylist(), batch.column("text").to_pylist()):
+            groups.append(gid)
+            texts.append(text)
+            size += len(text)
+            if size > HELD:
+                yield counted(groups, texts)
+                groups, texts, size = [], [], 0
+    if texts:
+        yield counted(groups, texts)
+
+
+def _pairs(held: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
+    """``lang, source, item, value, held``: sums over the terms that either of two sources holds; languages with terms only.
+
+    Groups come in tiles; a task takes two tiles, so a group is sent once per tile and not once per partner.
+    """
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    tiles = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("lang")) / tile).cast("int")
+    groups = broadcast_if_small(keep(groups.withColumn("tile", F.floor(place / tile).cast("int")).withColumn("tiles", tiles)))
+    blocks = keep(held.select("lang", "block").distinct())
+    nothing = F.lit(None).cast("long")
+    heads = groups.join(broadcast_if_small(blocks), "lang").select("lang", "block", "source", "tile", "tiles", "total", "n_terms", F.lit(None).cast("int").alias("no"), nothing.alias("n"))
+    rows = held.join(groups, "gid").select(held["lang"], "block", "source", "tile", "tiles", nothing.alias("total"), nothing.alias("n_terms"), "no", "n")
+    dealt = heads.unionByName(rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("ta", F.least("tile", "other")).withColumn("tb", F.greatest("tile", "other")).drop("other", "tiles")
+    keys = ["lang", "block", "ta", "tb"]
+    n_tasks = min(MOST_TASKS, max(1, blocks.count()))
+    merged = dealt.repartition(n_tasks, *keys).groupBy(*keys).applyInArrow(_pair_tasks, "lang string, source string, item string, value long, held long")
+    return merged.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("held").alias("held"))
 
 
 def _ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
@@ -153,7 +201,7 @@ def _ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def source_divergence(
-    docs: DataFrame, min_docs: int = 3, top_terms: int = 200, block: int = BLOCK,
+    docs: DataFrame, min_docs: int = 3, top_terms: int = 200, block: int = BLOCK, tile: int = TILE,
     text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """``lang, source, part, item, value, rank``.
@@ -166,32 +214,32 @@ def source_divergence(
     gives pairs of value 0 and no terms; an empty table gives an empty table; other columns are not read.
     """
     rows = docs.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    counts = keep(_counts(rows))
-    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    terms = keep(terms.drop("docs"))
-    langs = keep(terms.groupBy("lang").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("lang_n").alias("lang_total")))
-    blocks = F.ceil(F.col("n_terms") / block)
-    number = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1
-    numbered = terms.join(broadcast_if_small(langs), "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks)).withColumn("no", number)
-    held = keep(counts.drop("docs").join(numbered.select("lang", "term", "lang_n", "lang_total", "block", "no"), ["lang", "term"]))
-
-    totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = keep(
-        rows.select("lang", "source").distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
-        .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
-    )
-
-    own = held.join(broadcast_if_small(groups), ["lang", "source"])
+    groups = keep(rows.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()))
+    known = broadcast_if_small(groups)
+    found = rows.join(known, ["lang", "source"]).select("gid", "text").mapInArrow(_count_terms, "gid long, term string, n long, docs long")
+    counts = keep(found.groupBy("gid", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+
+    # terms of one block stand together: their documents are added up, those kept are numbered
+    blocks = max(1, -(-counts.count() // block))
+    spread = counts.join(broadcast_if_small(groups.select("gid", "lang")), "gid").withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
+    same, order = Window.partitionBy("lang", "block", "term"), Window.partitionBy("lang", "block").orderBy("term")
+    spread = spread.repartition("lang", "block").withColumn("in_docs", F.sum("docs").over(same)).withColumn("lang_n", F.sum("n").over(same))
+    held = keep(spread.where(F.col("in_docs") >= min_docs).select("gid", "lang", "block", "term", (F.dense_rank().over(order) - 1).alias("no"), "n", "lang_n"))
+
+    sums = held.groupBy("lang", "block").agg((F.max("no") + 1).alias("terms"), F.sum("n").alias("n"))
+    langs = sums.groupBy("lang").agg(F.sum("terms").cast("long").alias("n_terms"), F.sum("n").alias("lang_total"))
+    totals = held.groupBy("gid").agg(F.sum("n").alias("total"))
+    zero = F.lit(0).cast("long")
+    groups = keep(groups.join(broadcast_if_small(keep(langs)), "lang", "left").join(broadcast_if_small(keep(totals)), "gid", "left").fillna(0, ["n_terms", "lang_total", "total"]))
+
+    own = held.select("gid", "term", "n", "lang_n").join(broadcast_if_small(groups), "gid")
     p, q = share(F.col("n"), F.col("total"), F.col("n_terms")), share(F.col("lang_n"), F.col("lang_total"), F.col("n_terms"))
     over = own.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
     best = _ranked(over.select("lang", "source", "item", gap(F.col("p"), F.col("q")).alias("value")), top_terms)
 
-    sums = _pairs(held, groups)
-    both = sums.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), F.col("forth").alias("value"), "held").unionByName(
-        sums.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), F.col("back").alias("value"), "held"))
+    both = _pairs(held, groups.drop("lang_total"), tile)
     others = groups.select("lang", F.col("source").alias("item"), F.col("total").alias("other_total"))
     pairs = groups.join(broadcast_if_small(others), "lang").where("source <> item").join(both, ["lang", "source", "item"], "left")
-    zero = F.lit(0).cast("long")
     rest = F.col("n_terms") - F.coalesce("held", zero)
     absent = F.when(rest > 0, rest * gap(share(zero, F.col("total"), F.col("n_terms")), share(zero, F.col("other_total"), F.col("n_terms"))))
     apart = _ranked(pairs.select("lang", "source", "item", (F.coalesce("value", zero) + F.coalesce(absent, zero)).alias("value")))

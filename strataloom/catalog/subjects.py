@@ -92,6 +92,11 @@ def _folds(spark, folder):
     return holdout_folds(subjects_of_orders(spark, folder), "subject", "target", 5, TEST_SIZE, SEED)
 
 
+def _hot(signals):
+    """Subjects of more than eight signals, so that the join spreads many of them."""
+    return ops.hot_subjects(ops.subject_sizes(signals, "subject"), "subject", task_rows=8)
+
+
 @query("signals_of_drawn_subjects", f"""
 with f as ({HOLDOUT_SQL})
 select f.fold, f.subject, s.row_id, s.amount
@@ -99,7 +104,8 @@ from ({FX_ORDERS}) s right join f on s.subject = f.subject, range(f.n_draws) cop
 where f.role = 'val'""")
 def signals_of_drawn_subjects(spark, folder):
     val = _folds(spark, folder).filter("role = 'val'").select("fold", "subject", "n_draws")
-    joined = ops.signals_of_members(fx_orders(spark, folder), val, "subject")
+    signals = fx_orders(spark, folder)
+    joined = ops.signals_of_members(signals, val, "subject", "row_id", _hot(signals))
     return ops.expand_draws(joined).select("fold", "subject", "row_id", "amount")
 
 
@@ -108,8 +114,7 @@ with f as ({HOLDOUT_SQL})
 select f.fold, f.role, f.subject, f.n_draws, s.row_id from ({FX_ORDERS}) s join f on s.subject = f.subject""")
 def fold_signals(spark, folder):
     signals = fx_orders(spark, folder).select("subject", "row_id")
-    hot = ops.hot_subjects(ops.subject_sizes(signals, "subject"), "subject")
-    return ops.join_members(signals, _folds(spark, folder), "subject", "row_id", hot).select(
+    return ops.join_members(signals, _folds(spark, folder), "subject", "row_id", _hot(signals)).select(
         "fold", "role", "subject", "n_draws", "row_id"
     )
 

@@ -44,7 +44,7 @@ def fit_cells(signals: DataFrame, folds: DataFrame, sizes: DataFrame, subject: s
         subjects.groupBy(CELL).agg(F.first("__pattern").alias("__pattern"))
         .select(CELL, F.inline("__pattern")).withColumnRenamed(N_DRAWS, WEIGHT)
     )
-    members, hot = subjects.select(subject, CELL), []
+    members, hot = subjects.select(subject, CELL), None
     if members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     else:

@@ -66,33 +66,39 @@ class OneHotEncoder:
                 constant = all(seen.get((c, v), 0) in (0, rows_of[k]) for k, seen in counts.items())
                 if not (self.drop_invariant and constant):
                     outputs.append((c, v, f"{c}_{i}"))
-        unseen = [(k, [j for j, (c, v, _) in enumerate(outputs) if (c, v) not in seen]) for k, seen in counts.items()]
-        return OneHotModel(self.columns, outputs, keyed, [u for u in unseen if u[1]])
+        positions = [
+            (*key, c, _label(v), j) for key, seen in counts.items() for j, (c, v, _) in enumerate(outputs) if (c, v) in seen
+        ]
+        fields = [f"`{k}` {df.schema[k].dataType.simpleString() if cells is None else cells.weights.schema[k].dataType.simpleString()}" for k in keyed.keys]
+        codes = df.sparkSession.createDataFrame(positions, ", ".join([*fields, "column string", "__value string", "__at int"]))
+        return OneHotModel(self.columns, outputs, keyed, codes)
+
+
+def _label(value: str | None) -> str:
+    """A category as text that tells null from every value."""
+    return "null" if value is None else f"={value}"
 
 
 class OneHotModel:
-    def __init__(self, columns, outputs, keyed, unseen):
-        self.columns, self.outputs, self.keyed, self.unseen = columns, outputs, keyed, unseen
+    """``codes`` holds the output number of every category that the fit rows of a key showed."""
+
+    def __init__(self, columns, outputs, keyed, codes):
+        self.columns, self.outputs, self.keyed, self.codes = columns, outputs, keyed, codes
         self.added = [name for _, _, name in outputs]
         self.dropped = list(columns)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        kept = [c for c in df.columns if c not in self.columns]
         df = self.keyed.add(df)
-        kept = [F.col(c) for c in df.columns if c not in self.columns]
-        hidden: dict[int, list] = {}
-        for key, positions in self.unseen:
-            for j in positions:
-                hidden.setdefault(j, []).append(key)
-        codes = []
-        for j, (column, value, name) in enumerate(self.outputs):
-            here = F.col(column).cast("string").eqNullSafe(F.lit(value))
-            for key in hidden.get(j, []):
-                match = [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(self.keyed.keys, key)]
-                for m in match[1:]:
-                    match[0] = match[0] & m
-                here = here & ~match[0]
-            codes.append(here.cast("int").alias(name))
-        return self.keyed.remove(df.select(*kept, *codes))
+        found = {}
+        for i, c in enumerate(dict.fromkeys(self.columns)):
+            # at most MAX_CATEGORIES rows for all columns and keys
+            codes = self.codes.where(F.col("column") == c).drop("column").withColumnRenamed("__at", f"__at{i}")
+            value = F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+            df = df.withColumn("__value", value).join(F.broadcast(codes), [*self.keyed.keys, "__value"], "left").drop("__value")
+            found[c] = F.col(f"__at{i}")
+        codes = [F.coalesce(found[column] == j, F.lit(False)).cast("int").alias(name) for j, (column, _, name) in enumerate(self.outputs)]
+        return df.select(*kept, *codes)
 
 
 class TargetEncoder:

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.materialize import settle
+
 N_DRAWS = "n_draws"
 VARIES = "__varies_"
-# At most 1 / HOT_SHARE subjects can each hold more than HOT_SHARE of all rows.
-HOT_SHARE = 0.01
-HOT_SALTS = 64
+# Rows of one subject that one task of a shuffled join takes; subjects beyond are spread over more tasks.
+TASK_ROWS = 1_000_000
+SALTS = "__salts"
 
 
 def require_columns(df: DataFrame, columns) -> None:
@@ -88,38 +90,40 @@ def subject_sizes(signals: DataFrame, subject: str, rows: str = "n_rows") -> Dat
     return signals.filter(F.col(subject).isNotNull()).groupBy(subject).agg(F.count("*").alias(rows))
 
 
-def hot_subjects(sizes: DataFrame, subject: str, rows: str = "n_rows", share: float = HOT_SHARE) -> list:
-    """Subjects holding more than ``share`` of all rows; at most ``1 / share`` of them."""
-    total = sizes.agg(F.sum(rows)).first()[0] or 0
-    return [r[0] for r in sizes.filter(F.col(rows) > total * share).select(subject).collect()]
-
+def hot_subjects(sizes: DataFrame, subject: str, rows: str = "n_rows", task_rows: int = TASK_ROWS) -> DataFrame:
+    """Subjects with more than ``task_rows`` rows, and the number of keys over which a join spreads them.
 
-def _salt(df: DataFrame, subject: str, hot: list, row_key: str) -> Column:
-    spread = F.pmod(F.xxhash64(F.col(row_key)), F.lit(HOT_SALTS)).cast("int")
-    return F.when(F.col(subject).isin(hot), spread).otherwise(F.lit(0))
+    Their number is at most the number of all rows over ``task_rows``.
+    """
+    salts = F.ceil(F.col(rows) / task_rows).cast("int").alias(SALTS)
+    return settle(sizes.filter(F.col(rows) > task_rows).select(subject, salts))
 
 
-def join_members(signals: DataFrame, members: DataFrame, subject: str, row_key: str, hot=()) -> DataFrame:
+def join_members(signals: DataFrame, members: DataFrame, subject: str, row_key: str, hot: DataFrame | None = None) -> DataFrame:
     """Signals of the listed subjects, one output row per (signal, member row).
 
     ``members`` carries ``n_draws`` as a weight instead of repeating signals. Rows of the
     ``hot`` subjects are spread over several join keys; their member rows are repeated
     once per key, so no task receives all rows of one subject.
     """
-    hot = list(hot)
-    if not hot:
+    if hot is None:
         return signals.join(members, subject)
-    salts = F.when(F.col(subject).isin(hot), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    left = signals.withColumn("__salt", _salt(signals, subject, hot, row_key))
-    right = members.withColumn("__salt", F.explode(salts))
-    return left.join(right, [subject, "__salt"]).drop("__salt")
+    salts = F.coalesce(F.col(SALTS), F.lit(1))
+    left = signals.join(hot, subject, "left").withColumn("__salt", F.pmod(F.xxhash64(F.col(row_key)), salts).cast("int"))
+    right = members.join(hot, subject, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop(SALTS).join(right.drop(SALTS), [subject, "__salt"]).drop("__salt")
+
 
+def signals_of_members(signals: DataFrame, members: DataFrame, subject: str, row_key: str | None = None, hot: DataFrame | None = None) -> DataFrame:
+    """Right join of signals to drawn subjects: a subject without signals yields nulls.
 
-def signals_of_members(signals: DataFrame, members: DataFrame, subject: str) -> DataFrame:
-    """Right join of signals to drawn subjects: a subject without signals yields nulls."""
-    return signals.join(members, subject, "right")
+    With ``hot`` subjects, which have signals, only the others go through the right join.
+    """
+    if hot is None:
+        return signals.join(members, subject, "right")
+    names = hot.select(subject)
+    rest = signals.join(names, subject, "left_anti").join(members.join(names, subject, "left_anti"), subject, "right")
+    return rest.unionByName(join_members(signals.join(names, subject, "left_semi"), members.join(names, subject, "left_semi"), subject, row_key, hot))
 
 
 def expand_draws(df: DataFrame, weight: str = N_DRAWS) -> DataFrame:

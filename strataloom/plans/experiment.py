@@ -73,7 +73,7 @@ class Experiment:
         fit_members = folds.filter("role = 'fit'").select("fold", self.subject, N_DRAWS)
         val_members = folds.filter("role = 'val'").select("fold", self.subject, N_DRAWS)
         # a small fold table is broadcast and signals stay in place; otherwise hot subjects are spread
-        hot = []
+        hot = None
         if folds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             fit_members, val_members = F.broadcast(fit_members), F.broadcast(val_members)
         else:
@@ -88,7 +88,7 @@ class Experiment:
         self.ensemble = Ensemble(e.kinds, e.sizes, e.params).fit_folds(
             self.signals, fit_members, subjects.select(self.subject, self.target), self.subject, self.target,
             self.row_id, self.chain.transform, features, self.settings.sampler.plan, e.score_cap, e.get_best,
-            self.seed, hot,
+            self.seed,
         )
         # a target-encoded or scaled score target must not be scored in its changed form
         val_rows = join_members(self.signals, val_members, self.subject, self.row_id, hot).withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from strataloom.operators.sampling import Sampling
@@ -12,14 +13,20 @@ from strataloom.operators.sampling import Sampling
 FORMATS = ("parquet", "json")
 
 
-def save_sampling(sampling: Sampling, path: str, name: str, mode: str = "parquet") -> None:
-    """Write draws, one folder per batch, and the settings beside them."""
+# Draws that one task writes of one batch, on average.
+FILE_DRAWS = 2_000_000
+
+
+def save_sampling(sampling: Sampling, path: str, name: str, mode: str = "parquet", file_draws: int = FILE_DRAWS) -> None:
+    """Write draws, one folder per batch, and the settings beside them; long batches are written by several tasks."""
     if mode not in FORMATS:
         raise ValueError(f"unknown mode {mode!r}; valid: {FORMATS}")
     if sampling.n_batches < 1:
         raise ValueError("nothing sampled yet")
     base = f"{path}/{name}"
-    writer = sampling.draws.repartition("batch").write.partitionBy("batch")
+    parts = max(1, -(-sampling.n_rows_bound // (sampling.n_batches * file_draws)))
+    part = F.pmod(F.xxhash64(sampling.row_id), F.lit(parts))
+    writer = sampling.draws.repartition(*(["batch", part] if parts > 1 else ["batch"])).write.partitionBy("batch")
     getattr(writer, mode)(f"{base}.{mode}")
     about = {
         "row_id": sampling.row_id,

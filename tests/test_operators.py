@@ -47,8 +47,8 @@ def test_hot_subject_join_equals_plain_join(spark):
     members = spark.range(200).select(
         F.col("id").alias("subject"), F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), F.lit(2).alias("n_draws")
     )
-    hot = hot_subjects(subject_sizes(signals, "subject"), "subject")
-    assert hot == [0]
+    hot = hot_subjects(subject_sizes(signals, "subject"), "subject", task_rows=100)
+    assert rows(hot) == [(0, 16)]
     plain = join_members(signals, members, "subject", "row_id")
     salted = join_members(signals, members, "subject", "row_id", hot)
     assert rows(plain.select("row_id", "fold")) == rows(salted.select("row_id", "fold"))

@@ -278,10 +278,10 @@ def inner_split(spark, folder):
 
 @query("ensemble_batches", f"""
 with m as ({_INNER_SQL}),
-p as (select m.fold, m.side, s.target as class, s.row_id, copy
+p as (select m.fold, m.side, m.subject, s.target as class, s.row_id, copy
       from m join ({FX_FRAMES}) s on m.subject = s.subject, lateral (select unnest(range(m.n_draws)) as copy) x),
 o as (select *, count(*) over (partition by fold, side, class) as n,
-             row_number() over (partition by fold, side, class order by {h('row_id')}, row_id, copy) - 1 as position
+             row_number() over (partition by fold, side, class order by {h('subject')}, subject, {h('row_id')}, row_id, copy) - 1 as position
       from p),
 c as (select distinct fold, side, class, n from o),
 d as (select fold, side, class, cast(batch as integer) as batch, slot,
@@ -293,7 +293,7 @@ def ensemble_batches(spark, folder):
     split, n_subjects = _inner(spark, folder)
     plan = ensemble.BatchPlan(0.8, 4, 3, 200, 50)
     return ensemble.draw_batches(
-        fx_frames(spark, folder), pin(split), n_subjects, plan, "subject", "target", "row_id", SEED
+        fx_frames(spark, folder), pin(split), n_subjects, plan, "subject", "target", "row_id", SEED, bits=PREFIX_BITS
     )[0]
 
 

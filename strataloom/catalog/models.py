@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from importlib.resources import files
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.catalog.draws import (
@@ -21,10 +23,10 @@ from strataloom.catalog.registry import FRAMES, FX_FRAMES, FX_ORDERS, SQL, SUBJE
 from strataloom.catalog.subjects import scratch
 from strataloom.catalog.views import fx_frames, fx_orders
 from strataloom.config import StudySettings
-from strataloom.operators import ensemble, mllib, sampling
+from strataloom.materialize import pin
+from strataloom.operators import ensemble, newton, sampling, trees
 from strataloom.operators.knn import knn_votes, nearest
 from strataloom.operators.ridge import ridge_grams, score_linear, solve_ridge
-from strataloom.operators.trees import TREE_TYPE, fit_trees
 from strataloom.plans import jobs
 from strataloom.plans.experiment import HoldoutExperiment, LeaveStratumOutExperiment, StratifiedExperiment
 
@@ -75,9 +77,9 @@ from ({_SIGNED}) s join ({_RIDGE}) n on s.fold = n.fold group by s.fold, s.row_i
 def _linear_ensemble(spark, folder):
     rows, nodes = _ridge_nodes(spark, folder)
     numbered = nodes.select(
-        "*", F.lit("Ridge").alias("kind"), F.col("attempt").alias("node"), F.lit(None).cast(TREE_TYPE).alias("tree")
+        "*", F.lit("Ridge").alias("kind"), F.col("attempt").alias("node"), F.lit(None).cast(trees.TREE_TYPE).alias("tree")
     )
-    return rows, ensemble.FittedEnsemble(numbered, 5, ["x"], "target", "row_id", {}, rows, 0, [])
+    return rows, ensemble.FittedEnsemble(numbered, 5, ["x"], "target", "row_id", rows, 0, [])
 
 
 @query("ensemble_votes", _VOTES_SQL)
@@ -125,22 +127,125 @@ def knn(spark, folder):
     return knn_votes(found, ["fold"], "row_id").select("row_id", "vote")
 
 
-def _learner(kind: str, name: str, params: dict):
-    @query(name)
+# Newton rounds on (intercept, coefficient) for every batch and C, from zero; more rounds than any of them needs.
+_ROUNDS = 14
+_LOSSES_SQL = {  # curvature and slope of a row's loss at the margin f
+    "logistic": ("greatest(exp(-abs(f)) / ((1 + exp(-abs(f))) * (1 + exp(-abs(f)))), 1e-12)", "1 / (1 + exp(-f)) - y"),
+    "SVM": ("case when s * f < 1 then 2.0::double else 0 end", "case when s * f < 1 then -2 * s * (1 - s * f) else 0 end"),
+}
+
+
+def _linear_sql(kind: str) -> str:
+    h, g = _LOSSES_SQL[kind]
+    steps = ["n0 as (select batch, c, 0::double as b0, 0::double as b1 from (select distinct batch from t), (select 10.0::double ** (k - 1) as c from range(3) a(k)))"]
+    for i in range(_ROUNDS):
+        steps.append(f"""
+n{i + 1} as (select batch, c, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as b0, b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b1 from (
+  select batch, c, b0, b1, c * sum(h) as h00, c * sum(h * x) as h01, 1 + c * sum(h * x * x) as h11, c * sum(g) as g0, b1 + c * sum(g * x) as g1 from (
+    select *, {h} as h, {g} as g from (select n.*, t.x, t.y, 2 * t.y - 1 as s, b0 + b1 * t.x as f from n{i} n join t on n.batch = t.batch)) group by batch, c, b0, b1))""")
+    return f"""
+with t as (select d.batch, s.target as y, s.amount / 100000 as x from ({BATCHES_SQL}) d join ({FX_ORDERS}) s on d.row_id = s.row_id),
+{", ".join(steps)}
+select row_id, round(avg(case when b0 + b1 * amount / 100000 > 0 then 1.0::double else 0 end), 6) as proba from n{_ROUNDS}, ({FX_ORDERS}) group by row_id"""
+
+
+def _batch_rows(spark, folder):
+    """The balanced batches as ``fold`` 0: rows with ``batch, slot, y`` and one feature."""
+    signals = fx_orders(spark, folder)
+    batches = sampling.generate_batches(signals, N_BATCHES, BATCH_LEN, "target", "row_id", ["amount"], seed=SEED)
+    drawn = sampling.fetch_rows(batches.draws, signals, "row_id", batches.n_rows_bound)
+    return drawn.select(F.lit(0).alias("fold"), F.col("batch").cast("bigint").alias("batch"), F.col("target").alias("y"), (F.col("amount") / 100000).alias("x"), "amount")
+
+
+def _linear_learner(kind: str, name: str):
+    @query(name, _linear_sql(kind))
     def run(spark, folder):
+        """A node for every batch and three strengths of the penalty; all of them vote."""
+        rows = _batch_rows(spark, folder)
+        tries = spark.range(3 * N_BATCHES).select(
+            F.lit(0).alias("fold"), F.col("id").alias("attempt"), F.floor(F.col("id") / 3).alias("batch"), F.pow(F.lit(10.0), F.col("id") % 3 - 1).alias("c"),
+            F.lit(True).alias("fit_intercept"), F.lit(newton.MAX_ROUNDS).alias("max_iter"))
+        nodes = newton.fit_linear(kind, rows, tries, ["x"]).withColumn("kind", F.lit(kind)).withColumn("tree", F.lit(None).cast(trees.TREE_TYPE))
+        fitted = ensemble.FittedEnsemble(nodes, 3 * N_BATCHES, ["x"], "target", "row_id", rows, 0, [])
+        signals = fx_orders(spark, folder).withColumn("x", F.col("amount") / 100000)
+        return fitted.predict_proba(signals).select("row_id", F.round("proba", 6).alias("proba"))
+
+    return run
+
+
+_linear_learner("logistic", "logistic_votes")
+_linear_learner("SVM", "linear_svm_votes")
+
+# Trees of depth two on one batch of the frames, level by level.
+_TREE_BATCH, _TREE_LEAF = 2000, 30
+
+
+def _weight_sql(seed: int) -> str:
+    total, term, parts = 0.0, math.exp(-1.0), []
+    for k in range(1, 15):
+        total += term
+        term /= k
+        parts.append(f"case when u >= {total!r}::double then 1 else 0 end")
+    return f"(select {' + '.join(parts)} from (select {h(f"'{seed}'", "'bag'", 'tree', 'slot')}::double / 1152921504606846976::double as u))"
+
+
+def _trees_sql(n_trees: int, n_features: int, depth: int, bootstrap: bool) -> str:
+    p = len(FRAMES)
+    weight = _weight_sql(SEED) if bootstrap else "1"
+    values = ", ".join(f"cast({c} as double)" for c in FRAMES)
+    parts = [f"""
+f as (select row_id, target as y, [{values}] as x from ({FX_FRAMES})),
+o as (select target as class, row_id, count(*) over (partition by target) as n,
+             row_number() over (partition by target order by {h('row_id')}, row_id) - 1 as position from ({FX_FRAMES})),
+c as (select distinct class, n from o),
+d as (select class, slot, {h(f"'{SEED}'", "'batch'", 'class', '0', 'slot')} % n as position from c, range({_TREE_BATCH // 2}) s(slot)),
+b as (select row_number() over (order by f.row_id) as slot, f.y, f.x from d join o on d.class = o.class and d.position = o.position join f on f.row_id = o.row_id),
+r0 as (select tree, slot, y, x, '' as path, {weight} as w from b, range({n_trees}) t(tree))"""]
+    for i in range(depth):
+        parts.append(f"""
+k{i} as (select tree, path, sum(w) as n, sum(w * y) as pos from r{i} where w > 0 group by tree, path having sum(w) >= {2 * _TREE_LEAF} and sum(w * y) not in (0, sum(w))),
+l{i} as (select * from (select k.*, f, row_number() over (partition by tree, path order by {h(f"'{SEED}'", "'split'", 'tree', 'path', 'f')}, f) as place from k{i} k, range({p}) a(f))),
+v{i} as (select l.tree, l.path, l.n, l.pos, l.f, l.place, r.x[l.f + 1] as v, sum(w) as m, sum(w * y) as hits
+         from l{i} l join r{i} r on r.tree = l.tree and r.path = l.path where w > 0 group by all),
+s{i} as (select *, sum(m) over o as ln, sum(hits) over o as lp, lead(v) over o as following from v{i} window o as (partition by tree, path, f order by v)),
+g{i} as (select *, round((lp - lp::double * lp / ln) + ((pos - lp) - (pos - lp)::double * (pos - lp) / (n - ln)), 9) as cost
+         from s{i} where following is not null and ln >= {_TREE_LEAF} and n - ln >= {_TREE_LEAF}),
+q{i} as (select tree, path, f, (v + following) / 2 as cut from (
+  select *, row_number() over (partition by tree, path order by case when place <= {n_features} then 0 else place end, cost, f, v) as nth from g{i}) where nth = 1),
+r{i + 1} as (select r.tree, r.slot, r.y, r.x, r.w, r.path || case when q.f is null then '' when r.x[q.f + 1] <= q.cut then '0' else '1' end as path
+             from r{i} r left join q{i} q on r.tree = q.tree and r.path = q.path),
+w{i + 1} as (select u.tree, u.row_id, u.x, u.path || case when q.f is null then '' when u.x[q.f + 1] <= q.cut then '0' else '1' end as path
+             from {f'w{i}' if i else f"(select tree, row_id, x, '' as path from f, range({n_trees}) t(tree))"} u left join q{i} q on u.tree = q.tree and u.path = q.path)""")
+    return f"""
+with {", ".join(parts)},
+e as (select tree, path, sum(w * y)::double / sum(w) as share from r{depth} where w > 0 group by tree, path)
+select row_id, cast(round(avg(share), 9) > 0.5 as integer) as vote from w{depth} w join e on w.tree = e.tree and w.path = e.path group by row_id"""
+
+
+def _tree_learner(name: str, n_trees: int, n_features: int, depth: int, bootstrap: bool):
+    @query(name, _trees_sql(n_trees, n_features, depth, bootstrap))
+    def run(spark, folder):
+        """Grown on one batch of the frames, ranges of few values; all rows are voted on."""
         frames = fx_frames(spark, folder)
-        batch = sampling.generate_batches(frames, 1, 2000, "target", "row_id", FRAMES, seed=SEED)
-        train = sampling.fetch_rows(batch.draws, frames, "row_id", batch.n_rows_bound)
-        model = mllib.fit(kind, params, mllib.assemble(train, FRAMES, "target"), 2000)
-        return mllib.vote(model, mllib.assemble(frames, FRAMES), "vote").select("row_id", "vote")
+        batch = sampling.generate_batches(frames, 1, _TREE_BATCH, "target", "row_id", FRAMES, seed=SEED)
+        drawn = sampling.fetch_rows(batch.draws, frames, "row_id", batch.n_rows_bound)
+        slot = F.row_number().over(Window.orderBy("row_id"))  # one batch, of a length given here
+        rows = drawn.select("row_id", F.col("target").alias("y"), slot.cast("bigint").alias("slot"), F.array(*[F.col(c).cast("double") for c in FRAMES]).alias("x"))
+        rows = rows.select(F.lit(0).alias("fold"), F.lit(0).cast("bigint").alias("attempt"), F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), "slot", "y", "x")
+        weight = trees.poisson_weight(SEED, "bag", F.col("tree"), F.col("slot")) if bootstrap else F.lit(1).cast("bigint")
+        tries = spark.range(1).select(
+            F.lit(0).alias("fold"), F.col("id").alias("attempt"), F.lit(SEED).cast("bigint").alias("seed"), F.lit(depth).alias("max_depth"),
+            F.lit(n_features).alias("n_features"), F.lit(_TREE_LEAF).cast("bigint").alias("min_leaf"), F.lit(2).cast("bigint").alias("min_split"))
+        nodes, _ = trees.grow(pin(rows.withColumn("w", weight)), tries, len(FRAMES), range_rows=500)
+        grown = trees.as_arrays(nodes).select("fold", "tree", F.lit(name).alias("kind"), F.lit(None).cast("double").alias("intercept"), F.lit(None).cast("array<double>").alias("coef"))
+        fitted = ensemble.FittedEnsemble(grown, 1, FRAMES, "target", "row_id", rows, 0, [])
+        return fitted.predict(frames).select("row_id", F.col("pred").alias("vote"))
 
     return run
 
 
-_learner("logistic", "logistic_votes", {})
-_learner("SVM", "linear_svm_votes", {})
-_learner("tree", "tree_votes", {"max_depth": 6, "max_features": 4, "min_samples_leaf": 30})
-_learner("rf", "forest_votes", {"n_estimators": 20, "max_depth": 6})
+_tree_learner("tree_votes", 1, 4, 2, False)
+_tree_learner("forest_votes", 7, 3, 2, True)
 
 
 @query("tree_stumps", f"""
@@ -157,21 +262,18 @@ select cast(batch as bigint) as batch, round((x + next_x) / 2, 6) as threshold,
 from b where nth = 1""")
 def tree_stumps(spark, folder):
     """One-split trees on the balanced batches: the split of least impurity."""
-    signals = fx_orders(spark, folder)
-    batches = sampling.generate_batches(signals, N_BATCHES, BATCH_LEN, "target", "row_id", ["amount"], seed=SEED)
-    drawn = sampling.fetch_rows(batches.draws, signals, "row_id", batches.n_rows_bound)
-    rows = drawn.select(
-        F.lit(0).alias("fold"), F.col("batch").cast("bigint").alias("attempt"),
-        F.explode(F.array(F.lit("train"), F.lit("test"))).alias("side"), F.col("row_id").alias("slot"),
-        F.col("target").alias("y"), F.lit(1).alias("max_depth"), F.lit(None).cast("string").alias("max_features"),
-        F.lit(50).alias("min_leaf"), F.lit(0).alias("seed"), F.col("amount").alias("x"),
-    )
-    nodes = F.col("tree")
-    root = F.get(nodes, F.lit(0))
-    return fit_trees(rows, ["x"], "int").select(
-        F.col("attempt").alias("batch"), F.round(root["threshold"], 6).alias("threshold"),
-        F.get(nodes, root["left"])["vote"].alias("left_vote"), F.get(nodes, root["right"])["vote"].alias("right_vote"),
-    )
+    rows = _batch_rows(spark, folder).select(
+        "fold", F.col("batch").alias("attempt"), F.lit(0).alias("tree"), "y", F.lit(1).cast("bigint").alias("w"), F.array("amount").alias("x"))
+    tries = rows.select("fold", "attempt").distinct().select(
+        "*", F.lit(0).cast("bigint").alias("seed"), F.lit(1).alias("max_depth"), F.lit(1).alias("n_features"), F.lit(50).cast("bigint").alias("min_leaf"), F.lit(2).cast("bigint").alias("min_split"))
+    nodes, _ = trees.grow(rows, tries, 1)
+
+    def at(path: str, value):
+        return F.max(F.when(F.col("path") == path, value))
+
+    return nodes.groupBy(F.col("attempt").alias("batch")).agg(
+        F.round(at("", F.col("threshold")), 6).alias("threshold"),
+        at("0", (trees.share() > 0.5).cast("int")).alias("left_vote"), at("1", (trees.share() > 0.5).cast("int")).alias("right_vote"))
 
 
 def study_settings(kinds=("Ridge",), sizes=(8,), params=({"alpha": {"range": [0.5, 2.0]}},), get_best=5, inputs=("amount",),
@@ -216,7 +318,7 @@ m as (select io.fold, io.subject, case when it.times is null then 'train' else '
       from io left join it on io.fold = it.fold and io.class = it.class and io.position = it.position),
 po as (select m.fold, m.side, s.target as class, s.amount,
               count(*) over (partition by m.fold, m.side, s.target) as n,
-              row_number() over (partition by m.fold, m.side, s.target order by {h('s.row_id')}, s.row_id, copy) - 1 as position
+              row_number() over (partition by m.fold, m.side, s.target order by {h('m.subject')}, m.subject, {h('s.row_id')}, s.row_id, copy) - 1 as position
        from m join sig s on m.subject = s.subject, lateral (select unnest(range(m.w)) as copy) x),
 pc as (select distinct fold, side, class, n from po),
 pd as (select fold, side, class, batch,

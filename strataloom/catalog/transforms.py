@@ -229,10 +229,47 @@ def vector_gram_centered(spark, folder):
     return cells.select("site", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("frame_clusters")
+_CENTRED_CELLS = f"""
+u as (unpivot (select segment, row_id, {", ".join(FRAMES)} from ({FX_FRAMES})) on {", ".join(FRAMES)} into name frame value v),
+m as (select row_id, avg(v) as m from u group by row_id),
+n as (select u.segment, u.row_id, cast(replace(frame, 'signal_frame', '') as integer) - 1 as i, u.v - m.m as v from u join m on u.row_id = m.row_id),
+o as (select a.segment, a.i, b.i as j, sum(a.v * b.v) as v from n a join n b on a.row_id = b.row_id group by a.segment, a.i, b.i)"""
+
+
+def _clusters_sql(cells: str, k: int, rounds: int = 12) -> str:
+    """CTEs up to ``clusters`` (fold, i, part): k-means of the columns on the cells ``g`` (fold, i, j, v), farthest start."""
+    parts = [f"""
+g as ({cells}),
+e as (select a.fold, a.i, a.j, b.v + c.v - 2 * a.v as d from g a join g b on b.fold = a.fold and b.i = a.i and b.j = a.i
+      join g c on c.fold = a.fold and c.i = a.j and c.j = a.j),
+s0 as (select distinct fold, 0 as c, 0 as i from g)"""]
+    for c in range(1, k):
+        parts.append(f"""
+s{c} as (select * from s{c - 1} union all select fold, {c}, i from (
+  select e.fold, e.i, row_number() over (partition by e.fold order by min(d) desc, e.i) as nth
+  from e join s{c - 1} s on s.fold = e.fold and s.i = e.j where (e.fold, e.i) not in (select (fold, i) from s{c - 1}) group by e.fold, e.i) where nth = 1)""")
+    parts.append(f"""
+l0 as (select fold, i, c from (select e.fold, e.i, s.c, row_number() over (partition by e.fold, e.i order by case when e.i = s.i then -1 else d end, s.c) as nth
+       from e join s{k - 1} s on s.fold = e.fold and s.i = e.j) where nth = 1)""")
+    for r in range(rounds):
+        parts.append(f"""
+m{r} as (select g.fold, g.i, l.c, avg(g.v) as v from g join l{r} l on l.fold = g.fold and l.i = g.j group by g.fold, g.i, l.c),
+c{r} as (select m.fold, m.c, avg(m.v) as v from m{r} m join l{r} l on l.fold = m.fold and l.i = m.i and l.c = m.c group by m.fold, m.c),
+l{r + 1} as (select fold, i, c from (select m.fold, m.i, m.c, row_number() over (partition by m.fold, m.i order by g.v - 2 * m.v + c.v, m.c) as nth
+             from m{r} m join c{r} c on c.fold = m.fold and c.c = m.c join g on g.fold = m.fold and g.i = m.i and g.j = m.i) where nth = 1)""")
+    parts.append(f"""
+clusters as (select fold, i, dense_rank() over (partition by fold order by first) - 1 as part
+             from (select *, min(i) over (partition by fold, c) as first from l{rounds}))""")
+    return ",".join(parts)
+
+
+@query("frame_clusters", f"""
+with {_CENTRED_CELLS}, {_clusters_sql("select segment as fold, i, j, v from o", 4)}
+select fold as segment, cast(i as integer) as frame, cast(part as integer) as part from clusters""")
 def frame_clusters(spark, folder):
     """Clusters of the monthly frames, fitted per segment."""
-    return cmp.fit_groups(fx_frames(spark, folder), ["segment"], FRAMES, 4)
+    groups = cmp.fit_groups(fx_frames(spark, folder), ["segment"], FRAMES, 4)
+    return groups.select("segment", F.posexplode("groups").alias("part", "frames")).select("segment", F.explode("frames").alias("frame"), "part")
 
 
 @query("frame_segments", f"""
@@ -261,13 +298,22 @@ def frame_segments(spark, folder):
     )
 
 
-@query("compressed_signals")
+_OTHER_SEGMENTS = "select x.segment as fold, o.i, o.j, sum(o.v) as v from (select distinct segment from o) x join o on x.segment <> o.segment group by x.segment, o.i, o.j"
+
+
+@query("compressed_signals", f"""
+with {_CENTRED_CELLS}, {_clusters_sql(_OTHER_SEGMENTS, 4)},
+w as (select u.segment, u.row_id, cast(replace(frame, 'signal_frame', '') as integer) - 1 as i, v from u),
+v as (select c.fold, w.segment, w.row_id, c.part, median(w.v) as v from w join clusters c on w.i = c.i group by all)
+select fold, case when fold = segment then 'val' else 'fit' end as role, row_id,
+       {", ".join(f"round(max(v) filter (where part = {n})::double, 6) as compressed_1_frame_{n + 1}" for n in range(4))}
+from v group by fold, segment, row_id""")
 def compressed_signals(spark, folder):
     """Fit on the rows of other segments, applied to all rows of every fold."""
     folds = strata_folds(subjects_of_orders(spark, folder), "subject", "segment")
     rows = fx_frames(spark, folder).join(folds, "subject")
     model = cmp.SignalCompressor([4], [FRAMES], ["median"]).fit(rows.filter("role = 'fit'"), ["fold"])
-    return model.transform(rows).select("fold", "role", "row_id", *model.added)
+    return model.transform(rows).select("fold", "role", "row_id", *[F.round(c, 6).alias(c) for c in model.added])
 
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -75,8 +75,8 @@ def group_sizes(rows: DataFrame, by) -> dict[tuple, int]:
     return {tuple(r[c] for c in by): r["n"] for r in found}
 
 
-def _prefix_offsets(rows: DataFrame, by, bits: int) -> DataFrame:
-    """Position range ``[__start, __start + __count)`` of every prefix, per position block."""
+def _prefix_starts(rows: DataFrame, by, bits: int) -> DataFrame:
+    """Position range ``[__start, __start + __count)`` of every prefix, and the positions ``__n`` of its group."""
     # both levels read these counts, so the rows are scanned once for them
     fine = pin(
         rows.groupBy(*by, _prefix(bits).alias("__prefix"))
@@ -93,16 +93,21 @@ def _prefix_offsets(rows: DataFrame, by, bits: int) -> DataFrame:
         F.sum("__in_coarse").over(over_group).alias("__n"),
     )
     over_fine = Window.partitionBy(*by, "__coarse").orderBy("__prefix")
-    spans = fine.join(coarse, [*by, "__coarse"]).select(
+    return fine.join(coarse, [*by, "__coarse"]).select(
         *by,
         "__prefix",
         "__count",
         (F.col("__base") + F.sum("__count").over(over_fine) - F.col("__count")).alias("__start"),
-        _block_width(F.col("__n"), bits).alias("__width"),
+        "__n",
     )
+
+
+def _prefix_offsets(rows: DataFrame, by, bits: int) -> DataFrame:
+    """The ranges of the prefixes per position block."""
+    spans = _prefix_starts(rows, by, bits).withColumn("__width", _block_width(F.col("__n"), bits))
     first = F.expr("__start div __width")
     last = F.expr("(__start + __count - 1) div __width")
-    return spans.withColumn("__block", F.explode(F.sequence(first, last))).drop("__width")
+    return spans.withColumn("__block", F.explode(F.sequence(first, last))).drop("__width", "__n")
 
 
 def _block_width(n: Column, bits: int) -> Column:
@@ -182,6 +187,39 @@ def n_draws_of(groups, batches=None) -> int:
     return sum(g[-1] * c for g, c in zip(groups, counts))
 
 
+def holders_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits: int, widths, n_draws: int) -> DataFrame:
+    """The row that holds each ``position`` if every row takes ``__times`` of them in a run, and the ``offset`` in its run.
+
+    ``draws`` has one row per draw, ``rows`` any other columns beside those of :func:`index_rows`. Runs and draws meet by
+    position blocks; ``widths`` lists ``(*by, width)``, best the positions of the group over its rows. Nothing is expanded to single positions.
+    """
+    by = list(by)
+    if bits == 0:
+        upto = Window.partitionBy(*by).orderBy("__order", row_id).rowsBetween(Window.unboundedPreceding, 0)
+        runs = rows.withColumn("__start", F.sum("__times").over(upto) - F.col("__times"))
+    else:
+        starts = _prefix_starts(rows, by, bits).select(*by, "__prefix", F.col("__start").alias("__before"))
+        upto = Window.partitionBy(*by, "__prefix").orderBy("__order", row_id).rowsBetween(Window.unboundedPreceding, 0)
+        runs = rows.withColumn("__prefix", _prefix(bits)).join(starts, [*by, "__prefix"]).withColumn(
+            "__start", F.col("__before") + F.sum("__times").over(upto) - F.col("__times")).drop("__prefix", "__before")
+    fields = [(c, rows.schema[c].dataType.simpleString()) for c in by] + [("__width", "bigint")]
+    wide = F.broadcast(small_table(rows.sparkSession, widths, fields))  # a row per group
+    blocks = F.sequence(F.expr("__start div __width"), F.expr("(__start + __times - 1) div __width"))
+    runs = runs.drop("__order").join(wide, by).withColumn("__block", F.explode(blocks)).drop("__width")
+    placed = draws.join(wide, by).withColumn("__block", F.expr("position div __width")).drop("__width")
+    inside = (F.col("position") >= F.col("__start")) & (F.col("position") < F.col("__start") + F.col("__times"))
+    met = runs.join(_known_size(placed, n_draws), [*by, "__block"]).filter(inside)
+    return met.withColumn("offset", F.col("position") - F.col("__start")).drop("__block", "__start", "__times", "position")
+
+
+def drawn_positions(rows: DataFrame, by, groups, seed, op: str, batches=None) -> DataFrame:
+    """``by``, the batch, ``slot``, ``n`` and a ``position`` below ``n`` for every draw; see :func:`draw_with_replacement`."""
+    key = [*by, *([batches[0]] if batches else [])]
+    return expand_slots(_requests(rows, by, groups, batches), n_draws_of(groups, batches)).withColumn(
+        "position", hash60(seed, op, *[F.col(c) for c in key], F.col("slot")) % F.col("n")
+    ).drop("k")
+
+
 def draw_with_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: str,
                           batches=None, bits: int | None = None) -> DataFrame:
     """``k`` independent draws from each group, once or for each of several batches.
@@ -190,13 +228,8 @@ def draw_with_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: st
     number of batches (one for all groups, or a list). The result holds ``by``, the batch, ``slot`` and ``row_id``.
     """
     by = list(by)
-    key = by + ([batches[0]] if batches else [])
-    n_slots = n_draws_of(groups, batches)
     bits = prefix_bits(max(g[-2] for g in groups)) if bits is None else bits
-    drawn = expand_slots(_requests(rows, by, groups, batches), n_slots).withColumn(
-        "position", hash60(seed, op, *[F.col(c) for c in key], F.col("slot")) % F.col("n")
-    ).drop("k")
-    return rows_at_positions(drawn, rows, by, row_id, bits, n_slots)
+    return rows_at_positions(drawn_positions(rows, by, groups, seed, op, batches), rows, by, row_id, bits, n_draws_of(groups, batches))
 
 
 def permuted(slot: Column, n: Column, *key) -> Column:

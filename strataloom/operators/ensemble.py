@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,33 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.hashing import hash60, uniform
-from strataloom.materialize import broadcast_if_small, pin, pin_by, settle
-from strataloom.operators import mllib, trees
+from strataloom.materialize import broadcast_if_small, pin, settle
+from strataloom.operators import newton, trees
 from strataloom.operators.draws import (
     DRAWS_BROADCAST,
     ORDER,
     draw_with_replacement,
+    drawn_positions,
     group_sizes,
+    holders_at_positions,
     index_rows,
     n_draws_of,
+    prefix_bits,
+    rows_at_positions,
     small_table,
 )
-from strataloom.operators.knn import knn_votes, nearest
+from strataloom.operators.knn import batch_votes, knn_votes, nearest
 from strataloom.operators.metrics import check_threshold, classify
 from strataloom.operators.ridge import linear_vote, ridge_grams, score_linear, solve_ridge
 from strataloom.operators.sampling import binary_class, fetch_rows, resolve_variables
 from strataloom.operators.settings import only_default, reject_unknown
-from strataloom.operators.subjects import N_DRAWS, join_members, require_binary, require_columns
+from strataloom.operators.subjects import N_DRAWS, require_binary, require_columns
 
-KINDS = ("Ridge", "knn", *mllib.LEARNERS)
+KINDS = ("Ridge", "knn", "logistic", "SVM", "tree", "rf")
 # Settings each learner understands; solver settings that do not change an exact solution are accepted.
 SETTINGS = {
     "Ridge": ("alpha", "fit_intercept", "copy_X", "solver", "tol", "max_iter", "random_state"),
     "knn": ("n_neighbors",),
     "logistic": ("C", "fit_intercept", "max_iter"),
     "SVM": ("C", "fit_intercept", "max_iter"),
-    "tree": ("max_depth", "max_features", "min_samples_leaf", "min_samples_split", "max_bins", "random_state"),
-    "rf": ("n_estimators", "max_depth", "max_features", "min_samples_leaf", "max_bins", "random_state"),
+    "tree": ("max_depth", "max_features", "min_samples_leaf", "min_samples_split", "random_state"),
+    "rf": ("n_estimators", "bootstrap", "max_depth", "max_features", "min_samples_leaf", "min_samples_split", "random_state"),
 }
 # Settings whose only supported value is the usual default.
 DEFAULTS = {
@@ -51,7 +54,6 @@ ATTEMPTS_PER_NODE = 20
 _SHIPPED_NUMBERS = 20_000_000
 # Batches up to this length are kept in one task each while their nodes are fitted.
 _COLOCATED_ROWS = 1_000_000
-_MLLIB_THREADS = 8
 _NODE_FIELDS = (
     ("attempt", "bigint"), ("train_batch", "bigint"), ("test_batch", "bigint"), ("params", "map<string,string>"),
     ("intercept", "double"), ("coef", "array<double>"), ("tree", trees.TREE_TYPE), ("test_score", "double"), ("train_score", "double"),
@@ -187,21 +189,24 @@ def inner_split(fit_members: DataFrame, classes: DataFrame, subject: str, fracti
 
 
 def draw_batches(signals: DataFrame, split: DataFrame, n_subjects: dict, plan: BatchPlan, subject: str, target: str,
-                 row_id: str, seed, hot=(),
-                 bits: int | None = None) -> tuple[DataFrame, dict, int, int]:
+                 row_id: str, seed, bits: int | None = None) -> tuple[DataFrame, dict, int, int]:
     """Balanced batches of train and test signals for every fold.
 
+    Every draw takes two steps: a position among the signals of (fold, side, class), which stand in the order of their
+    subjects, falls on a subject by running sums over the subjects; the place within the subject then falls on a signal
+    by a rank that is the same for all folds. The signals are read once to count and once to rank, however many folds there are.
+
     Returns draws ``(fold, side, batch, slot, row_id)``, ``fold -> (n_train, n_test)``, the
     number of draws and the largest batch.
     """
-    known = signals.filter(F.col(target).isNotNull())
-    narrow = known.select(row_id, subject, binary_class(target).alias("class"), hash60(F.col(row_id)).alias(ORDER))
+    known = signals.filter(F.col(target).isNotNull()).select(row_id, subject, binary_class(target).alias("class"))
     by = ["fold", "side", "class"]
-    rows = index_rows(join_members(narrow, split, subject, row_id, hot), by, row_id, N_DRAWS)
-    # group sizes come from one count per subject, not from a pass per fold
-    counted = known.groupBy(subject, binary_class(target).alias("class")).agg(F.count("*").alias("__rows"))
-    totals = counted.join(split, subject).groupBy(*by).agg(
-        F.sum(F.col("__rows") * F.col(N_DRAWS)).alias("n"), F.sum(F.col("__rows") * F.col("__outer")).alias("outer")
+    counted = pin(known.groupBy(subject, "class").agg(F.count("*").alias("__rows")))
+    times = (F.col("__rows") * F.col(N_DRAWS)).alias("__times")
+    members = counted.join(split, subject).select(
+        *by, subject, times, F.col(N_DRAWS).alias("__w"), "__rows", "__outer", hash60(F.col(subject)).alias(ORDER))
+    totals = members.groupBy(*by).agg(
+        F.sum("__times").alias("n"), F.sum(F.col("__rows") * F.col("__outer")).alias("outer"), F.count("*").alias("members"), F.max("__rows").alias("longest")
     ).collect()
     sizes = {(r["fold"], r["side"], r["class"]): r["n"] for r in totals}
     # default batch sizes follow the fold's fit rows, before the inner draws
@@ -221,14 +226,16 @@ def draw_batches(signals: DataFrame, split: DataFrame, n_subjects: dict, plan: B
                     raise ValueError(f"fold {fold!r}: no {side} signals of class {c}")
                 groups.append((fold, side, c, sizes[(fold, side, c)], size // 2))
                 counts.append(count)
-    drawn = draw_with_replacement(rows, by, groups, row_id, seed, "batch", batches=("batch", counts), bits=bits)
+    n_draws = n_draws_of(groups, ("", counts))
+    widths = [(r["fold"], r["side"], r["class"], max(1, r["n"] // r["members"])) for r in totals]
+    drawn = drawn_positions(members, by, groups, seed, "batch", ("batch", counts)).drop("n")
+    most = prefix_bits(max(r["members"] for r in totals)) if bits is None else bits
+    held = holders_at_positions(drawn, members, by, subject, most, widths, n_draws).select(
+        "fold", "side", "class", "batch", "slot", subject, F.expr("offset div __w").alias("position"), F.col("__rows").alias("n"))
+    longest = prefix_bits(max(r["longest"] for r in totals)) if bits is None else bits
+    found = rows_at_positions(held, index_rows(known, [subject, "class"], row_id), [subject, "class"], row_id, longest, n_draws)
     slot = F.when(F.col("class") == 1, F.col("slot") * 2 + 1).otherwise(F.col("slot") * 2)
-    return (
-        drawn.select("fold", "side", "batch", slot.alias("slot"), row_id),
-        batches,
-        n_draws_of(groups, ("", counts)),
-        2 * max(g[-1] for g in groups),
-    )
+    return found.select("fold", "side", "batch", slot.alias("slot"), row_id), batches, n_draws, 2 * max(g[-1] for g in groups)
 
 
 class Ensemble:
@@ -252,8 +259,7 @@ class Ensemble:
 
     def fit_folds(self, signals: DataFrame, fit_members: DataFrame, subject_classes: DataFrame, subject: str,
                   target: str, row_id: str, transform: Callable[[DataFrame], DataFrame], features,
-                  plan: BatchPlan = BatchPlan(), score_cap: float = 0.5, get_best: int | None = None, seed=0,
-                  hot=()) -> FittedEnsemble:
+                  plan: BatchPlan = BatchPlan(), score_cap: float = 0.5, get_best: int | None = None, seed=0) -> FittedEnsemble:
         """Fit one ensemble per fold of ``fit_members`` ``(fold, subject, n_draws)``.
 
         Only drawn rows are transformed: ``transform`` receives raw rows with their ``fold``.
@@ -265,7 +271,7 @@ class Ensemble:
         )
         split, n_subjects = inner_split(fit_members, classes, subject, plan.split_fraction, seed)
         draws, batches, n_draws, batch_len = draw_batches(
-            signals, broadcast_if_small(pin(split)), n_subjects, plan, subject, target, row_id, seed, hot
+            signals, broadcast_if_small(pin(split)), n_subjects, plan, subject, target, row_id, seed
         )
         drawn = fetch_rows(draws, signals, row_id, n_draws)
         rows = transform(drawn.withColumn("__truth", F.col(target).cast("int"))).select(
@@ -289,8 +295,7 @@ class Ensemble:
         n_nodes = sum(s.size for s in self.specs)
         if get_best is not None:
             nodes, n_nodes = keep_best(nodes, get_best), min(get_best, n_nodes)
-        return FittedEnsemble(settle(nodes), n_nodes, list(features), target, row_id, context.models, rows,
-                              batch_len, self.specs)
+        return FittedEnsemble(settle(nodes), n_nodes, list(features), target, row_id, rows, batch_len, self.specs)
 
 
 @dataclass
@@ -304,21 +309,20 @@ class _Fit:
     cap: float
     seed: object
     per_node: int
-    models: dict = field(default_factory=dict)
 
     def fit_kind(self, spec: NodeSpec, kind_no: int) -> DataFrame:
         """Waves of attempts until every fold has its nodes; the accepted set does not depend on waves."""
-        run = {"Ridge": self._ridge, "knn": self._knn, "tree": self._tree}.get(spec.kind, self._mllib)
-        scored, first, limit = None, 0, self.per_node * spec.size
+        run = {"Ridge": self._ridge, "knn": self._knn, "tree": self._trees, "rf": self._trees}.get(spec.kind, self._newton)
+        scored, first, limit, open_folds = None, 0, self.per_node * spec.size, self.folds
         wave = spec.size
         while True:
             last = min(limit, first + wave)
-            table = attempt_table(self.folds, spec, kind_no, first, last, self.seed)
-            part = run(spec, kind_no, table)
+            part = run(spec, kind_no, attempt_table(open_folds, spec, kind_no, first, last, self.seed))
             scored = part if scored is None else scored.unionByName(part)
             taken = accept(scored, self.cap, spec.size)
             got = {r["fold"]: r["count"] for r in taken.groupBy("fold").count().collect()}
-            if all(got.get(f, 0) >= spec.size for f in self.fold_values):
+            missing = [f for f in self.fold_values if got.get(f, 0) < spec.size]
+            if not missing:
                 break
             if last >= limit:
                 best = scored.agg(F.max("test_score")).first()[0]
@@ -326,6 +330,8 @@ class _Fit:
                     f"learner {spec.kind!r}: fewer than {spec.size} nodes reached score {self.cap} "
                     f"in {limit} attempts (best score {best})"
                 )
+            # folds that have their nodes take no part in later waves
+            open_folds = self.folds.join(F.broadcast(small_table(self.folds.sparkSession, [(f,) for f in missing], [("fold", self.fold_type)])), "fold")
             first, wave = last, wave * 2
         return taken.withColumn("kind", F.lit(spec.kind)).withColumn("kind_no", F.lit(kind_no))
 
@@ -338,29 +344,44 @@ class _Fit:
             "fold", *[F.col(n) if n in nodes.columns else F.lit(None).cast(t).alias(n) for n, t in _NODE_FIELDS]
         )
 
-    def _tree(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
-        if self.batch_len > trees.GROUP_ROWS:
-            return self._mllib(spec, kind_no, table)
-
-        def setting(name: str) -> Column:
-            return F.try_element_at("params", F.lit(name))
-
+    def _trees(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
+        forest = spec.kind == "rf"
+        sizes = self.side("train").groupBy("fold", F.col("batch").alias("train_batch")).agg(F.count(F.lit(1)).alias("rows"))
+        drawn = hash60(self.seed, "tree", kind_no, F.col("fold"), F.col("attempt"))
+        tries = settle(table.join(sizes, ["fold", "train_batch"]).select(
+            "fold", "attempt", "train_batch", "test_batch", F.coalesce(setting("random_state").cast("bigint"), drawn).alias("seed"),
+            setting("max_depth").cast("int").alias("max_depth"),
+            trees.split_features(F.coalesce(setting("max_features"), F.lit("sqrt" if forest else "all")), len(self.features)).alias("n_features"),
+            trees.row_number_setting(F.coalesce(setting("min_samples_leaf"), F.lit("1")), F.col("rows")).alias("min_leaf"),
+            trees.row_number_setting(F.coalesce(setting("min_samples_split"), F.lit("2")), F.col("rows")).alias("min_split"),
+            F.coalesce(setting("n_estimators").cast("int"), F.lit(100 if forest else 1)).alias("n_trees"),
+            F.coalesce(setting("bootstrap").cast("boolean"), F.lit(forest)).alias("bootstrap"),
+        ))
         sides = [F.struct(F.lit(s).alias("side"), F.col(f"{s}_batch").alias("batch")) for s in ("train", "test")]
+        dealt = tries.select("fold", "attempt", "seed", "n_trees", "bootstrap", F.inline(F.array(*sides)))
+        rows = self.rows.join(broadcast_if_small(dealt), ["fold", "side", "batch"])
+        rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("n_trees") - 1)))
+        bag = F.when(F.col("bootstrap"), trees.poisson_weight(F.col("seed"), "bag", F.col("tree"), F.col("slot"))).otherwise(1)
+        rows = rows.select(
+            "fold", "attempt", "tree", "side", "slot", "y", F.when(F.col("side") == "train", bag).otherwise(0).cast("long").alias("w"),
+            F.array(*[F.col(c).cast("double") for c in self.features]).alias("x"),
+        )
+        nodes, moved = trees.grow(rows, tries.drop("train_batch", "test_batch", "n_trees", "bootstrap"), len(self.features))
+        grown = trees.as_arrays(nodes).join(trees.scores(nodes, moved), ["fold", "attempt"])
+        return settle(self._columns(table.join(grown, ["fold", "attempt"])))
+
+    def _newton(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
         tries = table.select(
-            "fold", "attempt", setting("max_depth").cast("int").alias("max_depth"),
-            setting("max_features").alias("max_features"),
-            F.coalesce(setting("min_samples_leaf"), F.lit("1")).alias("min_leaf"),
-            F.coalesce(setting("min_samples_split"), F.lit("2")).alias("min_split"),
-            hash60(self.seed, "tree", kind_no, F.col("fold"), F.col("attempt")).alias("seed"),
-            F.inline(F.array(*sides)),
+            "fold", "attempt", F.col("train_batch").alias("batch"), F.coalesce(setting("C").cast("double"), F.lit(1.0)).alias("c"),
+            F.coalesce(setting("fit_intercept").cast("boolean"), F.lit(True)).alias("fit_intercept"),
+            F.coalesce(setting("max_iter").cast("int"), F.lit(newton.MAX_ROUNDS)).alias("max_iter"),
         )
-        rows = self.rows.join(F.broadcast(tries), ["fold", "side", "batch"])
-        fitted = trees.fit_trees(rows, self.features, self.fold_type)
-        return settle(self._columns(table.join(fitted, ["fold", "attempt"])))
+        fitted = newton.fit_linear(spec.kind, self.side("train"), tries, self.features, "y", self.fold_type)
+        return self._scored_linear(settle(table.join(fitted, ["fold", "attempt"])))
 
     def _ridge(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
-        alpha = F.coalesce(F.try_element_at("params", F.lit("alpha")).cast("double"), F.lit(1.0))
-        free = F.coalesce(F.try_element_at("params", F.lit("fit_intercept")).cast("boolean"), F.lit(True))
+        alpha = F.coalesce(setting("alpha").cast("double"), F.lit(1.0))
+        free = F.coalesce(setting("fit_intercept").cast("boolean"), F.lit(True))
         tries = table.withColumn("alpha", alpha).withColumn("fit_intercept", free).withColumnRenamed("train_batch", "batch")
         needed = self.side("train").join(F.broadcast(tries.select("fold", "batch").distinct()), ["fold", "batch"], "left_semi")
         grams = ridge_grams(needed, ["fold", "batch"], self.features, "y")
@@ -368,6 +389,9 @@ class _Fit:
             solve_ridge(grams, tries, ["fold", "batch"], len(self.features))
             .withColumnRenamed("batch", "train_batch").drop("alpha", "fit_intercept")
         )
+        return self._scored_linear(nodes)
+
+    def _scored_linear(self, nodes: DataFrame) -> DataFrame:
         for side in ("test", "train"):
             score = score_linear(
                 nodes.withColumn("__batch", F.col(f"{side}_batch")), self.side(side),
@@ -397,50 +421,15 @@ class _Fit:
             nodes = nodes.join(score, ["fold", "attempt"])
         return settle(self._columns(nodes.drop("k")))
 
-    def _mllib(self, spec: NodeSpec, kind_no: int, table: DataFrame) -> DataFrame:
-        assembled = pin_by(
-            mllib.assemble(self.rows, self.features, "y").select("fold", "side", "batch", "__x", "__y"),
-            ["fold", "side", "batch"],
-        )
-        tries = [r.asDict() for r in table.collect()]
-
-        def batch(fold, side, number) -> DataFrame:
-            at = (F.col("fold") == F.lit(fold)) & (F.col("side") == side) & (F.col("batch") == number)
-            return assembled.filter(at)
-
-        def one(t: dict) -> tuple:
-            train = batch(t["fold"], "train", t["train_batch"])
-            params = {n: _number(v) for n, v in (t["params"] or {}).items()}
-            params.setdefault("random_state", t["attempt"])
-            model = mllib.fit(spec.kind, params, train, train.count())
-            both = train.unionByName(batch(t["fold"], "test", t["test_batch"]))
-            hits = mllib.vote(model, both, "vote").groupBy("side").agg(
-                F.avg((F.col("vote") == F.col("__y")).cast("double")).alias("score")
-            )
-            score = {r["side"]: r["score"] for r in hits.collect()}
-            self.models[(t["fold"], kind_no, t["attempt"])] = model
-            return (t["fold"], t["attempt"], t["train_batch"], t["test_batch"], t["params"], None, None, None,
-                    score.get("test"), score.get("train"))
-
-        with ThreadPoolExecutor(_MLLIB_THREADS) as pool:
-            found = list(pool.map(one, tries))
-        schema = ", ".join(f"`{n}` {t}" for n, t in (("fold", self.fold_type), *_NODE_FIELDS))
-        return table.sparkSession.createDataFrame(found, schema)
-
 
-def _number(text: str):
-    """Settings travel as text; numbers come back as numbers."""
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except (TypeError, ValueError):
-            continue
-    return text
+def setting(name: str) -> Column:
+    """A setting of an attempt, as text; null if it was not given."""
+    return F.try_element_at("params", F.lit(name))
 
 
 def neighbours() -> Column:
     """Number of neighbours of an attempt."""
-    return F.coalesce(F.try_element_at("params", F.lit("n_neighbors")).cast("int"), F.lit(5))
+    return F.coalesce(setting("n_neighbors").cast("int"), F.lit(5))
 
 
 def most_neighbours(spec: NodeSpec) -> int:
@@ -474,7 +463,6 @@ class FittedEnsemble:
     features: list
     target: str
     row_id: str
-    models: dict
     batch_rows: DataFrame
     batch_len: int
     specs: list
@@ -489,8 +477,7 @@ class FittedEnsemble:
         df = rows.withColumn("fold", F.lit(0)) if single else rows
         kept = df.columns
         kinds = {r["kind"] for r in self.nodes.select("kind").distinct().collect()}
-        steps = [("__shipped", bool(kinds & {"Ridge", "tree"}), self._shipped),
-                 ("__mllib", bool(self.models), self._mllib), ("__near", "knn" in kinds, self._knn)]
+        steps = [("__shipped", bool(kinds - {"knn"}), self._shipped), ("__near", "knn" in kinds, self._knn)]
         votes = []
         for name, used, step in steps:
             if used:
@@ -525,8 +512,8 @@ class FittedEnsemble:
                 linear.setdefault(r["fold"], []).append([r["intercept"], *r["coef"]])
                 size[r["fold"]] = size.get(r["fold"], 0) + len(r["coef"]) + 1
             else:
-                grown.setdefault(r["fold"], []).append(trees.tree_arrays(r["tree"]))
-                size[r["fold"]] = size.get(r["fold"], 0) + 5 * len(r["tree"])
+                grown.setdefault(r["fold"], []).append([trees.tree_arrays(t) for t in r["tree"]])
+                size[r["fold"]] = size.get(r["fold"], 0) + 5 * sum(map(len, r["tree"]))
         pieces, room = [[]], _SHIPPED_NUMBERS
         for fold, n in size.items():
             if n > room and pieces[-1]:
@@ -542,29 +529,11 @@ class FittedEnsemble:
             total = total + count("fold", *columns)
         return df.withColumn("__votes", total)
 
-    def _mllib(self, df: DataFrame) -> DataFrame:
-        nodes = self.nodes.filter(F.col("kind").isin(*mllib.LEARNERS) & F.col("tree").isNull())
-        by_fold: dict = {}
-        for r in nodes.select("fold", "kind_no", "attempt").collect():
-            by_fold.setdefault(r["fold"], []).append(self.models[(r["fold"], r["kind_no"], r["attempt"])])
-        assembled = mllib.assemble(df, self.features, invalid="keep")
-        parts = [assembled.filter(~F.col("fold").isin(list(by_fold))).withColumn("__votes", F.lit(0.0))]
-        for fold, models in by_fold.items():
-            part = assembled.filter(F.col("fold") == F.lit(fold))
-            names = [f"__v{i}" for i in range(len(models))]
-            for model, name in zip(models, names):
-                part = mllib.vote(model, part, name)
-            total = F.lit(0.0)
-            for name in names:
-                total = total + F.col(name)
-            parts.append(part.withColumn("__votes", total).drop(*names))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out.drop("__x")
-
     def _knn(self, df: DataFrame) -> DataFrame:
+        """Batches of bounded size go to the tasks and the rows stay where they are; longer ones meet the rows block by block."""
         nodes = self.nodes.filter(F.col("kind") == "knn").select("fold", "kind_no", "attempt", "train_batch", neighbours().alias("k"))
+        if nodes.count() * self.batch_len * (len(self.features) + 1) <= _SHIPPED_NUMBERS:
+            return df.withColumn("__votes", near_counter(self._near_batches(nodes))("fold", *[F.col(c).cast("double") for c in self.features]))
         total = None
         for kind_no in sorted(r[0] for r in nodes.select("kind_no").distinct().collect()):
             own = nodes.filter(F.col("kind_no") == kind_no)
@@ -585,6 +554,33 @@ class FittedEnsemble:
         total = total.groupBy("fold", self.row_id).agg(F.sum("__votes").alias("__votes"))
         return df.join(total, ["fold", self.row_id], "left")
 
+    def _near_batches(self, nodes: DataFrame) -> dict:
+        """``fold -> [(features, classes, k)]`` of the batches behind the nodes, in the order of their slots."""
+        tries = [(r["fold"], r["train_batch"], r["k"]) for r in nodes.collect()]
+        used = nodes.select("fold", F.col("train_batch").alias("batch")).distinct()
+        rows = self.batch_rows.filter("side = 'train'").join(F.broadcast(used), ["fold", "batch"])
+        found = rows.select("fold", "batch", "slot", "y", *self.features).orderBy("fold", "batch", "slot").toPandas()
+        parts = {key: (part[self.features].to_numpy(dtype=float), part["y"].to_numpy()) for key, part in found.groupby(["fold", "batch"], sort=False)}
+        out: dict = {}
+        for fold, batch, k in tries:
+            out.setdefault(fold, []).append((*parts[(fold, batch)], k))
+        return out
+
+
+def near_counter(batches: dict):
+    """Function of ``(fold, features…)`` that counts the fold's nearest-neighbour nodes voting 1."""
+
+    @F.pandas_udf("double")
+    def count_votes(fold: pd.Series, *x: pd.Series) -> pd.Series:
+        values = np.column_stack([c.to_numpy(dtype=float) for c in x])
+        out = np.zeros(len(fold))
+        for f, at in fold.groupby(fold, sort=False).indices.items():
+            for rows, labels, k in batches.get(f, ()):
+                out[at] += batch_votes(values[at], rows, labels, k)
+        return pd.Series(out)
+
+    return count_votes
+
 
 def vote_counter(linear: dict, grown: dict):
     """Function of ``(fold, features…)`` that counts the fold's nodes voting 1."""
@@ -597,8 +593,8 @@ def vote_counter(linear: dict, grown: dict):
             rows = values[at]
             if f in linear:
                 out[at] += (rows @ linear[f] > 0).sum(axis=1)
-            for tree in grown.get(f, ()):
-                out[at] += trees.tree_vote(rows[:, 1:], tree)
+            for forest in grown.get(f, ()):
+                out[at] += trees.forest_votes(rows[:, 1:], forest)
         return pd.Series(out)
 
     return count_votes

@@ -12,6 +12,35 @@ TRAIN_BLOCK = 2_000
 QUERY_CHUNK = 5_000
 
 
+def _closest(a: np.ndarray, b: np.ndarray, k: int):
+    """Rows of ``a``, rows of ``b`` and squared distances of the ``k`` nearest, a bounded part at a time; ties go to the first row of ``b``."""
+    if not len(b):
+        return
+    step = max(1, 2_000_000 // len(b))
+    for s in range(0, len(a), step):
+        d = np.zeros((len(a[s:s + step]), len(b)))
+        for f in range(a.shape[1]):
+            d += (a[s:s + step, f, None] - b[None, :, f]) ** 2
+        near = np.partition(d, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        rows, cols = np.nonzero(d <= near[:, None])
+        order = np.lexsort((cols, d[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, cols = rows[rank < k], cols[rank < k]
+        yield rows + s, cols, d[rows, cols]
+
+
+def batch_votes(queries: np.ndarray, x: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """0/1 votes of the ``k`` rows of one batch that are nearest to each query; ties go to the first rows of the batch."""
+    out = np.zeros(len(queries))
+    np.nan_to_num(queries, copy=False)  # such rows get no share in the end
+    for rows, cols, _ in _closest(queries, x, k):
+        hits = np.bincount(rows, weights=labels[cols], minlength=len(queries))
+        sizes = np.bincount(rows, minlength=len(queries))
+        out += (sizes > 0) & (2 * hits > sizes)
+    return out
+
+
 def nearest(queries: DataFrame, train: DataFrame, by, features, target: str, query_id: str, train_id: str,
             k: int, n_queries: int, n_train: int) -> DataFrame:
     """The ``k`` nearest train rows of each query: ``(by, query_id, distance2, train_id, label)``.
@@ -42,20 +71,7 @@ def nearest(queries: DataFrame, train: DataFrame, by, features, target: str, que
     def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("__t", ignore_index=True)
         a, b = q[features].to_numpy(dtype=float), t[features].to_numpy(dtype=float)
-        found = []
-        if len(a) and len(b):
-            step = max(1, 2_000_000 // len(b))
-            for s in range(0, len(a), step):
-                d = np.zeros((len(a[s:s + step]), len(b)))
-                for f in range(len(features)):
-                    d += (a[s:s + step, f, None] - b[None, :, f]) ** 2
-                near = np.partition(d, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
-                rows, cols = np.nonzero(d <= near[:, None])
-                order = np.lexsort((cols, d[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                rows, cols = rows[rank < k], cols[rank < k]
-                found.append((rows + s, cols, d[rows, cols]))
+        found = list(_closest(a, b, k))
         rows = np.concatenate([f[0] for f in found]) if found else np.array([], dtype=int)
         cols = np.concatenate([f[1] for f in found]) if found else np.array([], dtype=int)
         out = q[[*by, "__q"]].iloc[rows].reset_index(drop=True)

@@ -16,16 +16,13 @@ def result_name(experiment_type: str, now: datetime | None = None) -> str:
 
 
 def save_experiment(experiment, path: str, name: str | None = None) -> str:
-    """Write scores, predictions, nodes and settings under ``path/name``; MLlib models too."""
+    """Write scores, predictions, nodes (with all they have learned) and settings under ``path/name``."""
     if experiment.stats is None:
         raise RuntimeError("the experiment has not run yet")
     base = f"{path}/{name or result_name(experiment.experiment_type)}"
     experiment.stats.write.parquet(f"{base}/stats")
     experiment.predictions.write.parquet(f"{base}/predictions")
     experiment.ensemble.nodes.write.parquet(f"{base}/nodes")
-    for number, (key, model) in enumerate(sorted(experiment.ensemble.models.items(), key=str)):
-        fold, kind_no, attempt = key
-        model.write().save(f"{base}/models/kind={kind_no}/fold={number}_{fold}/attempt={attempt}")
     settings = {"experiment_type": experiment.experiment_type, "seed": experiment.seed, **experiment.settings.raw}
     spark = experiment.stats.sparkSession
     text = json.dumps(settings, default=str)

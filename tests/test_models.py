@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.catalog.models import study_settings
 from strataloom.config import StudySettings
 from strataloom.materialize import broadcast_if_small, pin
-from strataloom.operators import ensemble, knn, mllib, trees
+from strataloom.operators import ensemble, knn, newton, trees
 from strataloom.operators.ensemble import BatchPlan, Ensemble, NodeSpec, accept, keep_best, parameter_range
 from strataloom.operators.encode import OneHotEncoder
 from strataloom.operators.ridge import ridge_grams, solve_ridge
@@ -69,47 +70,125 @@ def test_knn_equals_brute_force_across_blocks(spark, monkeypatch):
     assert votes == {i: int(label[list(got[i])].mean() > 0.5) for i in range(150)}
 
 
-def test_tree_fits_what_it_can_separate():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 4))
-    y = ((x[:, 1] > 0.3) ^ (x[:, 2] < -0.1)).astype(int)
-    grown = trees.grow_tree(x, y, None, 4, 1, np.random.default_rng(0))
-    assert (trees.tree_vote(x, trees.tree_arrays(grown)) == y).all()
-    limited = trees.grow_tree(x, y, 2, 2, 20, np.random.default_rng(0))
-    assert len(limited) <= 7
-    feature, threshold, left, right, _ = trees.tree_arrays(limited)
-    at = np.zeros(len(x), dtype=int)
-    for _ in range(2):
-        inner = feature[at] >= 0
-        at = np.where(inner, np.where(x[np.arange(len(x)), feature[at]] <= threshold[at], left[at], right[at]), at)
-    assert np.bincount(at)[np.bincount(at) > 0].min() >= 20
-    one = trees.grow_tree(x, np.ones(300, dtype=int), None, 4, 1, np.random.default_rng(0))
-    assert len(one) == 1 and one[0]["vote"] == 1
+def _rows_of_trees(spark, x, y, w, n_trees=1):
+    data = [(0, 0, t, "train" if v else "test", i, int(c), int(v), [float(k) for k in r]) for t in range(n_trees) for i, (r, c, v) in enumerate(zip(x, y, w))]
+    return spark.createDataFrame(data, "fold int, attempt bigint, tree int, side string, slot bigint, y int, w bigint, x array<double>")
+
+
+def _tries(spark, depth=None, n_features=4, min_leaf=1, min_split=2):
+    return spark.createDataFrame([(0, 0, 11, depth, n_features, min_leaf, min_split)],
+                                 "fold int, attempt bigint, seed bigint, max_depth int, n_features int, min_leaf bigint, min_split bigint")
+
+
+def _order(seed, tree, path, p):
+    """Features in the order in which a node looks at them."""
+    return sorted(range(p), key=lambda f: (int(hashlib.md5(f"{seed}|split|{tree}|{path}|{f}".encode()).hexdigest()[:15], 16), f))
+
+
+def _plain_tree(x, y, w, depth, n_features, min_leaf, min_split, tree=0, seed=11):
+    """Nodes ``path -> (feature, threshold, n, pos)``, one at a time."""
+    out, todo = {}, [("", np.flatnonzero(w > 0), 0)]
+    while todo:
+        path, at, level = todo.pop()
+        n, pos = int(w[at].sum()), int((w[at] * y[at]).sum())
+        out[path] = (None, None, n, pos)
+        if pos in (0, n) or n < max(min_split, 2 * min_leaf) or (depth is not None and level >= depth):
+            continue
+        best = None
+        for place, f in enumerate(_order(seed, tree, path, x.shape[1]) if n_features < x.shape[1] else range(x.shape[1])):
+            if place >= n_features and best is not None:
+                break
+            values = np.unique(x[at, f])
+            for v, following in zip(values, values[1:]):
+                left = at[x[at, f] <= v]
+                ln, lp = float(w[left].sum()), float((w[left] * y[left]).sum())
+                if ln < min_leaf or n - ln < min_leaf:
+                    continue
+                cost = round((lp - lp * lp / ln) + ((pos - lp) - (pos - lp) * (pos - lp) / (n - ln)), 9)
+                key = (place if place >= n_features else 0, cost, f, v)
+                if best is None or key < best[0]:
+                    best = (key, f, v, (v + following) / 2)
+        if best is not None:
+            _, f, v, threshold = best
+            out[path] = (f, threshold, n, pos)
+            todo += [(path + "0", at[x[at, f] <= v], level + 1), (path + "1", at[x[at, f] > v], level + 1)]
+    return out
+
+
+@pytest.mark.parametrize("settings", [(None, 4, 1, 2), (3, 2, 5, 2), (None, 1, 1, 30), (6, 4, 20, 2)])
+@pytest.mark.parametrize("range_rows", [100_000, 17])
+def test_trees_equal_trees_grown_node_by_node(spark, settings, range_rows):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 4, 240), rng.normal(size=240).round(1), rng.exponential(size=240), np.zeros(240)]).astype(float)
+    y = ((x[:, 0] > 1) ^ (x[:, 1] < 0.3) ^ (rng.random(240) < 0.1)).astype(int)
+    w = rng.poisson(1.0, 240)
+    nodes, moved = trees.grow(_rows_of_trees(spark, x, y, w, 2), _tries(spark, *settings), 4, range_rows)
+    got = {(r["tree"], r["path"]): (r["feature"], r["threshold"], r["n"], r["pos"]) for r in nodes.collect()}
+    want = {(t, path): node for t in range(2) for path, node in _plain_tree(x, y, w, *settings, tree=t).items()}
+    assert got.keys() == want.keys()
+    for key, (f, threshold, n, pos) in want.items():
+        assert got[key][0] == f and got[key][2:] == (n, pos) and (f is None or np.isclose(got[key][1], threshold)), key
+    arrays = [trees.tree_arrays(t) for t in trees.as_arrays(nodes).first()["tree"]]
+    votes = trees.forest_votes(x, arrays)
+    assert {r["path"] for r in moved.collect()} <= {k[1] for k, v in want.items() if v[0] is None}
+    score = trees.scores(nodes, moved).first()
+    assert np.isclose(score["train_score"], (votes == y)[w > 0].mean()) and np.isclose(score["test_score"], (votes == y)[w == 0].mean())
+
+
+def test_trees_go_as_deep_as_the_data(spark):
+    y = np.arange(90) % 2  # every cut parts one row from the rest
+    x = np.arange(90, dtype=float)[:, None]
+    nodes, moved = trees.grow(_rows_of_trees(spark, x, y, np.ones(90, dtype=int)), _tries(spark, n_features=1), 1)
+    grown = trees.as_arrays(nodes).first()["tree"]
+    assert (trees.forest_votes(x, [trees.tree_arrays(grown[0])]) == y).all() and len(grown[0]) == 179
 
 
 @pytest.mark.parametrize("setting, want", [(None, 9), ("sqrt", 3), ("log2", 3), ("4", 4), ("30", 9), ("0.5", 4)])
-def test_features_per_split(setting, want):
-    assert trees.n_split_features(setting, 9) == want
+def test_features_per_split(spark, setting, want):
+    assert spark.range(1).select(trees.split_features(F.lit(setting).cast("string"), 9)).first()[0] == want
+
+
+def test_bootstrap_weights_are_poisson(spark):
+    got = dict(map(tuple, spark.range(40_000).select(trees.poisson_weight(1, F.col("id")).alias("w")).groupBy("w").count().collect()))
+    for k, share in enumerate((0.3679, 0.3679, 0.1839, 0.0613)):
+        assert abs(got[k] / 40_000 - share) < 0.01
 
 
 @pytest.mark.parametrize("kind, params", [
     ("logistic", {}), ("SVM", {}), ("tree", {"max_depth": 4}), ("tree", {"max_depth": 4, "max_features": 2}),
-    ("rf", {"n_estimators": 5, "max_depth": 4}),
+    ("rf", {"n_estimators": 5, "max_depth": 4}), ("rf", {"n_estimators": 3, "max_depth": 3, "bootstrap": False, "max_features": 1}),
 ])
-def test_mllib_learners_beat_chance(signals, kind, params):
-    assembled = mllib.assemble(signals, FEATURES, "target")
-    model = mllib.fit(kind, params, assembled, 1500)
-    hit = mllib.vote(model, assembled, "vote").agg(F.avg((F.col("vote") == F.col("__y")).cast("int"))).first()[0]
-    assert hit > 0.8
+def test_learners_beat_chance(signals, subjects, kind, params):
+    fitted = Ensemble([kind], [2], [params]).fit(signals, "target", subjects, "subject", "row_id", FEATURES, PLAN, 0.5, seed=1)
+    hit = fitted.predict(signals).agg(F.avg((F.col("pred") == F.col("target")).cast("int"))).first()[0]
+    assert hit > 0.75 and fitted.nodes.count() == 2
 
 
-def test_logistic_reaches_its_optimum(signals):
-    model = mllib.fit("logistic", {"C": 0.5}, mllib.assemble(signals, FEATURES, "target"), 1500)
+def _weights(signals, kind, c, free=True, max_iter=100):
+    rows = signals.select(F.lit(0).alias("fold"), F.lit(0).cast("bigint").alias("batch"), F.col("target").alias("y"), *FEATURES)
+    tries = rows.sparkSession.createDataFrame([(0, i, 0, v, free, max_iter) for i, v in enumerate(c)], "fold int, attempt bigint, batch bigint, c double, fit_intercept boolean, max_iter int")
+    return [(r["intercept"], np.array(r["coef"])) for r in newton.fit_linear(kind, rows, tries, FEATURES).orderBy("attempt").collect()]
+
+
+@pytest.mark.parametrize("free", [True, False])
+def test_newton_reaches_the_optimum(signals, free):
     pdf = signals.toPandas()
     x, y = pdf[FEATURES].to_numpy(), pdf["target"].to_numpy()
-    w, b = np.array(model.coefficients.toArray()), model.intercept
-    error = 1 / (1 + np.exp(-(x @ w + b))) - y
-    assert np.allclose(w + 0.5 * (x.T @ error), 0, atol=0.05) and abs(error.sum()) < 0.05
+    s = 2 * y - 1
+    slopes = {"logistic": lambda f: 1 / (1 + np.exp(-f)) - y, "SVM": lambda f: -2 * s * np.maximum(0, 1 - s * f)}
+    strengths = [0.001, 0.5, 100.0]
+    for kind, slope in slopes.items():
+        for c, (b, w) in zip(strengths, _weights(signals, kind, strengths, free)):
+            g = slope(x @ w + b)
+            assert np.allclose(w + c * (x.T @ g), 0, atol=1e-6 * max(1, c)) and (abs(c * g.sum()) < 1e-6 * max(1, c) if free else b == 0)
+
+
+def test_newton_on_classes_that_can_be_separated(spark):
+    rows = spark.createDataFrame([(0, 0, int(v > 0), float(v), 0.0) for v in (-3, -2, -1, 1, 2, 3)], "fold int, batch bigint, y int, a double, b double")
+    tries = spark.createDataFrame([(0, 0, 0, 1e6, True, 100)], "fold int, attempt bigint, batch bigint, c double, fit_intercept boolean, max_iter int")
+    for kind in ("logistic", "SVM"):
+        r = newton.fit_linear(kind, rows, tries, ["a", "b"]).first()
+        assert r["coef"][0] > 0.99 and abs(r["coef"][1]) < 1e-6 and abs(r["intercept"]) < 1e-3
 
 
 def test_accept_and_best(spark):
@@ -179,11 +258,17 @@ def test_accepted_nodes_do_not_depend_on_the_wave(signals, subjects):
     assert picked[1][:2] == picked[0]
 
 
-def test_large_batches_of_trees_go_to_mllib(signals, subjects, monkeypatch):
-    monkeypatch.setattr(trees, "GROUP_ROWS", 10)
-    fitted = Ensemble(["tree"], [1], [{"max_depth": 3}]).fit(
-        signals, "target", subjects, "subject", "row_id", FEATURES, PLAN, 0.5, seed=1)
-    assert len(fitted.models) == 1 and fitted.predict(signals).count() == 1500
+def test_later_waves_leave_finished_folds_alone(signals, subjects, monkeypatch):
+    fold = F.explode(F.array(F.lit("p"), F.lit("q"))).alias("fold")
+    members = subjects.select("subject", fold, F.lit(1).cast("bigint").alias("n_draws"))
+    seen = []
+    table = ensemble.attempt_table
+    monkeypatch.setattr(ensemble, "attempt_table", lambda folds, *a: seen.append(sorted(r["fold"] for r in folds.collect())) or table(folds, *a))
+    fit = Ensemble(["Ridge"], [3], [{}]).fit_folds
+    fitted = fit(signals, members, subjects, "subject", "target", "row_id", lambda df: df, FEATURES, PLAN, 0.86, seed=5)
+    assert fitted.nodes.groupBy("fold").count().collect() and seen[0] == ["p", "q"] and all(len(s) <= 2 for s in seen)
+    counts = {r["fold"]: r["count"] for r in fitted.nodes.groupBy("fold").count().collect()}
+    assert counts == {"p": 3, "q": 3}
 
 
 def test_default_batches_follow_subjects_and_rows(signals, subjects):
@@ -328,7 +413,7 @@ def test_drawn_number_of_neighbours(signals, subjects):
 
 def test_leaf_sizes_may_be_fractions(signals, subjects):
     trees_ = _fit(signals, subjects, "tree", {"min_samples_leaf": 0.5}).nodes.collect()
-    assert all(len(r["tree"]) <= 3 for r in trees_)
+    assert all(len(r["tree"][0]) <= 3 for r in trees_)
 
 
 def test_missing_features(signals, subjects):
@@ -348,11 +433,6 @@ def test_targets_must_be_binary(spark, signals, subjects):
         _fit(signals, subjects.withColumn("target", F.col("subject") % 3))
 
 
-def test_depth_beyond_the_learner_raises(spark):
-    with pytest.raises(ValueError, match="30"):
-        mllib.forest({"max_depth": 31}, 100)
-
-
 def test_keys_tell_nulls_and_separators_apart(spark):
     rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x"), ("x", None)]
     keyed = with_row_id(spark.createDataFrame(rows, "p string, q string"), ["p", "q"])

@@ -28,9 +28,9 @@ from strataloom.materialize import broadcast_if_small
 
 # What is no letter of A-Z and below 128 parts terms; A-Z in lower case. All other bytes of UTF-8 are 128 and more.
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-BLOCK = 65_536  # pairs of a group and a term in a block, on average
+BLOCK = 262_144  # pairs of a group and a term in a block, on average
 TILE = 32  # groups of a tile
-HELD = 32_000_000  # characters of the texts whose terms are counted together
+HELD = 8_000_000  # characters of the texts whose terms are counted together
 MOST_TASKS = 10_000
 STEPS, BASE = 3, 1_000  # the scale of the shares is BASE ** STEPS
 
@@ -174,6 +174,20 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(groups, texts)
 
 
+def _number(table: pa.Table, min_docs: int) -> pa.Table:
+    """The rows of one block without the terms that too few documents hold; terms get numbers and their occurrences in the language."""
+    coded = table["term"].combine_chunks().dictionary_encode()
+    codes, n = coded.indices.to_numpy(), table["n"].to_numpy()
+    in_docs, lang_n = np.zeros(len(coded.dictionary), np.int64), np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(in_docs, codes, table["docs"].to_numpy())
+    np.add.at(lang_n, codes, n)
+    stays = in_docs >= min_docs
+    rows = np.flatnonzero(stays[codes])
+    out = table.select(["gid", "lang", "block", "term"]).take(pa.array(rows))
+    no = (np.cumsum(stays) - 1)[codes[rows]]
+    return out.append_column("no", pa.array(no, pa.int32())).append_column("n", pa.array(n[rows])).append_column("lang_n", pa.array(lang_n[codes[rows]]))
+
+
 def _pairs(held: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
     """``lang, source, item, value, held``: sums over the terms that either of two sources holds; languages with terms only.
 
@@ -222,9 +236,8 @@ def source_divergence(
     # terms of one block stand together: their documents are added up, those kept are numbered
     blocks = max(1, -(-counts.count() // block))
     spread = counts.join(broadcast_if_small(groups.select("gid", "lang")), "gid").withColumn("block", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int"))
-    same, order = Window.partitionBy("lang", "block", "term"), Window.partitionBy("lang", "block").orderBy("term")
-    spread = spread.repartition("lang", "block").withColumn("in_docs", F.sum("docs").over(same)).withColumn("lang_n", F.sum("n").over(same))
-    held = keep(spread.where(F.col("in_docs") >= min_docs).select("gid", "lang", "block", "term", (F.dense_rank().over(order) - 1).alias("no"), "n", "lang_n"))
+    numbered = spread.groupBy("lang", "block").applyInArrow(lambda t: _number(t, min_docs), "gid long, lang string, block int, term string, no int, n long, lang_n long")
+    held = keep(numbered)
 
     sums = held.groupBy("lang", "block").agg((F.max("no") + 1).alias("terms"), F.sum("n").alias("n"))
     langs = sums.groupBy("lang").agg(F.sum("terms").cast("long").alias("n_terms"), F.sum("n").alias("lang_total"))

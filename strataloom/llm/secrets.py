@@ -193,7 +193,8 @@ def _matches(number: int, rule: Rule) -> Column:
 
 def _all_matches(rows: DataFrame, rules: list[tuple[int, Rule]], wanted: Column | None = None) -> DataFrame:
     none = F.array().cast("array<struct<kind:int,i:int,before:int,size:int,inner:int>>")
-    parts = [_matches(n, r) if wanted is None else F.when(F.array_contains(wanted, n), _matches(n, r)).otherwise(none) for n, r in rules]
+    # a text without a match is read once
+    parts = [F.when(F.col("text").rlike(r.pattern) if wanted is None else F.array_contains(wanted, n), _matches(n, r)).otherwise(none) for n, r in rules]
     return rows.select("doc_id", "h", F.inline(F.concat(*parts) if len(parts) > 1 else parts[0]))
 
 

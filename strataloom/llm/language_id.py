@@ -2,12 +2,18 @@
 
 The kernel of two texts is the number of character n-grams (n = 1, 2, 3, blended) that both contain,
 over the geometric mean of the numbers that each contains. Letters are compared in lower case, all
-else counts as space. Ridge regression in this kernel is fitted one language against the rest, on a
-Nyström approximation by landmark texts. The presence kernel is an inner product of 0/1 vectors, so
-scores of a batch of texts are products of its presence matrix with the landmarks' weights.
-
-The fit takes a bounded sample of labelled rows (``per_language`` each, by hash of the identifier)
-and a bounded vocabulary of grams; predictions read every whole text.
+else counts as space, and a gram of spaces alone is none. Grams are hashed into a presence vector with a
+range of its own for every n, so that every gram of every script counts, seen in the fit or not. Ridge
+regression in this kernel is fitted one language against the rest, on a Nyström approximation by
+landmark texts. The presence kernel is an inner product of 0/1 vectors, so scores of a batch of texts
+are products of its presence matrix with the landmarks' weights.
+
+A text in none of the languages shares fewer grams with them than their own texts do. How many those share depends on
+the length, so the fit also cuts pieces of all lengths from its sample, and keeps for every class of length the score
+that nearly all pieces reach (``floor``). A text below the floor of its class resembles no learned language.
+
+The fit takes a bounded sample of labelled rows (``per_language`` each, by hash of identifier and
+text); predictions read every whole text.
 """
 
 from __future__ import annotations
@@ -25,12 +31,18 @@ from strataloom.llm.common import keep
 
 PER_LANGUAGE = 400
 LANDMARKS = 256
-GRAMS = 16_384
-LETTERS = 250
+MAX_LANGUAGES = 200  # each brings its sample to the driver; more stop the fit with an error
 RIDGE = 0.1
+BITS = (10, 13, 15)  # hashed places for one, two and three characters
+FLOOR_QUANTILE = 0.005
+FLOOR_SHARE = 0.6
+CLASSES = 24  # classes of length, by doublings of the number of places
 BATCH = 64  # texts per matrix product
 _CHUNK = 1 << 20
 _SPACE = 32
+_STARTS = np.cumsum([0, *(1 << b for b in BITS)])
+SIZE = int(_STARTS[-1])
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def in_fold(id_: Column) -> Column:
@@ -48,62 +60,66 @@ def _codes(text: str) -> Iterator[np.ndarray]:
     """Code points in lower case, other characters as spaces, in chunks that overlap by two."""
     text = text.lower()
     for at in range(0, max(len(text), 1), _CHUNK):
-        codes = np.frombuffer(f" {text[at:at + _CHUNK + 2]} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
-        yield np.where(_letters()[codes], codes, _SPACE)
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Distinct n-grams as numbers, 21 bits a character."""
-    two = codes[:-1] << 21 | codes[1:]
-    three = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:] if len(codes) > 2 else codes[:0]
-    return np.unique(np.concatenate([codes, two, three]))
-
-
-class Encoder:
-    """Presence vectors over a sorted vocabulary of grams, by table look-up."""
-
-    def __init__(self, grams: np.ndarray):
-        self.grams = grams
-        parts = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF])
-        alphabet = np.unique(parts[parts > 0])
-        self.code = np.zeros(0x110000, np.int32)  # 0: no letter of the vocabulary
-        self.code[alphabet] = np.arange(1, len(alphabet) + 1)
-        self.base = len(alphabet) + 1
-        a, b, c = self.code[parts]
-        self.tables = []
-        for n, number in ((1, c), (2, b * self.base + c), (3, (a * self.base + b) * self.base + c)):
-            own = (parts > 0).sum(axis=0) == n
-            table = np.full(self.base**n, len(grams), np.int32)  # one column more, for what is unknown
-            table[number[own]] = np.flatnonzero(own)
-            self.tables.append(table)
-
-    def fill(self, row: np.ndarray, text: str) -> None:
-        """Set the columns of ``row`` (one longer than the vocabulary) that ``text`` contains."""
-        for codes in _codes(text):
-            x = self.code[codes].astype(np.int64)
-            row[self.tables[0][x]] = 1
-            x2 = x[:-1] * self.base + x[1:]
-            row[self.tables[1][x2]] = 1
-            if len(x) > 2:
-                row[self.tables[2][x2[:-1] * self.base + x[2:]]] = 1
-
-
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(f" {text[at:at + _CHUNK + 2]} ".encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+        yield np.where(_letters()[codes], codes, np.uint64(_SPACE))
+
+
+def places(codes: np.ndarray) -> np.ndarray:
+    """Hashed places of the grams of one chunk, with repetitions; grams without a letter have none."""
+    letter = codes != _SPACE
+    one, out = codes, []
+    for n, bits in enumerate(BITS, start=1):
+        if len(codes) < n:
+            break
+        gram = one[: len(codes) - n + 1] * np.uint64(_MIX[0])
+        held = letter[: len(gram)].copy()
+        for i in range(1, n):
+            gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(_MIX[i]) + codes[i: len(codes) - n + 1 + i]
+            held |= letter[i: i + len(gram)]
+        gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(_MIX[-1])
+        out.append(((gram >> np.uint64(64 - bits)).astype(np.int64) + _STARTS[n - 1])[held])
+    return np.concatenate(out)
+
+
+def fill(row: np.ndarray, text: str) -> bool:
+    """Set the places of ``row`` that ``text`` holds; False if it has no letter."""
+    found = False
+    for codes in _codes(text):
+        at = places(codes)
+        row[at] = 1
+        found = found or len(at) > 0
+    return found
+
+
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed presence vectors of the texts that have letters."""
     for batch in batches:
-        for text in batch.column(0):
-            grams = np.unique(np.concatenate([_grams(c) for c in _codes(text.as_py())]))
-            yield pa.record_batch([pa.array(grams)], names=["gram"])
+        bits = []
+        for text in batch.column(0).to_pylist():
+            row = np.zeros(SIZE, np.uint8)
+            bits.append(np.packbits(row).tobytes() if fill(row, text) else None)
+        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], names=["lang", "rank", "bits"])
 
 
-def _presence(batches: Iterator[pa.RecordBatch], grams: np.ndarray) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(grams)
+def pieces(text: str, rank: int) -> list[str]:
+    """The text, a half, a quarter and so on, each from a place that the rank decides."""
+    out, n = [text], len(text)
+    while n > 8:
+        n //= 2
+        at = (rank * 7919) % (len(text) - n + 1)
+        out.append(text[at:at + n])
+    return out
+
+
+def _piece_scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Number of places and score for their own language, of all pieces of the texts."""
     for batch in batches:
-        bits = []
-        for text in batch.column(0):
-            row = np.zeros(len(grams) + 1, np.uint8)
-            encoder.fill(row, text.as_py())
-            bits.append(np.packbits(row[:-1]).tobytes())
-        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], names=["lang", "rank", "bits"])
+        for text, lang, rank in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = pieces(text, rank)
+            x = np.zeros((len(parts), SIZE), np.float32)
+            lettered = np.array([fill(row, part) for row, part in zip(x, parts)])
+            own = model.scores(x)[:, model.languages.index(lang)] if lang in model.languages else np.zeros(len(parts))
+            yield pa.record_batch([pa.array(x.sum(axis=1)[lettered].astype(float)), pa.array(own[lettered].astype(float))], names=["size", "own"])
 
 
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -112,96 +128,108 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / nx[:, None] / ny[None, :]
 
 
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum(np.floor(np.log2(np.maximum(sizes, 1))).astype(int), CLASSES - 1)
+
+
 class Model:
-    """``weights``: one column per language, over the grams."""
+    """``weights``: one column per language, over the hashed places; ``floors``: one score per class of length."""
 
-    def __init__(self, grams: np.ndarray, languages: list[str], weights: np.ndarray):
-        self.grams, self.languages, self.weights = grams, languages, weights
+    def __init__(self, languages: list[str], weights: np.ndarray, floors: np.ndarray):
+        self.languages, self.weights, self.floors = languages, weights, floors
 
-    def scores(self, texts: list[str], encoder: Encoder) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.grams) + 1), np.float32)
-        for row, text in zip(x, texts):
-            encoder.fill(row, text)
-        x = x[:, :-1]
+    def scores(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.weights) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
 
 
+def _floors(sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Score that nearly all pieces of a class reach; classes without pieces take that of the next shorter ones."""
+    floors, last = np.zeros(CLASSES), 0.0
+    classes = length_class(sizes)
+    for c in range(CLASSES):
+        scores = own[classes == c]
+        if len(scores):
+            last = max(last, FLOOR_SHARE * float(np.quantile(scores, FLOOR_QUANTILE)))
+        floors[c] = last
+    return floors
+
+
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, max_grams: int = GRAMS, ridge: float = RIDGE,
+    per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE,
 ) -> Model | None:
     """A model from rows that are not held out and have text and language; None if there are none.
 
-    What reaches the driver is bounded: the vocabulary and ``per_language`` packed vectors of
-    ``max_grams`` bits for each language. Of rows that repeat an identifier the sample takes any.
+    What reaches the driver is bounded: ``per_language`` packed vectors for each language, and two numbers for every
+    halving of their texts; over ``MAX_LANGUAGES`` languages are an error. Rows that repeat identifier, language and
+    text count once.
     """
-    id_ = F.col(id_col)
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & id_.isNotNull() & ~in_fold(id_))
-    usable = usable.select(id_.alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    id_, text = F.col(id_col), F.col(text_col)
+    usable = docs.where(text.isNotNull() & F.col(lang_col).isNotNull() & id_.isNotNull() & ~in_fold(id_))
+    usable = usable.select(id_.alias("id"), F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(id_, text).alias("h"))
     # a share of each language by hash, about four times what is needed, so that no task ranks a whole language
     sizes = keep(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
     share = F.lit(float(4 * per_language << 20)) / F.col("n")
-    drawn = usable.select("id", "lang").join(sizes, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = drawn.select("id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    sample = usable.join(keep(chosen), ["id", "lang"]).select("text", "lang", "rank")
-    sample = keep(sample)
-    grams = sample.select("text").mapInArrow(_gram_rows, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    single = grams.where(F.col("gram") < 1 << 21).orderBy(F.desc("n"), "gram").limit(LETTERS)
-    letters = np.unique([r["gram"] for r in single.collect()] + [_SPACE]).astype(np.int64)
-    low, middle, high = F.col("gram").bitwiseAND((1 << 21) - 1), F.shiftright("gram", 21).bitwiseAND((1 << 21) - 1), F.shiftright("gram", 42)
-    allowed = [int(x) for x in letters]
-    frequent = grams.where(low.isin(allowed) & middle.isin([0, *allowed]) & high.isin([0, *allowed]))
-    vocabulary = np.sort(np.array([r["gram"] for r in frequent.orderBy(F.desc("n"), "gram").limit(max_grams).collect()], np.int64))
-    if len(vocabulary) == 0:
+    drawn = usable.select("id", "lang", "h").join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("h"), "id", "h")
+    chosen = drawn.select("id", "lang", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    sample = keep(usable.join(F.broadcast(keep(chosen)), ["id", "lang", "h"]).dropDuplicates(["lang", "rank"]).select("text", "lang", "rank"))
+    rows = [r for r in sample.mapInArrow(_presence, "lang string, rank int, bits binary").collect() if r["bits"] is not None]
+    if not rows:
         return None
-    rows = sample.mapInArrow(partial(_presence, grams=vocabulary), "lang string, rank int, bits binary").collect()
-    rows.sort(key=lambda r: (r["rank"], r["lang"], r["bits"]))  # languages take turns as landmarks
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(vocabulary)) for r in rows]).astype(np.float64)
+    rows.sort(key=lambda r: (r["rank"], r["lang"]))  # languages take turns as landmarks
     languages = sorted({r["lang"] for r in rows})
+    packed = np.stack([np.frombuffer(r["bits"], np.uint8) for r in rows])
     y = np.array([[float(r["lang"] == c) for c in languages] for r in rows])
-    marks = x[:landmarks]
-    within = kernel(marks, marks)
-    values, vectors = np.linalg.eigh(within)
+    marks = np.unpackbits(packed[:landmarks], axis=1).astype(np.float32)
+    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     use = values > 1e-8 * values[-1]
     root = vectors[:, use] / np.sqrt(values[use])
-    phi = kernel(x, marks) @ root
+    parts = (np.unpackbits(packed[at:at + 256], axis=1).astype(np.float32) for at in range(0, len(packed), 256))
+    phi = np.concatenate([kernel(x, marks).astype(np.float64) @ root for x in parts])
     beta = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ y)
     normed = marks / np.sqrt(np.maximum(marks.sum(axis=1), 1))[:, None]
-    return Model(vocabulary, languages, (normed.T @ (root @ beta)).astype(np.float32))
+    model = Model(languages, (normed.T @ (root @ beta)).astype(np.float32), np.zeros(CLASSES))
+    found = sample.mapInArrow(partial(_piece_scores, model=model), "size double, own double").toPandas()
+    model.floors = _floors(found["size"].to_numpy(), found["own"].to_numpy())
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, carried: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(model.grams)
     languages = np.array(model.languages, object)
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH):
             part = batch.slice(at, BATCH)
-            texts = [t or "" for t in part.column(text_at).to_pylist()]
+            texts = part.column(text_at).to_pylist()
             best, top = np.full(len(texts), "und", object), np.zeros(len(texts))
-            lettered = np.array([any(_letters()[c].any() for c in _codes(t)) for t in texts])
-            scores = model.scores(texts, encoder)
+            x = np.zeros((len(texts), SIZE), np.float32)
+            lettered = np.array([fill(row, t or "") for row, t in zip(x, texts)])
+            scores = model.scores(x)
             best[lettered] = languages[scores.argmax(axis=1)[lettered]]
             top[lettered] = np.clip(scores.max(axis=1)[lettered], 0.0, 1.0)
-            yield pa.record_batch([*(part.column(i) for i in carried), pa.array(best, pa.string()), pa.array(top)], names=names)
+            familiar = lettered & (scores.max(axis=1) >= model.floors[length_class(x.sum(axis=1))])
+            yield pa.record_batch([*(part.column(i) for i in carried), pa.array(best, pa.string()), pa.array(top), pa.array(familiar)], names=names)
 
 
 def identify(
     docs: DataFrame, model: Model | None = None, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "score", **fitting,
+    lang_col: str = "lang", pred_col: str = "lang_pred", score_col: str = "score", familiar_col: str = "familiar", **fitting,
 ) -> DataFrame:
-    """One row per row of ``docs``: the columns of ``carry`` (the identifier alone), ``lang_pred, score``.
+    """One row per row of ``docs``: the columns of ``carry`` (the identifier alone), ``lang_pred, score, familiar``.
 
-    ``score`` is the winning regression value cut to 0..1. Texts that are null or have no letter get
-    ``und`` and 0, and so do all rows if there is nothing to learn from. Columns that are not carried
-    are not read.
+    ``score`` is the winning regression value cut to 0..1; ``familiar`` tells whether it reaches the floor of the text's
+    length. Texts that are null or have no letter get ``und``, 0 and false, and so do all rows if there is nothing to
+    learn from. Columns that are not carried are not read.
     """
     carry = carry or [id_col]
     model = model or fit(docs, id_col, text_col, lang_col, **fitting)
     if model is None:
-        return docs.select(*(F.col(f"`{c}`") for c in carry), F.lit("und").alias(pred_col), F.lit(0.0).alias(score_col))
+        return docs.select(*(F.col(f"`{c}`") for c in carry), F.lit("und").alias(pred_col), F.lit(0.0).alias(score_col), F.lit(False).alias(familiar_col))
     read = carry if text_col in carry else [*carry, text_col]
     rows = docs.select(*(F.col(f"`{c}`") for c in read))
-    schema = T.StructType([rows.schema[c] for c in carry] + [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    new = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType()), T.StructField(familiar_col, T.BooleanType())]
+    schema = T.StructType([rows.schema[c] for c in carry] + new)
     predict = partial(_predict, model=model, text_at=read.index(text_col), carried=[read.index(c) for c in carry], names=schema.names)
     return rows.mapInArrow(predict, schema)

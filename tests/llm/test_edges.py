@@ -190,19 +190,71 @@ def test_language_id(docs, empty, spark):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
-def test_language_kernel_is_the_share_of_common_grams():
+def _gram_set(text):
+    """Grams of one to three characters with a letter, all else as spaces."""
+    t = f" {''.join(c if c.isalpha() else ' ' for c in text.lower())} "
+    return {g for n in (1, 2, 3) for i in range(len(t) - n + 1) if (g := t[i:i + n]).strip()}
+
+
+def test_language_scores_equal_plain_kernel_ridge(spark):
+    import zlib
+
     import numpy as np
 
-    grams = language_id._grams(np.concatenate(list(language_id._codes("Abc abd"))))
-    encoder = language_id.Encoder(grams)
-    rows = np.zeros((2, len(grams) + 1), np.float32)
-    encoder.fill(rows[0], "Abc abd")
-    encoder.fill(rows[1], "abX!")
-    want = {" ", "a", "b", " a", "ab", " ab", "  ", "b ", "  a"}
-    padded = {n: {f" {t} "[i:i + n] for i in range(len(t) + 3 - n)} for n in (1, 2, 3) for t in ("abc abd",)}
-    own = set().union(*padded.values())
-    other = set().union(*({" abx  "[i:i + n] for i in range(7 - n)} for n in (1, 2, 3)))
-    assert rows[0, :-1].sum() == len(own) and rows[1, :-1].sum() == len(own & other) and want
+    rnd = random.Random(5)
+    words = {"xa": ["lorem", "ipsum", "dolor", "sit"], "xb": ["foo", "bär", "bazß", "qux"], "xc": ["人人", "生而", "自由", "的"]}
+    rows = [(i, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randint(2, 9))), lang) for i, lang in enumerate(list(words) * 12)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=1000, ridge=0.3)
+    used = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    sets = [_gram_set(t) for _, t, _ in used]
+
+    def like(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b)) if a else 0.0
+
+    k = np.array([[like(a, b) for b in sets] for a in sets])
+    y = np.array([[float(r[2] == c) for c in sorted(words)] for r in used])
+    alpha = np.linalg.solve(k + 0.3 * np.eye(len(k)), y)
+    probes = ["lorem bär", "dolor sit ipsum", "自由 foo", "zzz yyy", "1 2 3 lorem"]
+    want = np.array([[like(_gram_set(p), s) for s in sets] for p in probes]) @ alpha
+    x = np.zeros((len(probes), language_id.SIZE), np.float32)
+    for row, p in zip(x, probes):
+        language_id.fill(row, p)
+    assert model.languages == sorted(words) and np.allclose(model.scores(x), want, atol=0.02)
+
+
+def test_language_repeated_identifiers_and_too_many_languages(spark, monkeypatch):
+    rows = [(1, f"word{i % 3} and more", "en") for i in range(3000)] + [(i, "ein wort und mehr", "de") for i in range(2, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id.identify(docs).collect()} == {"en", "de"}
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs)
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "xkcd qwrtz bcdfg hjklm npqrs tvwxz " * 8, " ".join(hashlib.sha1(bytes([i])).hexdigest() for i in range(20)),
+    "for (int i = 0; i < n; ++i) { if (arr[i] == NULL) continue; ptr->next = malloc(sizeof(struct node)); } #include <stdio.h> void qsort_r(void *base, size_t nmemb);",
+]
+KNOWN = [
+    "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen.",
+    "the", "the and of",
+]
+
+
+def test_language_stage_keeps_the_learned_languages_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame([(10 ** 9 + i, t, None, "x", len(t)) for i, t in enumerate(FOREIGN + KNOWN)], docs.schema)
+    kept = {r[0] for r in corpus_pipeline.keep_languages(spark, docs.unionByName(more), "").select("doc_id").collect()}
+    assert not kept & {10 ** 9 + i for i in range(len(FOREIGN))}
+    assert kept >= {10 ** 9 + len(FOREIGN) + i for i in range(len(KNOWN))}
+    lost = {r[0] for r in docs.where("text rlike '[a-z]'").select("doc_id").collect()} - kept
+    assert len(lost) <= 0.002 * docs.count()
 
 
 def test_language_vote_on_held_out_rows(spark, folder):

@@ -13,15 +13,13 @@ from strataloom.llm.common import keep, table
 from strataloom.llm.queries import PIECES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A text in none of the learned languages has regression values near 0, one in a learned language near 1.
-MIN_SCORE = 0.05
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those that resemble no learned language, go."""
-    pred, score = _free("lang_pred", docs), _free("score", docs)
-    found = language_id.identify(docs, carry=docs.columns, pred_col=pred, score_col=score)
-    return found.where((F.col(pred) != "und") & (F.col(score) >= MIN_SCORE)).drop(pred, score)
+    """Documents without letters, and those that score below nearly all pieces of their length of the learned languages, go."""
+    pred, score, familiar = _free("lang_pred", docs), _free("score", docs), _free("familiar", docs)
+    found = language_id.identify(docs, carry=docs.columns, pred_col=pred, score_col=score, familiar_col=familiar)
+    return found.where(F.col(familiar)).drop(pred, score, familiar)
 
 
 def keep_first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,8 @@ where w.walked > 0 and w.v < w.n
 
 
 BATCHES_SQL = _with_replacement(_ORDERED, BATCH_LEN // 2)
+TEST_SEED = 8
+TEST_BATCHES_SQL = _with_replacement(_ORDERED, 50, 10, TEST_SEED)
 
 
 @query("batches_balanced", BATCHES_SQL)

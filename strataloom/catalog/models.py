@@ -16,6 +16,8 @@ from strataloom.catalog.draws import (
     N_BATCHES,
     SEED,
     STRATA_SQL,
+    TEST_BATCHES_SQL,
+    TEST_SEED,
     TEST_SIZE,
 )
 from strataloom.catalog.metrics import pair_auc, rounded
@@ -297,9 +299,29 @@ def study_settings(kinds=("Ridge",), sizes=(8,), params=({"alpha": {"range": [0.
     )
 
 
+def _nodes_sql(folds: str, n_train: int, n_test: int) -> str:
+    """CTEs from the batch rows ``br`` (fold, side, batch, y, x) to the ``best`` ridge nodes on one feature."""
+    key = f"'{SEED}'", "'attempt'", "'0'", "a.fold", "attempt"
+    return f"""g as (select fold, batch, avg(x) as mx, avg(2 * y - 1) as my, var_pop(x) * count(*) as sxx,
+             covar_pop(x, 2 * y - 1) * count(*) as sxy from br where side = 'train' group by fold, batch),
+a as (select a.fold, attempt, {h(*key, "'train'")} % {n_train} as train_batch, {h(*key, "'test'")} % {n_test} as test_batch,
+             0.5::double + {h(*key, "'alpha'")}::double / 1152921504606846976::double * 1.5::double as alpha
+      from {folds} a, range(40) t(attempt)),
+nd as (select a.*, sxy / (sxx + alpha) as coef, my - sxy / (sxx + alpha) * mx as intercept
+       from a join g on a.fold = g.fold and a.train_batch = g.batch),
+sc as (select nd.*, (select avg(case when (nd.intercept + nd.coef * b.x > 0) = (b.y = 1) then 1.0::double else 0 end)
+                     from br b where b.fold = nd.fold and b.side = 'test' and b.batch = nd.test_batch) as test_score,
+              (select avg(case when (nd.intercept + nd.coef * b.x > 0) = (b.y = 1) then 1.0::double else 0 end)
+                     from br b where b.fold = nd.fold and b.side = 'train' and b.batch = nd.train_batch) as train_score
+       from nd),
+ac as (select * from (select *, row_number() over (partition by fold order by attempt) as node
+                      from sc where test_score >= 0.4::double) where node <= 8),
+best as (select * from (select *, row_number() over (
+           partition by fold order by test_score desc, train_score desc, node) as place from ac) where place <= 5)"""
+
+
 def _study_sql(folds: str) -> str:
     """Scored validation rows of a study with one scaled feature and ridge nodes."""
-    key = f"'{SEED}'", "'attempt'", "'0'", "a.fold", "attempt"
     return f"""
 with sig as ({FX_ORDERS}), sub as ({SUBJECTS}), f as ({folds}),
 lim as (select fold, min(amount) as lo, max(amount) as hi from f join sig on f.subject = sig.subject
@@ -327,22 +349,7 @@ pd as (select fold, side, class, batch,
 br as (select d.fold, d.side, d.batch, d.class as y, (o.amount - lo) / (hi - lo) as x
        from pd d join po o on d.fold = o.fold and d.side = o.side and d.class = o.class and d.position = o.position
        join lim on d.fold = lim.fold),
-g as (select fold, batch, avg(x) as mx, avg(2 * y - 1) as my, var_pop(x) * count(*) as sxx,
-             covar_pop(x, 2 * y - 1) * count(*) as sxy from br where side = 'train' group by fold, batch),
-a as (select a.fold, attempt, {h(*key, "'train'")} % 6 as train_batch, {h(*key, "'test'")} % 5 as test_batch,
-             0.5::double + {h(*key, "'alpha'")}::double / 1152921504606846976::double * 1.5::double as alpha
-      from (select distinct fold from f) a, range(40) t(attempt)),
-nd as (select a.*, sxy / (sxx + alpha) as coef, my - sxy / (sxx + alpha) * mx as intercept
-       from a join g on a.fold = g.fold and a.train_batch = g.batch),
-sc as (select nd.*, (select avg(case when (nd.intercept + nd.coef * b.x > 0) = (b.y = 1) then 1.0::double else 0 end)
-                     from br b where b.fold = nd.fold and b.side = 'test' and b.batch = nd.test_batch) as test_score,
-              (select avg(case when (nd.intercept + nd.coef * b.x > 0) = (b.y = 1) then 1.0::double else 0 end)
-                     from br b where b.fold = nd.fold and b.side = 'train' and b.batch = nd.train_batch) as train_score
-       from nd),
-ac as (select * from (select *, row_number() over (partition by fold order by attempt) as node
-                      from sc where test_score >= 0.4::double) where node <= 8),
-best as (select * from (select *, row_number() over (
-           partition by fold order by test_score desc, train_score desc, node) as place from ac) where place <= 5),
+{_nodes_sql("(select distinct fold from f)", 6, 5)},
 val as (select f.fold, f.n_draws as w, s.row_id, s.target as y, (s.amount - lo) / (hi - lo) as x
         from f join sig s on f.subject = s.subject join lim on f.fold = lim.fold where f.role = 'val')
 select v.fold, v.row_id, v.y, v.w, avg(case when intercept + coef * x > 0 then 1.0::double else 0 end) as proba,
@@ -359,6 +366,24 @@ select fold, round(avg(case when pred = y then 1.0::double else 0 end), 6) as ac
 from ({scored}), lateral (select unnest(range(w))) c group by fold"""
 
 
+_TEST_BATCHES, _TEST_LEN = 10, 100
+
+
+@query("sampled_ensemble_votes", f"""
+with sig as (select row_id, target as y, amount / 100000 as x from ({FX_ORDERS})),
+br as (select 0 as fold, 'train' as side, batch, y, x from ({BATCHES_SQL}) d join sig on d.row_id = sig.row_id
+       union all select 0, 'test', batch, y, x from ({TEST_BATCHES_SQL}) d join sig on d.row_id = sig.row_id),
+{_nodes_sql("(select 0 as fold)", N_BATCHES, _TEST_BATCHES)}
+select sig.row_id, round(avg(case when intercept + coef * x > 0 then 1.0::double else 0 end), 6) as proba from sig, best group by sig.row_id""")
+def sampled_ensemble_votes(spark, folder):
+    """An ensemble fitted on two samplings that were drawn before."""
+    signals = fx_orders(spark, folder).withColumn("x", F.col("amount") / 100000)
+    train, test = (sampling.generate_batches(signals, n, size, "target", "row_id", ["x"], seed=seed)
+                   for n, size, seed in ((N_BATCHES, BATCH_LEN, SEED), (_TEST_BATCHES, _TEST_LEN, TEST_SEED)))
+    fitted = ensemble.Ensemble(["Ridge"], [8], [{"alpha": {"range": [0.5, 2.0]}}]).fit_samplings(signals, train, test, 0.4, 5, SEED)
+    return rounded(fitted.predict_proba(signals).select("row_id", "proba"), "row_id")
+
+
 def _signals(spark, folder):
     return fx_orders(spark, folder)
 

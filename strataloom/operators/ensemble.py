@@ -30,7 +30,7 @@ from strataloom.operators.draws import (
 from strataloom.operators.knn import batch_votes, knn_votes, nearest
 from strataloom.operators.metrics import check_threshold, classify
 from strataloom.operators.ridge import linear_vote, ridge_grams, score_linear, solve_ridge
-from strataloom.operators.sampling import binary_class, fetch_rows, resolve_variables
+from strataloom.operators.sampling import Sampling, binary_class, check_samplings, fetch_rows, resolve_variables
 from strataloom.operators.settings import only_default, reject_unknown
 from strataloom.operators.subjects import N_DRAWS, require_binary, require_columns
 
@@ -278,11 +278,30 @@ class Ensemble:
             "fold", "side", "batch", "slot", F.col("__truth").alias("y"),
             *[present(c).alias(c) for c in features],
         )
+        return self._fit_rows(rows, batches, batch_len, features, target, row_id, score_cap, get_best, seed)
+
+    def fit_samplings(self, signals: DataFrame, train: Sampling, test: Sampling, score_cap: float = 0.5, get_best: int | None = None,
+                      seed=0) -> FittedEnsemble:
+        """Fit one ensemble on batches drawn before; both samplings must share target, inputs and row ids."""
+        check_samplings(train, test)
+        features = list(train.inputs)
+        require_columns(signals, [train.row_id, train.target, *features])
+        # equal rows of a batch are interchangeable, so their order within the batch decides nothing
+        place = (F.row_number().over(Window.partitionBy("side", "batch").orderBy(train.row_id)) - 1).cast("bigint")
+        draws = [s.draws.select(F.lit(side).alias("side"), "batch", train.row_id) for side, s in (("train", train), ("test", test))]
+        drawn = fetch_rows(draws[0].unionByName(draws[1]), signals, train.row_id, train.n_rows_bound + test.n_rows_bound)
+        rows = drawn.withColumn("slot", place).select(
+            F.lit(0).alias("fold"), "side", "batch", "slot", binary_class(train.target).alias("y"), *[present(c).alias(c) for c in features])
+        longest = max(s.n_rows_bound // s.n_batches for s in (train, test))
+        return self._fit_rows(rows, {0: (train.n_batches, test.n_batches)}, longest, features, train.target, train.row_id, score_cap, get_best, seed)
+
+    def _fit_rows(self, rows: DataFrame, batches: dict, batch_len: int, features, target: str, row_id: str, score_cap: float, get_best: int | None, seed) -> FittedEnsemble:
+        """Nodes of all kinds on the rows ``fold, side, batch, slot, y, features…`` of the batches."""
         # a batch in one partition needs no merging of partial sums
         rows = pin(rows.repartition("fold", "side", "batch") if batch_len <= _COLOCATED_ROWS else rows)
         kind = dict(rows.dtypes)["fold"]
         folds = small_table(
-            signals.sparkSession, [(f, a, b) for f, (a, b) in batches.items()],
+            rows.sparkSession, [(f, a, b) for f, (a, b) in batches.items()],
             [("fold", kind), ("n_train", "bigint"), ("n_test", "bigint")],
         )
         context = _Fit(rows, folds, list(batches), kind, list(features), batch_len, score_cap, seed,

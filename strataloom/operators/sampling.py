@@ -81,6 +81,8 @@ def check_samplings(train: Sampling, test: Sampling) -> None:
         raise ValueError("train and test have different target variables")
     if not same_variables(train.inputs, test.inputs):
         raise ValueError("train and test have different input variables")
+    if train.row_id != test.row_id:
+        raise ValueError("train and test name their rows by different columns")
 
 
 def fetch_rows(draws: DataFrame, signals: DataFrame, on, n_draws: int, limit: int = DRAWS_BROADCAST) -> DataFrame:

@@ -7,11 +7,14 @@ closer to a kept neighbour than to the point, and linked both ways. All searches
 batch of queries per step.
 
 Inner product is no metric, so a coordinate that gives all points of a shard the same length is added
-(zero for queries): the order by inner product with a query then is the order by angle. Vectors that
-are equal share one point.
-
-A task takes a block of queries through up to ``SHARDS_A_TASK`` shards, one after the other, and keeps
-the best results of each query so far by exact score; the results of these tasks are merged in a last step.
+(zero for queries): the order by inner product with a query then is the order by angle. So that this
+coordinate stays small, a shard holds vectors of one dimension and one band of lengths, a factor of ``BAND`` wide.
+Vectors that are equal share one point.
+
+A task takes a block of queries through its group of shards, one after the other, and keeps the best
+results of each query so far by exact score; the results of these tasks are merged in a last step. In every shard
+the first queries of the block are also answered exactly; the search widens until it finds ``RECALL`` of those
+answers, at worst until it visits every point.
 """
 
 from __future__ import annotations
@@ -25,11 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import keep
+from strataloom.materialize import broadcast_if_small
 
 SHARD_ROWS = 5_000
 LINKS = 16  # per point in the upper layers; twice that in the lowest
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 128
+SEARCH_WIDTH = 64  # at first
+RECALL = 0.97  # share of exact answers that a search finds in a shard before it stops widening
+SAMPLE = 64  # queries of a block that are answered exactly
+BAND = 2 ** 0.5
 QUERY_BLOCK = 4_096  # queries that a task takes through its shards
 SHARDS_A_TASK = 64
 _BATCH = 256
@@ -57,7 +64,8 @@ class Graph:
 
     def __init__(self, points: np.ndarray, links: int = LINKS, build_width: int = BUILD_WIDTH, seed: int = 0):
         n = len(points)
-        norms = (points.astype(np.float64) ** 2).sum(axis=1)
+        points = points.astype(np.float64) / (np.abs(points).max(initial=0.0) or 1.0)
+        norms = (points ** 2).sum(axis=1)
         extra = np.sqrt(np.maximum(norms.max(initial=0.0) - norms, 0.0))
         self.points = np.concatenate([points, extra[:, None]], axis=1).astype(np.float32)
         draws = np.random.default_rng(seed).random(n)
@@ -165,22 +173,26 @@ class Graph:
         return graph
 
 
-def _build(table: pa.Table, k: int) -> pa.Table:
-    """One row: the graph of one shard as flat arrays."""
+def _build(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """One row: the graph of one shard, which is the whole partition, as flat arrays."""
+    found = [b for b in batches if b.num_rows]
+    if not found:
+        return
+    table = pa.Table.from_batches(found)
     dim = table["dim"][0].as_py()
     ids = table["vec_id"].to_numpy()
     vectors = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
     at = np.argsort(ids, kind="stable")
     ids, vectors = ids[at], vectors[at]
     points, which = np.unique(vectors, axis=0, return_inverse=True)
-    graph = Graph(points.astype(np.float32))
+    graph = Graph(points)
     # of equal vectors only the smallest identifiers can be among a query's k nearest
     by = np.argsort(which.ravel(), kind="stable")
     point = which.ravel()[by]
     rank = np.arange(len(point)) - np.searchsorted(point, point)
     by, point = by[rank <= k], point[rank <= k]
-    return pa.table({
-        "shard": table["shard"][:1], "dim": table["dim"][:1], "points": pa.array([points.astype("<f8").tobytes()], pa.binary()),
+    yield pa.record_batch({
+        "shard": table["shard"][:1].combine_chunks(), "dim": table["dim"][:1].combine_chunks(), "points": pa.array([points.astype("<f8").tobytes()], pa.binary()),
         "lifted": pa.array([graph.points.tobytes()], pa.binary()), "entry": pa.array([graph.entry], pa.int64()),
         "layers": pa.array([[x.tobytes() for x in graph.layers]], pa.list_(pa.binary())),
         "widths": pa.array([[x.shape[1] for x in graph.layers]], pa.list_(pa.int32())),
@@ -238,9 +250,12 @@ def _shard_results(row: dict, dim: int, query_ids: np.ndarray, queries: np.ndarr
     graph = Graph.of(lifted, row["entry"].as_py(), layers)
     member_point, member_id = row["member_point"].values.to_numpy(), row["member_id"].values.to_numpy()
     first, count = np.searchsorted(member_point, np.arange(len(points))), np.bincount(member_point, minlength=len(points))
+    largest = np.abs(queries).max(axis=1, keepdims=True)
+    rays = (queries / largest).astype(np.float32)
+    width = _wide_enough(graph, points, queries[:SAMPLE], rays[:SAMPLE], k, width)
     out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     for at in range(0, len(queries), _AT_ONCE):
-        found = graph.search(queries[at:at + _AT_ONCE].astype(np.float32), k + 1, width)
+        found = graph.search(rays[at:at + _AT_ONCE], k + 1, width)
         q, rank = np.nonzero(found >= 0)
         point = found[q, rank]
         q = q + at
@@ -253,12 +268,35 @@ def _shard_results(row: dict, dim: int, query_ids: np.ndarray, queries: np.ndarr
     return out
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20) -> DataFrame:
-    """One row per shard; ``vectors``: ``vec_id, v`` (array of doubles of one length)."""
-    n = vectors.count()
-    shards = max(1, -(-n // shard_rows))
-    dealt = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    return keep(dealt.groupBy("shard").applyInArrow(lambda t: _build(t, k), _SHARD))
+def _wide_enough(graph: Graph, points: np.ndarray, queries: np.ndarray, rays: np.ndarray, k: int, width: int) -> int:
+    """The least width, by doubling from ``width``, at which the sample's answers are found."""
+    n = min(k, len(points))
+    scores = queries @ points.T
+    least = np.partition(scores, len(points) - n, axis=1)[:, len(points) - n]
+    while width < len(points):
+        found = graph.search(rays, n, width)
+        own = np.take_along_axis(scores, np.maximum(found, 0), axis=1)
+        if ((found >= 0) & (own >= least[:, None])).mean() >= RECALL:
+            break
+        width *= 2
+    return min(width, max(len(points), 1))
+
+
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """One row per shard, and the shards of each dimension (``dim, first, shards``); ``vectors``: ``vec_id, v`` (array of doubles)."""
+    largest = F.array_max(F.transform("v", F.abs))
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
+    band = F.floor((F.log2(largest) + F.log2(length) / 2) / float(np.log2(BAND)) + 0.5)
+    # rows that repeat identifier and vector count once
+    rows = keep(vectors.select("vec_id", "v", F.size("v").alias("dim"), band.alias("band")).distinct())
+    # a row per dimension and band: some thousands of bands hold all numbers
+    sizes = rows.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    bands = keep(sizes.withColumn("first", (F.sum("shards").over(Window.orderBy("dim", "band")) - F.col("shards")).cast("int")))
+    dims = keep(bands.groupBy("dim").agg(F.min("first").alias("first"), F.sum("shards").cast("int").alias("shards")))
+    number = F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("shards")).cast("int")
+    dealt = rows.join(broadcast_if_small(bands), ["dim", "band"]).select("vec_id", "v", "dim", number.alias("shard"))
+    n = dims.agg(F.sum("shards")).first()[0] or 1
+    return keep(dealt.repartitionById(n, "shard").mapInArrow(partial(_build, k=k), _SHARD)), dims
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -276,30 +314,35 @@ def nearest(
 
     Best first, ties to the smaller ``vec_id``; a query is not its own neighbour. Scores are exact, in
     double precision. Null, empty and zero vectors, vectors with null or non-finite components and rows
-    without identifier take no part. All vectors need one length. Identifiers should be unique: rows
-    that repeat one are searched as they are and can appear more than once. Other columns are not read.
+    without identifier take no part. A query meets the vectors of its own dimension. Rows that repeat identifier
+    and vector count once; with another vector an identifier is a row of its own and can appear more than once.
+    Other columns are not read.
     """
-    index = build_index(usable(vectors, id_col, vector_col), shard_rows, k)
-    asked = usable(queries, id_col, vector_col)
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK), min(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // _AT_ONCE)))
-    block = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    index, dims = build_index(usable(vectors, id_col, vector_col), shard_rows, k)
+    asked = usable(queries, id_col, vector_col).withColumn("dim", F.size("v"))
+    # the stated query set against all shards: a task is one group of shards and, beyond QUERY_BLOCK, one block of queries
+    slots = vectors.sparkSession.sparkContext.defaultParallelism
+    sizes = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
+    groups = F.least("shards", F.greatest(F.ceil(F.col("shards") / SHARDS_A_TASK), F.ceil(F.lit(slots) / F.col("blocks")))).cast("int")
+    plan = dims.join(sizes, "dim").withColumn("groups", groups).withColumn("tasks", F.col("groups") * F.col("blocks"))
+    plan = keep(plan.withColumn("base", (F.sum("tasks").over(Window.orderBy("dim")) - F.col("tasks")).cast("int")))  # a row per dimension
+    n_tasks = plan.agg(F.sum("tasks")).first()[0] or 1
+    block = asked.join(broadcast_if_small(plan), "dim")
+    block = block.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int").alias("block"))
 
     def pack(t: pa.Table) -> pa.Table:
         v = t["v"].combine_chunks().flatten().to_numpy().astype("<f8").tobytes()
         return pa.table({
-            "block": t["block"][:1], "dim": pa.array([len(t["v"][0])], pa.int32()),
-            "query_ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([v], pa.binary()),
+            "block": t["block"][:1], "dim": t["dim"][:1], "query_ids": pa.array([t["vec_id"].to_pylist()], pa.list_(pa.int64())), "vectors": pa.array([v], pa.binary()),
         })
 
-    packed = keep(block.groupBy("block").applyInArrow(pack, "block int, dim int, query_ids array<long>, vectors binary"))
-    # the stated query set against all shards, in blocks: a task is one block and one group of shards
-    last = index.agg(F.max("shard")).first()[0]
-    groups = 1 if last is None else last // SHARDS_A_TASK + 1
-    asking = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("shard", F.lit(-1))
-    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("group", F.floor(F.col("shard") / SHARDS_A_TASK))
-    visits = asking.unionByName(shards, allowMissingColumns=True).withColumn("task", (F.col("block") * groups + F.col("group")).cast("int")).drop("block", "group")
-    visits = visits.repartitionById(blocks * groups, "task").sortWithinPartitions("task", "shard")
+    packed = keep(block.groupBy("dim", "block").applyInArrow(pack, "block int, dim int, query_ids array<long>, vectors binary"))
+    asking = packed.join(broadcast_if_small(plan), "dim").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("shard", F.lit(-1))
+    shards = index.join(broadcast_if_small(plan), "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shards = shards.withColumn("group", (F.col("shard") - F.col("first")) % F.col("groups"))
+    visits = asking.unionByName(shards, allowMissingColumns=True).withColumn("task", F.col("base") + F.col("block") * F.col("groups") + F.col("group"))
+    visits = visits.drop("block", "group", "groups", "blocks", "tasks", "base", "first", "shards")
+    visits = visits.repartitionById(n_tasks, "task").sortWithinPartitions("task", "shard")
     found = visits.mapInArrow(partial(_visit, k=k, width=width), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

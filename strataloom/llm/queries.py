@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from strataloom.llm import ann, divergence, exact_dedup, hard_negatives, languag
 from strataloom.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
+PSEUDONYM_KEY = "spark.strataloom.pseudonymKey"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,7 +148,9 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_pseudonyms")
 def pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, folder, "documents"))
+    # without a key of one's own the pseudonyms of two runs differ
+    key = spark.conf.get(PSEUDONYM_KEY, None) or token_hex(32)
+    return pii.pseudonymise(table(spark, folder, "documents"), key)
 
 
 _EXACT = r"""

@@ -401,7 +401,7 @@ def test_pseudonyms(spark):
             "not 4041894974608796, ip 70.123.182.155 not 300.1.1.1, ssn 123-45-6789 not 000-45-6789, iban GB82 WEST 1234 5698 7654 32 not GB83WEST12345698765432, "
             "on 2024-02-29, 02/29/2024, 29.02.2024, not 2023-02-29. sha 0641917ea4e9feb9cda83477b57ac2654884f485 v4.0.")
     docs = spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "", 5), (4, "no data", 5), (5, "again 4041894974608795 " * 3000, 5), (1, text, 5), (None, "x 70.123.182.155", 5)], "doc_id long, text string, m int")
-    rows = pii.pseudonymise(docs).collect()
+    rows = pii.pseudonymise(docs, "key").collect()
     by = {r["doc_id"]: r for r in rows}
     new = by[1]["text"]
     assert len(rows) == 7 and len({r["text"] for r in rows if r["doc_id"] == 1}) == 1
@@ -422,14 +422,58 @@ def test_pseudonyms(spark):
     assert by[2]["text"] is None and by[3]["text"] == "" and by[4]["text"] == "no data" and by[4]["n_replaced"] == 0
     assert (by[1]["n_card"], by[1]["n_date"], by[1]["n_phone"], by[1]["n_email"], by[1]["n_ip"], by[1]["n_ssn"], by[1]["n_iban"]) == (2, 3, 3, 1, 1, 1, 1)
     assert pii.pseudonymise(docs, key="other").first()["text"] != rows[0]["text"]
-    assert pii.pseudonymise(docs.limit(0)).count() == 0
+    assert pii.pseudonymise(docs.limit(0), "key").count() == 0
+
+
+def _valid_spans(text):
+    """Every card and IBAN between separators, and every +1 number, by plain search."""
+    out = set()
+    for run in re.findall(r"(?<![A-Za-z0-9_+])[0-9](?:[ -]?[0-9])*(?![A-Za-z0-9_])", text):
+        groups = re.split("[ -]", run)
+        out |= {d for i in range(len(groups)) for j in range(i + 1, len(groups) + 1) if 13 <= len(d := "".join(groups[i:j])) <= 19 and _luhn(d)}
+    words = text.split(" ")
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            w = "".join(words[i:j])
+            if re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", w) and int("".join(str(int(c, 36)) for c in w[4:] + w[:4])) % 97 == 1:
+                out.add(w)
+    return out | set(re.findall(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", text))
+
+
+def test_nothing_valid_stays(spark):
+    cards = ["4111 1111 1111 1111", "4111111111111111", "378282246310005", "3782-822463-10005", "6011 0009 9013 9424", "4222222222222"]
+    ibans = ["BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"]
+    rnd = random.Random(9)
+    fillers = ["12", "123", "2024", "BIC", "WORD", "and", "0", "99-7", "x", "12/27", "+49 30 1234 5678", "AB12 3456"]
+    texts = [" ".join(rnd.choice(rnd.choice([cards, ibans, fillers, fillers, ["+1 (123) 055-1234", "+1 (988) 555-2485"]])) for _ in range(rnd.randint(1, 7))) for _ in range(150)]
+    texts += ["card 4111 1111 1111 1111 12/27", "4111111111111111 123", "BE68 5390 0754 7034 BIC GEBABEBB", "+1 (123) 055-1234", "12 34 4111 1111 1111 1111 56", "AB12 4111 1111 1111 1111",
+              " ".join(["7"] * 3000), "4111 1111 1111 1111 " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.pseudonymise(docs, "key").collect():
+        old, new = _valid_spans(texts[r["doc_id"]]), r["text"]
+        gone = [v for v in old if v in re.sub("[ -]", "", new) or v in new]
+        # what is part of a longer value that was replaced, or was made by a replacement, is no value left behind
+        assert not [v for v in gone if any(v.replace(" ", "") == x.replace(" ", "").replace("-", "") for x in cards + ibans)], (texts[r["doc_id"]], new)
+        assert not re.search(r"\+1 \(123\) 055-1234|\+1 \(988\) 555-2485", new) and len(new) == len(texts[r["doc_id"]])
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(docs, "")
+
+
+def test_other_american_numbers_are_a_permutation(spark):
+    numbers = [f"+1 ({a:03d}) {e:03d}-{n:04d}" for a, e in ((0, 0), (199, 999), (200, 199), (999, 0), (123, 456), (911, 111)) for n in range(0, 10_000, 500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(numbers)], "doc_id long, text string")
+    new = [r["text"] for r in pii.pseudonymise(docs, "key").collect()]
+    assert len(set(new)) == len(numbers) and not set(new) & set(numbers)
+    for t in new:
+        area, exchange = re.fullmatch(r"\+1 \(([0-9]{3})\) ([0-9]{3})-[0-9]{4}", t).groups()
+        assert int(area) < 200 or int(exchange) < 200
 
 
 def test_pseudonyms_are_permutations(spark):
     cards = [f"400000000000{i:04d}" for i in range(2000)]
     days = spark.range(400).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
     for values in (spark.createDataFrame([(c,) for c in cards if _luhn(c)], "text string"), days):
-        got = pii.pseudonymise(values.withColumn("doc_id", F.lit(1))).collect()
+        got = pii.pseudonymise(values.withColumn("doc_id", F.lit(1)), "key").collect()
         assert len({r["text"] for r in got}) == len(got) and all(r["n_replaced"] == 1 for r in got)
     out = spark.range(35).select(pii.feistel("k", "key", F.floor(F.col("id") / 7), F.col("id") % 7, 5, 7).alias("o")).collect()
     assert sorted(r["o"]["l"] * 7 + r["o"]["r"] for r in out) == list(range(35))

@@ -80,7 +80,7 @@ def _looked_at(p: int) -> Column:
 
 
 def _best_cuts(rows: DataFrame, nodes: DataFrame, p: int, limits: list | None, n_ranges: int) -> DataFrame:
-    """``cut`` of each node that can be split: order, cost, feature, value, next value, rows and hits on the left."""
+    """The best cut of each node that can be split: feature, value, next value, rows and hits on the left."""
     look = nodes.select(*_NODE, "n", "pos", "min_leaf", "second", _looked_at(p).alias("look"))
     met = rows.where("w > 0").join(broadcast_if_small(look.select(*_NODE, "look")), _NODE)
     values = met.select(*_NODE, "y", "w", F.posexplode("look").alias("rank", "f"), "x").select(*_NODE, "rank", "f", F.get("x", F.col("f")).alias("v"), "y", "w")
@@ -109,7 +109,7 @@ def _best_cuts(rows: DataFrame, nodes: DataFrame, p: int, limits: list | None, n
     cost = F.round((lp - lp * lp / ln) + ((pos - lp) - (pos - lp) * (pos - lp) / (n - ln)), _ROUNDED)
     cuts = sums.where("ln >= min_leaf and n - ln >= min_leaf")
     cut = F.struct(F.when(F.col("second"), F.col("rank")).otherwise(0).alias("rank"), cost.alias("cost"), F.col("f"), F.col("v"), F.col("following"), F.col("ln"), F.col("lp"))
-    return cuts.groupBy(*_NODE).agg(F.min(cut).alias("cut"))
+    return cuts.groupBy(*_NODE).agg(F.min(cut).alias("cut")).select(*_NODE, "cut.f", "cut.v", "cut.following", "cut.ln", "cut.lp")
 
 
 def grow(rows: DataFrame, tries: DataFrame, p: int, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -138,16 +138,16 @@ def grow(rows: DataFrame, tries: DataFrame, p: int, range_rows: int = RANGE_ROWS
         if nodes.isEmpty():
             break
         found = settle(nodes.join(_best_cuts(rows, nodes, p, limits, n_ranges), _NODE, "left"))
-        once_more = F.col("cut").isNull() & ~F.col("second") & (F.col("n_features") < p)
-        again = found.where(once_more).withColumn("second", F.lit(True)).drop("cut")
-        done.append(_leaves(found.where(F.col("cut").isNull() & ~once_more)))
-        middle = (F.col("cut.v") + F.col("cut.following")) / 2
-        threshold = F.when(middle < F.col("cut.following"), middle).otherwise(F.col("cut.v"))
-        cut = found.where("cut is not null").withColumn("threshold", threshold)
-        moves = cut.select(*_NODE, F.col("cut.f").alias("feature"), "threshold")
-        done.append(cut.select(*_NODE, F.col("cut.f").alias("feature"), "threshold", "n", "pos"))
+        once_more = F.col("f").isNull() & ~F.col("second") & (F.col("n_features") < p)
+        again = found.where(once_more).withColumn("second", F.lit(True)).drop("f", "v", "following", "ln", "lp")
+        done.append(_leaves(found.where(F.col("f").isNull() & ~once_more)))
+        middle = (F.col("v") + F.col("following")) / 2
+        threshold = F.when(middle < F.col("following"), middle).otherwise(F.col("v"))
+        cut = found.where("f is not null").withColumn("threshold", threshold)
+        moves = cut.select(*_NODE, F.col("f").alias("feature"), "threshold")
+        done.append(cut.select(*_NODE, F.col("f").alias("feature"), "threshold", "n", "pos"))
         left, right = (F.struct(F.concat("path", F.lit(d)).alias("path"), n.alias("n"), hits.alias("pos")) for d, n, hits in (
-            ("0", F.col("cut.ln"), F.col("cut.lp")), ("1", F.col("n") - F.col("cut.ln"), F.col("pos") - F.col("cut.lp"))))
+            ("0", F.col("ln"), F.col("lp")), ("1", F.col("n") - F.col("ln"), F.col("pos") - F.col("lp"))))
         children = cut.select(*_TREE, "depth", *settings, F.inline(F.array(left, right)))
         children = children.select(*_NODE, (F.col("depth") + 1).alias("depth"), F.lit(False).alias("second"), "n", "pos", *settings)
         state = settle(children.unionByName(again.select(*children.columns)))

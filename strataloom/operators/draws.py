@@ -17,6 +17,7 @@ That reads the rows twice, once to count and once to rank, besides the count of
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ _SLOT_CHUNK = 4096
 DRAWS_BROADCAST = 2_000_000
 # Requests up to this many slots are expanded where they are.
 _LOCAL_SLOTS = 500_000
+# Groups of which at least one row in so many is drawn count as dense; see draw_without_replacement.
+_DENSE = 4
 # Longest walk of a permuted draw; see permuted.
 _WALK_STEPS = 64
 
@@ -232,28 +235,60 @@ def draw_with_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: st
     return rows_at_positions(drawn_positions(rows, by, groups, seed, op, batches), rows, by, row_id, bits, n_draws_of(groups, batches))
 
 
-def permuted(slot: Column, n: Column, *key) -> Column:
-    """Image of ``slot`` under a permutation of ``0 … n-1`` that ``key`` selects.
+def permuted(df: DataFrame, column: str, name: str, n: Column, key, inverse: bool = False) -> DataFrame:
+    """``df`` with ``name``, the image of ``column`` under a permutation of ``0 … n-1`` that ``key`` selects, or its origin.
 
     Four Feistel rounds over the pairs ``(l, r)`` with ``l < a``, ``r < b``, ``a * b >= n``; images from ``n``
     on are permuted again until one falls below. At most ``a - 1 < sqrt(n) + 1`` numbers lie beyond, so the
-    walk ends within a step or two; one that has not after ``_WALK_STEPS`` raises.
+    walk ends within a step or two; one that has not after ``_WALK_STEPS`` raises. Every row takes the first step as plain
+    columns, only those beyond ``n`` walk on.
     """
-    a = F.floor(F.sqrt(n.cast("double"))).cast("bigint") + 1
-    b = F.floor((n + a - 1) / a).cast("bigint")
+    a, b = F.col("__a"), F.col("__b")
 
-    def round_(s: Column, i: Column) -> Column:
-        even = F.struct(((s["l"] + hash60(*key, i, s["r"])) % a).alias("l"), s["r"].alias("r"))
-        odd = F.struct(s["l"].alias("l"), ((s["r"] + hash60(*key, i, s["l"])) % b).alias("r"))
-        return F.when(i % 2 == 0, even).otherwise(odd)
+    def turned(i: int, left: Column, right: Column, tag=None) -> Column:
+        """The half that round ``i`` (hashed as ``tag``) changes."""
+        half, other, size = (left, right, a) if i % 2 == 0 else (right, left, b)
+        moved = hash60(*key, i if tag is None else tag, other)
+        return F.pmod(half - moved, size) if inverse else (half + moved) % size
+
+    rounds = (3, 2, 1, 0) if inverse else (0, 1, 2, 3)
+
+    def image(v: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            left, right = (F.struct(turned(0, s["l"], s["r"], i).alias("l"), s["r"].alias("r")),
+                           F.struct(s["l"].alias("l"), turned(1, s["l"], s["r"], i).alias("r")))
+            return F.when(i % 2 == 0, left).otherwise(right)
 
-    def step(v: Column, i: Column) -> Column:
         start = F.struct(F.floor(v / b).cast("bigint").alias("l"), (v % b).alias("r"))
-        image = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, round_, lambda s: s["l"] * b + s["r"])
-        return F.when((i == 0) | (v >= n), image).otherwise(v)
+        return F.aggregate(F.array(*map(F.lit, rounds)), start, step, lambda s: s["l"] * b + s["r"])
+
+    def ended(v: Column) -> Column:
+        return F.when(v < n, v).otherwise(F.raise_error(F.lit("a draw did not end; change the seed")).cast("bigint"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(_WALK_STEPS - 1)), slot.cast("bigint"), step)
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a draw did not end; change the seed")).cast("bigint"))
+    wide = df.withColumn("__a", F.floor(F.sqrt(n.cast("double"))).cast("bigint") + 1).withColumn("__b", F.floor((n + a - 1) / a).cast("bigint"))
+    wide = wide.withColumn("__l", F.expr(f"`{column}` div __b")).withColumn("__r", F.col(column) % b)
+    for i in rounds:
+        wide = wide.withColumn("__l" if i % 2 == 0 else "__r", turned(i, F.col("__l"), F.col("__r")))
+    once = wide.withColumn("__v", F.col("__l") * b + F.col("__r"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK_STEPS - 1)), F.col("__v"),
+                         lambda v, _: F.when(v < n, v).otherwise(image(v)), ended)
+    last = F.when(F.col("__v") < n, F.col("__v")).otherwise(walked)
+    return once.withColumn(name, last).drop("__a", "__b", "__l", "__r", "__v")
+
+
+def _computed_once(df: DataFrame, column: str) -> DataFrame:
+    """Filters on ``column`` stay above the ``explode``; pushed below, they would compute it once more."""
+    return df.withColumn(column, F.explode(F.array(column)))
+
+
+def _positions(rows: DataFrame, by, row_id: str, bits: int) -> DataFrame:
+    """``by``, ``row_id`` and ``position`` for every position of every row."""
+    if bits == 0:
+        return _ranked(rows, by, row_id, "position")
+    in_prefix = [*by, "__prefix"]
+    ranked = _ranked(rows.withColumn("__prefix", _prefix(bits)), in_prefix, row_id, "__rank")
+    starts = _prefix_starts(rows, by, bits).select(*in_prefix, "__start")
+    return ranked.join(starts, in_prefix).withColumn("position", F.col("__start") + F.col("__rank")).drop("__prefix", "__start", "__rank")
 
 
 def draw_without_replacement(rows: DataFrame, by, groups, row_id: str, seed, op: str,
@@ -261,15 +296,42 @@ def draw_without_replacement(rows: DataFrame, by, groups, row_id: str, seed, op:
     """``k`` distinct rows (``k <= n``) from each group; ``draw_key`` is the order of drawing.
 
     Slot ``0 … k-1`` takes the position that a keyed permutation of the group's positions gives it:
-    distinct by construction, at the cost of ``k`` draws whatever the size of the group.
+    distinct by construction, at the cost of ``k`` draws whatever the size of the group. Groups of which
+    a good part is drawn go the other way: every row is ranked once and finds its own slot in each batch by
+    the inverse permutation, without a join of draws and rows. Of groups drawn whole no row needs its slot to be
+    known as drawn, so that ``draw_key`` is computed there only if it is read.
     """
     by = list(by)
     if any(g[-1] > g[-2] for g in groups):
         raise ValueError("more distinct rows asked for than the group has")
     key = by + ([batches[0]] if batches else [])
-    n_slots = n_draws_of(groups, batches)
-    bits = prefix_bits(max(g[-2] for g in groups)) if bits is None else bits
-    drawn = expand_slots(_requests(rows, by, groups, batches), n_slots, slot="draw_key").withColumn(
-        "position", permuted(F.col("draw_key"), F.col("n"), seed, op, *[F.col(c) for c in key])
-    ).drop("k")
-    return rows_at_positions(drawn, rows, by, row_id, bits, n_slots).select(*key, "draw_key", row_id)
+    counts = None if batches is None else [batches[1]] * len(groups) if isinstance(batches[1], int) else batches[1]
+    keyed = [seed, op, *[F.col(c) for c in key]]
+
+    def part(kind: str):
+        """The groups of one kind, and their batches."""
+        kinds = ["whole" if n == k else "dense" if k * _DENSE >= n else "sparse" for *_, n, k in groups]
+        chosen = [i for i, found in enumerate(kinds) if found == kind]
+        return [groups[i] for i in chosen], None if counts is None else (batches[0], [counts[i] for i in chosen])
+
+    drawn = []
+    sparse, its = part("sparse")
+    if sparse:
+        n_slots = n_draws_of(sparse, its)
+        length = prefix_bits(max(g[-2] for g in sparse)) if bits is None else bits
+        slots = expand_slots(_requests(rows, by, sparse, its), n_slots, slot="draw_key")
+        slots = _computed_once(permuted(slots, "draw_key", "position", F.col("n"), keyed).drop("k"), "position")
+        drawn.append(rows_at_positions(slots, rows, by, row_id, length, n_slots).select(*key, "draw_key", row_id))
+    for kind in ("dense", "whole"):
+        chosen, its = part(kind)
+        if not chosen:
+            continue
+        length = max(bits or 0, prefix_bits(max(g[-2] for g in chosen)))
+        requests = F.broadcast(_requests(rows, by, chosen, its))  # a row per group and batch
+        own = rows if len(chosen) == len(groups) else rows.join(F.broadcast(requests.select(*by).distinct()), by, "left_semi")
+        placed = _positions(own, by, row_id, length).join(requests, by)
+        slots = permuted(placed, "position", "draw_key", F.col("n"), keyed, inverse=True)
+        if kind == "dense":
+            slots = _computed_once(slots, "draw_key").filter(F.col("draw_key") < F.col("k"))
+        drawn.append(slots.select(*key, "draw_key", row_id))
+    return reduce(DataFrame.unionByName, drawn)

@@ -3,12 +3,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.operators import draws
 from strataloom.operators.draws import (
     draw_with_replacement,
     draw_without_replacement,
     expand_slots,
     group_sizes,
     index_rows,
+    permuted,
     prefix_bits,
     rows_at_positions,
     small_table,
@@ -114,6 +116,32 @@ def test_groups_draw_their_own_number(spark):
     assert found.distinct().count() == 1904
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 30, 1000])
+def test_inverse_of_the_permutation(spark, n):
+    df = spark.range(n).select(F.col("id").alias("slot"), F.lit(n).cast("bigint").alias("n"), (F.col("id") * 0).alias("g"))
+    there = permuted(df, "slot", "position", F.col("n"), [7, "t", F.col("g")])
+    back = permuted(there, "position", "again", F.col("n"), [7, "t", F.col("g")], inverse=True).collect()
+    assert sorted(r["position"] for r in back) == list(range(n)) and all(r["slot"] == r["again"] for r in back)
+
+
+def test_dense_and_whole_draws_are_those_of_the_slots(spark, monkeypatch):
+    """Such groups are drawn without a join of draws and rows, in the same order."""
+    index = index_rows(signals(spark), ["target"], "row_id")
+    made, joined = {}, []
+    real = draws.rows_at_positions
+    monkeypatch.setattr(draws, "rows_at_positions", lambda *a: joined.append(a) or real(*a))
+    for dense, k in ((0, 999), (draws._DENSE, 999), (draws._DENSE, 1000)):
+        monkeypatch.setattr(draws, "_DENSE", dense)
+        joined.clear()
+        for bits in (0, 4):
+            found = draw_without_replacement(index, ["target"], [(0, 2000, 700), (1, 1000, k)], "row_id", 1, "t", ("batch", [2, 3]), bits)
+            made[dense, k, bits] = rows(found)
+        assert len(joined) == (0 if dense else 2)
+    slots = made[0, 999, 0]
+    assert len(slots) == 2 * 700 + 3 * 999
+    assert all([r for r in m if r[2] < 999] == slots and len(m) == 2 * 700 + 3 * k for (_, k, _), m in made.items())
+
+
 def test_checks(spark):
     df = signals(spark)
     with pytest.raises(ValueError):

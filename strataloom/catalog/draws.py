@@ -242,7 +242,8 @@ where (fold, role) in (select (fold, role) from c group by fold, role having cou
 
 @query("strata_folds_balanced", BALANCED_SQL)
 def strata_folds_balanced(spark, folder):
-    return strata_folds(subjects_of_orders(spark, folder), "subject", "segment", "target", seed=SEED)
+    subjects = pin(subjects_of_orders(spark, folder))  # read for the strata, the sizes, the prefixes and the ranks
+    return strata_folds(subjects, "subject", "segment", "target", seed=SEED)
 
 
 # Inner split of the fit subjects of every stratum fold.

@@ -37,6 +37,8 @@ _SLOT_CHUNK = 4096
 DRAWS_BROADCAST = 2_000_000
 # Requests up to this many slots are expanded where they are.
 _LOCAL_SLOTS = 500_000
+# Slots that one task expands if there are more.
+_TASK_SLOTS = 100_000
 # Groups of which at least one row in so many is drawn count as dense; see draw_without_replacement.
 _DENSE = 4
 # Longest walk of a permuted draw; see permuted.
@@ -137,11 +139,13 @@ def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits:
     if bits == 0:
         ranked = _ranked(rows, by, row_id, "position")
         return ranked.join(_known_size(draws.drop("n"), n_draws), [*by, "position"]).drop("position")
-    placed = pin(
+    blocks = (
         draws.withColumn("__width", _block_width(F.col("n"), bits))
         .withColumn("__block", F.expr("position div __width"))
         .drop("__width", "n")
-        .join(_prefix_offsets(rows, by, bits), [*by, "__block"])
+    )
+    placed = pin(
+        _known_size(blocks, n_draws).join(_prefix_offsets(rows, by, bits), [*by, "__block"])
         .filter((F.col("position") >= F.col("__start")) & (F.col("position") < F.col("__start") + F.col("__count")))
         .withColumn("__rank", F.col("position") - F.col("__start"))
         .drop("__block", "__start", "__count", "position")
@@ -154,8 +158,11 @@ def rows_at_positions(draws: DataFrame, rows: DataFrame, by, row_id: str, bits:
 
 
 def _known_size(df: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast hint for a table whose size follows from the settings."""
-    return F.broadcast(df) if n_rows <= DRAWS_BROADCAST else df
+    """Broadcast hint for a table whose size follows from the settings; above the limit a shuffle.
+
+    Without a hint Spark would take expanded requests for the few rows they come from, and broadcast them.
+    """
+    return F.broadcast(df) if n_rows <= DRAWS_BROADCAST else df.hint("merge")
 
 
 def expand_slots(requests: DataFrame, n_slots: int, size: str = "k", slot: str = "slot") -> DataFrame:
@@ -164,7 +171,8 @@ def expand_slots(requests: DataFrame, n_slots: int, size: str = "k", slot: str =
         "__chunk", F.explode(F.expr(f"sequence(0L, ({size} - 1) div {_SLOT_CHUNK})"))
     )
     if n_slots > _LOCAL_SLOTS:
-        chunks = chunks.repartition(*[c for c in requests.columns if c != size], "__chunk")
+        # a number of its own, as partitions of so few bytes would be coalesced into one
+        chunks = chunks.repartition(n_slots // _TASK_SLOTS + 1, *[c for c in requests.columns if c != size], "__chunk")
     first = F.col("__chunk") * _SLOT_CHUNK
     last = F.least(first + _SLOT_CHUNK, F.col(size).cast("bigint")) - 1
     return chunks.withColumn(slot, F.explode(F.sequence(first, last))).drop("__chunk")

@@ -142,6 +142,22 @@ def test_dense_and_whole_draws_are_those_of_the_slots(spark, monkeypatch):
     assert all([r for r in m if r[2] < 999] == slots and len(m) == 2 * 700 + 3 * k for (_, k, _), m in made.items())
 
 
+def test_many_draws_are_spread_and_not_broadcast(spark, monkeypatch):
+    requests = small_table(spark, [("a", 1_000_000)], [("g", "string"), ("k", "bigint")])
+    assert expand_slots(requests, 1_000_000).groupBy(F.spark_partition_id()).count().count() > 5
+    index = index_rows(signals(spark), ["target"], "row_id")
+    args = index, ["target"], [(0, 2000, 100), (1, 1000, 100)], "row_id", 1, "t", None, 4
+    want = rows(draw_with_replacement(*args))
+    assert len(want) == 200
+    plans, real = [], draws.pin
+    monkeypatch.setattr(draws, "DRAWS_BROADCAST", 10)
+    monkeypatch.setattr(draws, "pin", lambda df: plans.append(df) or real(df))
+    found = draw_with_replacement(*args)
+    assert rows(found) == want
+    merges = [df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") for df in (plans[1], found)]
+    assert merges[0] >= 1 and merges[1] >= 2  # draws with prefixes; prefixes hit and draws with rows
+
+
 def test_checks(spark):
     df = signals(spark)
     with pytest.raises(ValueError):
